@@ -244,13 +244,14 @@ def candidate_rank_and_rating(v: Views) -> DataFrame:
                                                             attribution.rating(F.col("overall_score")).alias("rating"))
 
 
-@query(sql_views("candidates") + "SELECT spill_id, count(*) AS n, CAST(sum(CASE WHEN spill_id < 10 THEN vessel_id + 1 ELSE vessel_id END) AS BIGINT) AS ids FROM candidates GROUP BY 1")
+@query(sql_views("candidates", "spills") + "SELECT spill_id, count(*) AS n, CAST(sum(CASE WHEN status = 'ACCEPTED' THEN vessel_id + 1 ELSE vessel_id END) AS BIGINT) AS ids FROM candidates JOIN spills USING (spill_id) GROUP BY 1")
 def candidates_replaced(v: Views) -> DataFrame:
-    """Store all candidates, replace those of some spills, read back."""
+    """Store all candidates, replace those of the accepted spills, read back."""
     path = new_path(v.spark, "candidates")
     rows = v.candidates.select("spill_id", "vessel_id", "overall_score")
     replace_candidates(rows, path)
-    replace_candidates(rows.filter("spill_id < 10").withColumn("vessel_id", F.col("vessel_id") + 1), path)
+    accepted = v.spills.filter("status = 'ACCEPTED'").select("spill_id")
+    replace_candidates(rows.join(accepted, "spill_id", "left_semi").withColumn("vessel_id", F.col("vessel_id") + 1), path)
     return v.spark.read.parquet(path).groupBy(F.col("spill_id").cast("bigint").alias("spill_id")).agg(F.count("*").alias("n"), F.sum("vessel_id").alias("ids"))
 
 
