@@ -21,9 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are written once and later plans start from the files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to a table in the shared folder and go on from its files.
+
+    Unlike ``checkpoint()``, which keeps the size *estimate* of the plan it replaces
+    (in a loop of joins that estimate squares every round), the files carry their real
+    size, so later joins choose broadcast or shuffle by fact.
+    """
+    path = new_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
