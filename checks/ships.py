@@ -42,7 +42,7 @@ def _flat(df: DataFrame) -> DataFrame:
 
 @query(AUDIT + f"SELECT {CLEAN_COLUMNS} FROM audit WHERE reject_reason IS NULL")
 def clean_positions(v: Views) -> DataFrame:
-    return _flat(ais.clean_positions(v.raw_ais))
+    return _flat(ais.clean_positions(v.wide("raw_ais")))
 
 
 @query(AUDIT + "SELECT ingest_seq, reject_reason FROM audit WHERE reject_reason IS NOT NULL")
@@ -71,7 +71,7 @@ def json_import(v: Views) -> DataFrame:
 def position_store(v: Views) -> DataFrame:
     """Append by day, then read back."""
     path = new_path(v.spark, "positions")
-    append_positions(ais.clean_positions(v.raw_ais), path)
+    append_positions(ais.clean_positions(v.wide("raw_ais")), path)
     return v.spark.read.parquet(path).groupBy("mmsi").agg(F.count("*").alias("n"), F.max(F.unix_micros("ts")).alias("last_us"))
 
 
@@ -81,12 +81,12 @@ WHERE reject_reason IS NULL AND mmsi NOT IN (SELECT mmsi FROM v) GROUP BY mmsi""
 def new_vessels(v: Views) -> DataFrame:
     known = v.spark.read.parquet(f"{v.sf_dir}/customer.parquet").filter("c_acctbal > 0").select(
         (F.col("c_custkey") + 419000000).cast("string").alias("mmsi"))
-    return ais.new_vessels(ais.clean_positions(v.raw_ais), known, "ingest_seq")
+    return ais.new_vessels(ais.clean_positions(v.wide("raw_ais")), known, "ingest_seq")
 
 
 @query(AUDIT + "SELECT count(*) AS imported_records, count(DISTINCT mmsi) AS vessels_updated FROM audit WHERE reject_reason IS NULL")
 def import_summary(v: Views) -> DataFrame:
-    return ais.import_summary(ais.clean_positions(v.raw_ais))
+    return ais.import_summary(ais.clean_positions(v.wide("raw_ais")))
 
 
 @query(sql_views("vessels") + "SELECT * FROM vessels ORDER BY vessel_id LIMIT 50 OFFSET 25")
@@ -212,7 +212,7 @@ def last_positions(v: Views) -> DataFrame:
 @query(sql_views("ais", "spills") + f""", p AS (SELECT spill_id AS centre_id, vessel_id, {HAV('s.lat', 's.lon', 'a.lat', 'a.lon')} AS d FROM ais a, spills s)
 SELECT centre_id, vessel_id, count(*) AS positions_count, {R('min(d)', 4)} AS closest_distance_km FROM p WHERE d <= 50 GROUP BY 1, 2""")
 def nearby_vessels(v: Views) -> DataFrame:
-    return spatial.nearby_vessels(v.ais, _centres(v)).withColumn("closest_distance_km", rnd(F.col("closest_distance_km"), 4))
+    return spatial.nearby_vessels(v.wide("ais"), _centres(v)).withColumn("closest_distance_km", rnd(F.col("closest_distance_km"), 4))
 
 
 def _centres(v: Views) -> DataFrame:
@@ -224,7 +224,7 @@ def _centres(v: Views) -> DataFrame:
 SELECT centre_id, vessel_id, count(*) AS positions_count, {R('min(d)', 4)} AS closest_distance_km FROM p WHERE d <= 120 GROUP BY 1, 2""")
 def nearby_vessels_in_window(v: Views) -> DataFrame:
     centres = _centres(v).withColumn("t_from", F.col("detected_at") - F.expr("INTERVAL 6 HOURS")).withColumnRenamed("detected_at", "t_to")
-    near = spatial.nearby_vessels(v.ais, centres, 120.0, ts="ts", window=("t_from", "t_to"))
+    near = spatial.nearby_vessels(v.wide("ais"), centres, 120.0, ts="ts", window=("t_from", "t_to"))
     return near.withColumn("closest_distance_km", rnd(F.col("closest_distance_km"), 4))
 
 

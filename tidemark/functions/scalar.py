@@ -60,11 +60,11 @@ def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def hash_uniform(key: Column, part: int = 0) -> Column:
-    """Uniform number in (0,1) from a text key; ``part`` picks one of four 32-bit words.
+def hash_uniform(digest: Column, part: int = 0) -> Column:
+    """Uniform number in (0,1) from an md5 text; ``part`` picks one of its four 32-bit words.
 
     md5 does not depend on partitioning or task retries, and any SQL engine can
     repeat it, so seeded sampling stays checkable.
     """
-    word = F.conv(F.substring(F.md5(key), 1 + 8 * part, 8), 16, 10).cast("double")
+    word = F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("double")
     return (word + lit_f(0.5)) / lit_f(4294967296.0)

@@ -28,6 +28,7 @@ class DriftConfig:
     start_spread_m: float = 300.0
     noise: float = 1.0
     seed: int = 42
+    partitions: int | None = None
 
     @property
     def steps(self) -> int:
@@ -58,33 +59,32 @@ def step_velocities(spills: DataFrame, forcing: DataFrame | None, cfg: DriftConf
                        F.col("cond.is_demo").alias("is_demo"))
 
 
-def _normal_pair(key: Column) -> tuple[Column, Column]:
-    """Two independent standard normals (Box-Muller) from one seeded key."""
-    radius = F.sqrt(lit_f(-2) * F.log(hash_uniform(key, 0)))
-    angle = lit_f(2 * math.pi) * hash_uniform(key, 1)
-    return radius * F.cos(angle), radius * F.sin(angle)
-
-
 def particle_paths(velocities: DataFrame, cfg: DriftConfig) -> DataFrame:
     """Positions of every particle at every step.
 
     The short velocity table is hash-partitioned by spill *before* it is multiplied by
     the particles; the windows below and all per-spill summaries then need no further
-    shuffle of the large table.
+    shuffle of the large table.  The number of partitions is stated, because adaptive
+    coalescing would size them by the rows before the multiplication.
     """
+    partitions = cfg.partitions or int(velocities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dt = cfg.step_minutes * 60.0
     sigma = math.sqrt(2.0 * cfg.diffusivity_m2s * dt) * cfg.noise
-    rows = (velocities.repartition("spill_id")
+    rows = (velocities.repartition(partitions, "spill_id")
             .withColumn("particle_id", F.explode(F.sequence(F.lit(0), F.lit(cfg.particles - 1)))))
     key = F.concat_ws(":", F.lit(str(cfg.seed)), *[F.col(c).cast("string") for c in ("spill_id", "particle_id", "step")])
-    n1, n2 = _normal_pair(key)
+    # One digest gives three uniforms: two for a pair of normals (Box-Muller), one for the start angle.
+    rows = rows.withColumn("_h", F.md5(key)).withColumns({f"_u{i}": hash_uniform(F.col("_h"), i) for i in range(3)})
+    turn = lit_f(2 * math.pi)
+    rows = rows.withColumn("_r", F.sqrt(lit_f(-2) * F.log("_u0"))).withColumns({
+        "_n1": F.col("_r") * F.cos(turn * F.col("_u1")), "_n2": F.col("_r") * F.sin(turn * F.col("_u1"))})
+    n1, n2, theta = F.col("_n1"), F.col("_n2"), turn * F.col("_u2")
     # Start offset: a normal radius at a uniform angle; afterwards independent noise per axis.
-    theta = lit_f(2 * math.pi) * hash_uniform(key, 2)
-    spread = lit_f(cfg.start_spread_m * cfg.noise)
-    start = F.col("step") == 0
-    rows = (rows
-            .withColumn("dx", F.when(start, spread * n1 * F.cos(theta)).otherwise(F.col("u") * dt + lit_f(sigma) * n1))
-            .withColumn("dy", F.when(start, spread * n1 * F.sin(theta)).otherwise(F.col("v") * dt + lit_f(sigma) * n2)))
+    spread, start = lit_f(cfg.start_spread_m * cfg.noise), F.col("step") == 0
+    rows = rows.select(
+        "spill_id", "particle_id", "step", "ts", "lon", "lat",
+        F.when(start, spread * n1 * F.cos(theta)).otherwise(F.col("u") * dt + lit_f(sigma) * n1).alias("dx"),
+        F.when(start, spread * n1 * F.sin(theta)).otherwise(F.col("v") * dt + lit_f(sigma) * n2).alias("dy"))
     w = Window.partitionBy("spill_id", "particle_id").orderBy("step")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     moved = rows.withColumn("p_lat", F.col("lat") + F.sum(metres_to_dlat(F.col("dy"))).over(run))

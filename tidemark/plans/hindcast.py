@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution, drift
+from tidemark.sources.positions import replace_candidates
 
 
 def hindcast(spills: DataFrame, forcing: DataFrame | None, cfg: drift.DriftConfig = drift.DriftConfig()) -> DataFrame:
@@ -14,8 +15,13 @@ def hindcast(spills: DataFrame, forcing: DataFrame | None, cfg: drift.DriftConfi
     return drift.simulation_records(paths, spills, cfg, F.current_timestamp()).withColumn("simulation_id", F.col("spill_id"))
 
 
-def rank_ships(spills: DataFrame, simulations: DataFrame, positions: DataFrame,
+def rank_ships(spills: DataFrame, simulations: DataFrame, positions: DataFrame, store: str,
                rules: attribution.ScoreRules = attribution.ScoreRules()) -> DataFrame:
-    """Ranked ships with spatial evidence for all spills."""
+    """Score ships with spatial evidence, replace their spills' stored candidates, and rank from the store.
+
+    Ranking reads its input twice (counts per score, then rows), so it starts from the
+    stored table and not from the scoring plan.
+    """
     origins = attribution.spill_origins(spills, simulations)
-    return attribution.rank_candidates(attribution.score_near(positions, origins, rules))
+    replace_candidates(attribution.score_near(positions, origins, rules), store)
+    return attribution.rank_candidates(positions.sparkSession.read.parquet(store))
