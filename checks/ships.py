@@ -201,7 +201,7 @@ def anomaly_summary(v: Views) -> DataFrame:
 
 @query(_flag_sql(True) + SUMMARY)
 def anomaly_summary_near_origin(v: Views) -> DataFrame:
-    return tracks.anomaly_summary(tracks.step_flags(tracks.steps(v.ais), ORIGIN), ORIGIN).drop("details")
+    return tracks.anomaly_summary(tracks.step_flags(tracks.steps(v.ais), ORIGIN)).drop("details")
 
 
 @query(sql_views("ais") + "SELECT vessel_id, position_id, lon, lat, speed, course FROM (SELECT *, row_number() OVER (PARTITION BY vessel_id ORDER BY ts DESC, position_id DESC) AS rn FROM ais) WHERE rn = 1")

@@ -127,7 +127,7 @@ def test_anomaly_golden(spark):
     kinds = {r.signal_type: r for r in tracks.anomaly_signals(flagged, origin).collect()}
     assert set(kinds) == {"SUDDEN_SPEED_REDUCTION", "LOITERING_PATTERN"}
     assert kinds["SUDDEN_SPEED_REDUCTION"].description == "Vessel decelerated sharply from 13.8 kts to 1.2 kts (91% reduction while underway)."
-    s = tracks.anomaly_summary(flagged, origin).first()
+    s = tracks.anomaly_summary(flagged).first()
     assert (s.has_anomaly, s.anomaly_count, s.max_gap_hours, s.average_speed_knots) == (True, 2, 0.5, 7.3)
 
 

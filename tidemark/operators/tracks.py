@@ -77,15 +77,24 @@ def step_flags(step_rows: DataFrame, origin: tuple[float, float] | None = None,
             .withColumn("is_gap", F.coalesce((F.col("gap_h") >= rules.gap_hours) & near, F.lit(False))))
 
 
-def _first(flagged: DataFrame, flag: str, payload: list[Column]) -> DataFrame:
-    order = F.struct("ts", "position_id", *payload)
-    return (flagged.filter(flag).groupBy("vessel_id").agg(F.min(order).alias("f"))
-            .select("vessel_id", "f.*"))
+def first_signals(flagged: DataFrame, rules: SignalRules = SignalRules()) -> DataFrame:
+    """Per ship, in one pass: report counts, mean speed, and the first flagged pair of each kind."""
+    n = F.col("nxt")
+
+    def first(flag: str, *payload) -> Column:
+        # min skips nulls, so unflagged rows take no part.
+        return F.min(F.when(F.col(flag), F.struct("ts", "position_id", *payload)))
+    return flagged.groupBy("vessel_id").agg(
+        F.count("*").alias("reports"), F.count("speed").alias("speeds"), F.avg("speed").alias("mean_speed"), F.min("ts").alias("start"),
+        F.count_if(F.col("speed") <= rules.loiter_kn).alias("slow"),
+        first("is_drop", F.coalesce("speed", lit_f(0)).alias("s1"), F.coalesce(n["speed"], lit_f(0)).alias("s2"), n["ts"].alias("ts2")).alias("drop"),
+        first("is_turn", "turn_deg", "origin_km", n["ts"].alias("ts2")).alias("turn"),
+        first("is_gap", "gap_h", "origin_km").alias("gap"))
 
 
-def _signal(df: DataFrame, kind: str, severity: str, ts: Column, text: Column) -> DataFrame:
-    return df.select("vessel_id", F.lit(kind).alias("signal_type"), F.lit(severity).alias("severity"),
-                     ts.alias("signal_ts"), text.alias("description"))
+def _is_loitering(rules: SignalRules) -> Column:
+    return ((F.col("reports") >= 2) & (F.col("speeds") >= rules.loiter_min_reports)
+            & (F.col("slow") / F.nullif(F.col("speeds"), F.lit(0)) >= rules.loiter_share))
 
 
 def anomaly_signals(flagged: DataFrame, origin: tuple[float, float] | None = None,
@@ -95,33 +104,27 @@ def anomaly_signals(flagged: DataFrame, origin: tuple[float, float] | None = Non
     Ships with fewer than two reports give no signal.  A drop needs a report at
     cruising speed, so the extra test on the ship's top speed adds nothing.
     """
-    n = F.col("nxt")
-    drop = _first(flagged, "is_drop", [F.coalesce("speed", lit_f(0)).alias("s1"),
-                                       F.coalesce(n["speed"], lit_f(0)).alias("s2"), n["ts"].alias("ts2")])
-    drop = _signal(drop, "SUDDEN_SPEED_REDUCTION", "MEDIUM", F.col("ts2"), F.concat(
-        F.lit("Vessel decelerated sharply from "), fixed(F.col("s1"), 1), F.lit(" kts to "), fixed(F.col("s2"), 1),
-        F.lit(" kts ("), fixed((lit_f(1) - F.col("s2") / F.col("s1")) * lit_f(100), 0),
-        F.lit("% reduction while underway).")))
-
-    slow = F.count_if(F.col("speed") <= rules.loiter_kn)
-    loiter = flagged.groupBy("vessel_id").agg(
-        F.count("*").alias("n"), F.count("speed").alias("k"), slow.alias("slow"), F.min("ts").alias("ts1"))
-    loiter = loiter.filter((F.col("n") >= 2) & (F.col("k") >= rules.loiter_min_reports)
-                           & (F.col("slow") / F.col("k") >= rules.loiter_share))
-    loiter = _signal(loiter, "LOITERING_PATTERN", "LOW", F.col("ts1"), F.concat(
-        F.lit(f"Vessel exhibited low-speed loitering / slow steaming (<{rules.loiter_kn} kts) across "),
-        F.col("slow").cast("string"), F.lit(" reports.")))
-
-    turn = _first(flagged, "is_turn", ["turn_deg", "origin_km", n["ts"].alias("ts2")])
-    place = F.lit("") if origin is None else F.concat(F.lit("("), fixed(F.col("origin_km"), 1), F.lit(" km from estimated origin)"))
-    turn = _signal(turn, "SHARP_COURSE_ALTERATION", "MEDIUM", F.col("ts2"), F.concat(
-        F.lit("Sharp course alteration of "), fixed(F.col("turn_deg"), 0), F.lit("° detected "), place, F.lit(".")))
-
-    gap = _first(flagged, "is_gap", ["gap_h", "origin_km"])
-    place = F.lit("") if origin is None else F.concat(F.lit("within "), fixed(F.col("origin_km"), 1), F.lit(" km of origin"))
-    gap = _signal(gap, "AIS_TRANSMISSION_GAP", "MEDIUM", F.col("ts"), F.concat(
-        F.lit("AIS blackout / transmission gap of "), fixed(F.col("gap_h"), 1), F.lit(" hours detected "), place, F.lit(".")))
-    return drop.unionByName(loiter).unionByName(turn).unionByName(gap)
+    def text(*parts) -> Column:
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    def signal(found: Column, kind: str, severity: str, ts: Column, words: Column) -> Column:
+        return F.when(found, F.struct(F.lit(kind).alias("signal_type"), F.lit(severity).alias("severity"),
+                                      ts.alias("signal_ts"), words.alias("description")))
+    d, t, g = F.col("drop"), F.col("turn"), F.col("gap")
+    at_turn = text("(", fixed(t["origin_km"], 1), " km from estimated origin)") if origin else F.lit("")
+    at_gap = text("within ", fixed(g["origin_km"], 1), " km of origin") if origin else F.lit("")
+    found = F.array(
+        signal(d.isNotNull(), "SUDDEN_SPEED_REDUCTION", "MEDIUM", d["ts2"], text(
+            "Vessel decelerated sharply from ", fixed(d["s1"], 1), " kts to ", fixed(d["s2"], 1), " kts (",
+            fixed((lit_f(1) - d["s2"] / d["s1"]) * lit_f(100), 0), "% reduction while underway).")),
+        signal(_is_loitering(rules), "LOITERING_PATTERN", "LOW", F.col("start"), text(
+            f"Vessel exhibited low-speed loitering / slow steaming (<{rules.loiter_kn} kts) across ", F.col("slow").cast("string"), " reports.")),
+        signal(t.isNotNull(), "SHARP_COURSE_ALTERATION", "MEDIUM", t["ts2"], text(
+            "Sharp course alteration of ", fixed(t["turn_deg"], 0), "° detected ", at_turn, ".")),
+        signal(g.isNotNull(), "AIS_TRANSMISSION_GAP", "MEDIUM", g["ts"], text(
+            "AIS blackout / transmission gap of ", fixed(g["gap_h"], 1), " hours detected ", at_gap, ".")))
+    return (first_signals(flagged, rules).select("vessel_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("s"))
+            .select("vessel_id", "s.*"))
 
 
 def gap_until_first_flag(flagged: DataFrame) -> DataFrame:
@@ -140,18 +143,16 @@ def gap_until_first_flag(flagged: DataFrame) -> DataFrame:
     return open_buckets.groupBy("vessel_id").agg(F.coalesce(F.max("g"), lit_f(0)).alias("max_gap_h"))
 
 
-def anomaly_summary(flagged: DataFrame, origin: tuple[float, float] | None = None,
-                    rules: SignalRules = SignalRules()) -> DataFrame:
+def anomaly_summary(flagged: DataFrame, rules: SignalRules = SignalRules()) -> DataFrame:
     """One row per ship: number of signals, largest gap, mean speed, data note."""
-    signals = anomaly_signals(flagged, origin, rules).groupBy("vessel_id").agg(F.count("*").alias("k"))
-    base = flagged.groupBy("vessel_id").agg(F.count("*").alias("reports"), F.avg("speed").alias("mean"))
     enough = F.col("reports") >= 2
-    return (base.join(gap_until_first_flag(flagged), "vessel_id", "left").join(signals, "vessel_id", "left")
-            .select("vessel_id", "reports",
-                    (enough & (F.coalesce("k", F.lit(0)) > 0)).alias("has_anomaly"),
-                    F.when(enough, F.coalesce("k", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("anomaly_count"),
+    kinds = [F.col("drop").isNotNull(), F.coalesce(_is_loitering(rules), F.lit(False)), F.col("turn").isNotNull(), F.col("gap").isNotNull()]
+    count = sum((k.cast("bigint") for k in kinds), F.lit(0).cast("bigint"))
+    return (first_signals(flagged, rules).withColumn("_k", F.when(enough, count).otherwise(F.lit(0).cast("bigint")))
+            .join(gap_until_first_flag(flagged), "vessel_id", "left")
+            .select("vessel_id", "reports", (F.col("_k") > 0).alias("has_anomaly"), F.col("_k").alias("anomaly_count"),
                     F.when(enough, rnd(F.col("max_gap_h"), 2)).alias("max_gap_hours"),
-                    F.when(enough, F.coalesce(rnd(F.col("mean"), 1), lit_f(0))).alias("average_speed_knots"),
+                    F.when(enough, F.coalesce(rnd(F.col("mean_speed"), 1), lit_f(0))).alias("average_speed_knots"),
                     F.when(~enough, "Insufficient position reports to evaluate behavior.").alias("details")))
 
 
