@@ -111,8 +111,15 @@ def audit_positions(raw: DataFrame, rules: CleanRules = CleanRules()) -> DataFra
 
 
 def clean_positions(raw: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
-    """Accepted rows only."""
-    return audit_positions(raw, rules).filter("reject_reason IS NULL").drop("reject_reason")
+    """Accepted rows only.
+
+    Rejected rows drop out through an empty ``explode``.  A filter on ``reject_reason``
+    would be pushed below the parsing and repeat each parse for every test it appears in.
+    """
+    audited = audit_positions(raw, rules)
+    names = [c for c in audited.columns if c != "reject_reason"]
+    kept = F.when(F.col("reject_reason").isNull(), F.array(F.struct(*[F.col(f"`{c}`") for c in names])))
+    return audited.select(F.explode(kept).alias("r")).select("r.*")
 
 
 def new_vessels(clean: DataFrame, vessels: DataFrame, seq: str, flag: str = "India") -> DataFrame:
