@@ -304,3 +304,13 @@ l AS (SELECT scene_id, -avg(truth*ln(p) + (1e0 - truth)*ln(1e0 - p)) AS bce, 1e0
 SELECT scene_id, {R('bce', 6)} AS bce, {R('dice_loss', 6)} AS dice_loss, {R('0.5e0*bce + 0.5e0*dice_loss', 6)} AS combined FROM l""")
 def segmentation_losses(v: Views) -> DataFrame:
     return evaluate.losses(_judged(v), ["scene_id"]).withColumns({c: rnd(F.col(c), 6) for c in ("bce", "dice_loss", "combined")})
+
+
+@query(PX + DIMS + """, m AS (SELECT scene_id, row, col FROM pixels WHERE value < 0.6),
+nb AS (SELECT unnest([0, -1, 1, 0, 0]) AS dr, unnest([0, 0, 0, -1, 1]) AS dc),
+er AS (SELECT m.scene_id, m.row, m.col FROM m JOIN dims USING (scene_id), nb LEFT JOIN m n ON n.scene_id = m.scene_id AND n.row = m.row + dr AND n.col = m.col + dc
+ GROUP BY 1, 2, 3 HAVING bool_and(n.row IS NOT NULL OR m.row + dr < 0 OR m.col + dc < 0 OR m.row + dr >= h OR m.col + dc >= w))
+SELECT DISTINCT m.scene_id, m.row, m.col FROM m, nb JOIN er ON er.scene_id = m.scene_id AND er.row = m.row + dr AND er.col = m.col + dc""")
+def opened_mask(v: Views) -> DataFrame:
+    dark = v.pixels.select("scene_id", "row", "col", (F.col("value") < 0.6).cast("int").alias("mask"))
+    return components.opened(dark, raster.scene_stats(v.pixels)).select("scene_id", "row", "col")

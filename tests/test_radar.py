@@ -208,3 +208,15 @@ def test_intake(spark):
     assert list(got.values()) == [None, "UNSUPPORTED_FORMAT", "EMPTY", "TOO_LARGE", "UNSUPPORTED_FORMAT"]
     scenes = {r.path: r.reject_reason for r in dataset.intake_check(files, dataset.SCENE_EXT, None).collect()}
     assert scenes["a/d.nc"] is None and scenes["a/c.npy"] is None
+
+
+def test_opening(spark):
+    m = RNG.random((25, 31)) < 0.85
+    p = np.pad(m, 1, constant_values=True)
+    core = p[1:-1, 1:-1] & p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:]
+    q = np.pad(core, 1)
+    want = q[1:-1, 1:-1] | q[:-2, 1:-1] | q[2:, 1:-1] | q[1:-1, :-2] | q[1:-1, 2:]
+    df = frame(spark, {0: m}).withColumn("mask", F.col("value").cast("int"))
+    dims = raster.scene_stats(df)
+    got = {(r.row, r.col) for r in components.opened(df, dims).collect()}
+    assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(want)))) and 0 < len(got) < m.sum()

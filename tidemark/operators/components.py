@@ -11,6 +11,34 @@ from pyspark.sql import functions as F
 from tidemark.sources.scratch import cut_lineage
 
 
+CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
+
+
+def cross_votes(pixels: DataFrame) -> DataFrame:
+    """Each pixel and its four neighbours; ``own`` marks the pixel itself."""
+    arms = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in CROSS]))
+    return pixels.withColumn("_s", arms).withColumns({
+        "row": F.col("row") + F.col("_s.dr"), "col": F.col("col") + F.col("_s.dc"),
+        "own": (F.col("_s.dr") == 0) & (F.col("_s.dc") == 0)}).drop("_s")
+
+
+def opened(mask: DataFrame, dims: DataFrame) -> DataFrame:
+    """Mask without single-pixel speckle: erosion, then dilation, with a 3x3 cross.
+
+    Only mask pixels move: an eroded pixel is one that all its neighbours inside the
+    scene (``dims`` has h, w) vouch for.  Gives the rows of the opened mask.
+    """
+    on = mask.filter("mask = 1")
+    votes = cross_votes(on.select("scene_id", "row", "col")).groupBy("scene_id", "row", "col").agg(F.bool_or("own").alias("own"), F.count("*").alias("k")).filter("own")
+    # A vote is missing for every side on the scene's edge.
+    r, c = F.col("row"), F.col("col")
+    edges = sum((x.cast("int") for x in (r == 0, c == 0, r == F.col("h") - 1, c == F.col("w") - 1)), F.lit(0))
+    core = (votes.join(dims.select("scene_id", "h", "w"), "scene_id").filter(F.col("k") + edges == len(CROSS))
+            .select("scene_id", "row", "col"))
+    grown = cross_votes(core).select("scene_id", "row", "col").distinct()
+    return on.join(grown, ["scene_id", "row", "col"], "left_semi")
+
+
 def mask_runs(mask: DataFrame) -> DataFrame:
     """Mask pixels with ``node``, the first pixel of their unbroken run within the row."""
     w = Window.partitionBy("scene_id", "row").orderBy("col")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import pixel_area_km2, pixel_lat, pixel_lon, scene_size_km
 from tidemark.functions.radar import circularity, compactness, contrast_probability, mask_at
 from tidemark.functions.scalar import clamp, lit_f, rnd
+from tidemark.operators.components import cross_votes
 from tidemark.operators.raster import along, attach_scene, box_line, gauss_line, gradient
 
 
@@ -117,11 +118,8 @@ def _pixel_scale() -> Column:
 
 def boundary_km(labelled: DataFrame, scenes: DataFrame) -> DataFrame:
     """Outline length per component: free pixel sides times the pixel scale."""
-    sides = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))]))
     # Every pixel votes for itself and its four neighbours; four minus the votes from others is its free sides.
-    votes = labelled.select("scene_id", "component", "row", "col", sides.alias("s")).select(
-        "scene_id", "component", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"),
-        ((F.col("s.dr") == 0) & (F.col("s.dc") == 0)).alias("own"))
+    votes = cross_votes(labelled.select("scene_id", "component", "row", "col"))
     free = (votes.groupBy("scene_id", "component", "row", "col").agg(F.bool_or("own").alias("own"), F.count("*").alias("k"))
             .filter("own").groupBy("scene_id", "component").agg(F.sum(F.lit(5) - F.col("k")).alias("sides")))
     return free.join(scenes, "scene_id").select("scene_id", "component", (F.col("sides") * _pixel_scale()).alias("perimeter_km"))

@@ -113,6 +113,7 @@ def anomaly_signals(flagged: DataFrame, origin: tuple[float, float] | None = Non
     d, t, g = F.col("drop"), F.col("turn"), F.col("gap")
     at_turn = text("(", fixed(t["origin_km"], 1), " km from estimated origin)") if origin else F.lit("")
     at_gap = text("within ", fixed(g["origin_km"], 1), " km of origin") if origin else F.lit("")
+    # Kinds, severities and wording of the signals.
     found = F.array(
         signal(d.isNotNull(), "SUDDEN_SPEED_REDUCTION", "MEDIUM", d["ts2"], text(
             "Vessel decelerated sharply from ", fixed(d["s1"], 1), " kts to ", fixed(d["s2"], 1), " kts (",

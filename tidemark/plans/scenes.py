@@ -20,8 +20,11 @@ def masked_scenes(pixels: DataFrame, scenes: DataFrame, wind: DataFrame, thresho
 
 
 def slick_figures(masked: DataFrame, bounds: DataFrame, min_area_km2: float = 0.01) -> DataFrame:
-    """Shape, confidence and age range per scene; ``bounds`` gives scene_id, h, w and the geographic box."""
-    labelled = cut_lineage(components.components(masked))
+    """Shape, confidence and age range per scene; ``bounds`` gives scene_id, h, w and the geographic box.
+
+    Shapes come from the mask without speckle, the total area from the whole mask.
+    """
+    labelled = cut_lineage(components.components(components.opened(masked, bounds)))
     figures = detect.component_figures(labelled, bounds, min_area_km2)
     area = masked.groupBy("scene_id").agg(F.count_if(F.col("mask") == 1).alias("mask_pixels"))
     spills = detect.spill_figures(figures, detect.boundary_km(labelled, bounds), area)
