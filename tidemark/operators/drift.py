@@ -29,6 +29,7 @@ class DriftConfig:
     noise: float = 1.0
     seed: int = 42
     partitions: int | None = None
+    block: int = 500
 
     @property
     def steps(self) -> int:
@@ -62,16 +63,19 @@ def step_velocities(spills: DataFrame, forcing: DataFrame | None, cfg: DriftConf
 def particle_paths(velocities: DataFrame, cfg: DriftConfig) -> DataFrame:
     """Positions of every particle at every step.
 
-    The short velocity table is hash-partitioned by spill *before* it is multiplied by
-    the particles; the windows below and all per-spill summaries then need no further
-    shuffle of the large table.  The number of partitions is stated, because adaptive
-    coalescing would size them by the rows before the multiplication.
+    The short velocity table is hash-partitioned by spill and block of particles
+    *before* it is multiplied by the particles; the windows below then need no shuffle
+    of the large table, and a spill with many particles spreads over several tasks.  The
+    number of partitions is stated, because adaptive coalescing would size them by the
+    rows before the multiplication.
     """
     partitions = cfg.partitions or int(velocities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dt = cfg.step_minutes * 60.0
     sigma = math.sqrt(2.0 * cfg.diffusivity_m2s * dt) * cfg.noise
-    rows = (velocities.repartition(partitions, "spill_id")
-            .withColumn("particle_id", F.explode(F.sequence(F.lit(0), F.lit(cfg.particles - 1)))))
+    last = F.least((F.col("_block") + 1) * cfg.block, F.lit(cfg.particles)) - 1
+    rows = (velocities.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((cfg.particles - 1) // cfg.block))))
+            .repartition(partitions, "spill_id", "_block")
+            .withColumn("particle_id", F.explode(F.sequence(F.col("_block") * cfg.block, last))))
     key = F.concat_ws(":", F.lit(str(cfg.seed)), *[F.col(c).cast("string") for c in ("spill_id", "particle_id", "step")])
     # One digest gives three uniforms: two for a pair of normals (Box-Muller), one for the start angle.
     rows = rows.withColumn("_h", F.md5(key)).withColumns({f"_u{i}": hash_uniform(F.col("_h"), i) for i in range(3)})
@@ -82,10 +86,10 @@ def particle_paths(velocities: DataFrame, cfg: DriftConfig) -> DataFrame:
     # Start offset: a normal radius at a uniform angle; afterwards independent noise per axis.
     spread, start = lit_f(cfg.start_spread_m * cfg.noise), F.col("step") == 0
     rows = rows.select(
-        "spill_id", "particle_id", "step", "ts", "lon", "lat",
+        "spill_id", "_block", "particle_id", "step", "ts", "lon", "lat",
         F.when(start, spread * n1 * F.cos(theta)).otherwise(F.col("u") * dt + lit_f(sigma) * n1).alias("dx"),
         F.when(start, spread * n1 * F.sin(theta)).otherwise(F.col("v") * dt + lit_f(sigma) * n2).alias("dy"))
-    w = Window.partitionBy("spill_id", "particle_id").orderBy("step")
+    w = Window.partitionBy("spill_id", "_block", "particle_id").orderBy("step")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     moved = rows.withColumn("p_lat", F.col("lat") + F.sum(metres_to_dlat(F.col("dy"))).over(run))
     scale_lat = F.coalesce(F.lag("p_lat").over(w), F.col("lat"))
