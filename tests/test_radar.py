@@ -80,8 +80,7 @@ def flood(mask):
     return seen
 
 
-@pytest.mark.parametrize("finish_below", [0, 200_000])
-def test_components_against_flood_fill(spark, finish_below):
+def test_components_against_flood_fill(spark):
     masks = {0: RNG.random((40, 40)) < 0.42, 1: np.eye(30, dtype=bool), 2: np.zeros((5, 5), bool)}
     spiral = np.zeros((21, 21), bool)
     for k in range(0, 10, 2):
@@ -89,7 +88,7 @@ def test_components_against_flood_fill(spark, finish_below):
         spiral[k + 1, k] = False
     masks[3] = spiral
     df = frame(spark, masks).withColumn("mask", F.col("value").cast("int"))
-    got = components.components(df, finish_below).collect()
+    got = components.components(df).collect()
     for s, m in masks.items():
         want = flood(m)
         mine = {(r.row, r.col): r.component for r in got if r.scene_id == s}

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,26 +55,20 @@ def run_edges(runs: DataFrame) -> DataFrame:
     return below.join(here, ["scene_id", "row", "col"]).select("scene_id", "a", "b").distinct()
 
 
-def label_runs(nodes: DataFrame, edges: DataFrame, finish_below: int = 200_000, max_rounds: int = 64) -> DataFrame:
+def label_runs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(scene_id, node, label): label = smallest node of the component.
 
     Each round every node moves to the neighbour with the smallest round-specific hash
     (and on to that one's own choice); the edges are rewritten between the chosen nodes,
     and repeats and loops drop out.  With hashed priorities long chains break up evenly,
-    so the graph shrinks by a constant factor per round.  Once a counted bound of edges
-    is reached, one task finishes the rest.  The moves are chained at the end, smallest
-    first.  Rounds are written to the shared folder, which keeps plans short and
-    survives lost executors.  Runs actions.
+    so the graph shrinks by a constant factor per round, until no edge is left.  The moves
+    are chained at the end, last first.  Rounds are written to the shared folder, which
+    keeps plans short and survives lost executors.  Runs actions.
     """
     left = cut_lineage(edges)
+    size, turn = left.count(), 0
     moves: list[DataFrame] = []
-    for turn in range(max_rounds):
-        size = left.count()
-        if size == 0:
-            break
-        if size <= finish_below:
-            moves.append(cut_lineage(left.coalesce(1).mapInPandas(_finish, "scene_id bigint, node bigint, to bigint")))
-            break
+    while size:
         both = left.select("scene_id", "a", "b").unionAll(left.select("scene_id", F.col("b").alias("a"), F.col("a").alias("b")))
         rank = F.struct(F.xxhash64("b", F.lit(turn)).alias("h"), F.col("b").alias("to"))
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("to"))
@@ -88,8 +79,10 @@ def label_runs(nodes: DataFrame, edges: DataFrame, finish_below: int = 200_000,
         a, b = (move.select("scene_id", F.col("node").alias(k), F.col("to").alias(f"_{k}")) for k in ("a", "b"))
         left = cut_lineage(left.join(a, ["scene_id", "a"]).join(b, ["scene_id", "b"]).filter("_a <> _b")
                            .select("scene_id", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, size, turn = size, left.count(), turn + 1
+        if size >= before:
+            # The node with the largest hash always moves, so its edges shrink.
+            raise RuntimeError(f"{size} edges left of {before}")
     chained: DataFrame | None = None
     for move in reversed(moves):
         chained = move if chained is None else _follow(move, chained)
@@ -100,30 +93,14 @@ def label_runs(nodes: DataFrame, edges: DataFrame, finish_below: int = 200_000,
     return placed.join(names, ["scene_id", "rep"]).select("scene_id", "node", "label")
 
 
-def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the last edges."""
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-    for pdf in batches:
-        for s, a, b in zip(pdf["scene_id"].tolist(), pdf["a"].tolist(), pdf["b"].tolist()):
-            parent[root((s, a))] = root((s, b))
-    rows = [(s, n, root((s, n))[1]) for s, n in list(parent)]
-    yield pd.DataFrame(rows, columns=["scene_id", "node", "to"]).astype("int64")
-
-
 def _follow(move: DataFrame, then: DataFrame) -> DataFrame:
     """Chain two tables of moves; a target without a further move stays."""
     step = then.select("scene_id", F.col("node").alias("to"), F.col("to").alias("_next"))
     return move.join(step, ["scene_id", "to"], "left").select("scene_id", "node", F.coalesce("_next", "to").alias("to"))
 
 
-def components(mask: DataFrame, finish_below: int = 200_000) -> DataFrame:
+def components(mask: DataFrame) -> DataFrame:
     """Mask pixels with ``component``, numbered by its smallest run; 8-connected."""
     runs = cut_lineage(mask_runs(mask))
-    labels = label_runs(runs.select("scene_id", "node").distinct(), run_edges(runs), finish_below)
+    labels = label_runs(runs.select("scene_id", "node").distinct(), run_edges(runs))
     return runs.join(labels, ["scene_id", "node"]).drop("node").withColumnRenamed("label", "component")
