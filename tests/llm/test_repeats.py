@@ -44,11 +44,8 @@ def made_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("length,gram,batches,stretch", [(50, 20, 4, None), (50, 30, 3, 97), (200, 100, 1, None)])
-def test_repeats_equal_brute_force(spark, monkeypatch, length, gram, batches, stretch):
-    if stretch:
-        # Workers fork after import; the piece size travels with the function's module, so set it through a long text instead.
-        monkeypatch.setattr(suffix_index, "STRETCH", stretch)
+@pytest.mark.parametrize("length,gram,batches", [(60, 20, 4), (60, 35, 3), (200, 100, 1)])
+def test_repeats_equal_brute_force(spark, length, gram, batches):
     texts = made_texts(length)
     docs = spark.createDataFrame([(i if i else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, kept string").repartition(5)
     got = suffix_index.repeated_removed(docs, length=length, gram=gram, batches=batches).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()

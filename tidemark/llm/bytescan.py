@@ -15,7 +15,7 @@ SEGMENT = 4 << 20  # bytes worked on at a time; arrays of eight bytes each per t
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
-    a = column.cast(pa.large_binary()) if pa.types.is_binary(column.type) else column.cast(pa.large_string())
+    a = column.cast(pa.large_binary()) if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else column.cast(pa.large_string())
     if a.null_count:
         a = a.fill_null("" if pa.types.is_large_string(a.type) else b"")
     _, offsets, data = a.buffers()

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ class Stretches:
         grams = self.hasher.grams(gram)
         n = len(grams)
         z = np.zeros(0, np.int64)
-        self.row = self.first = self.last = z
+        self.row = self.first = self.last = self.anchor = z
         self.key, self.fp = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         # Windows lie within one text.
         sizes = np.diff(offsets)
@@ -57,7 +58,8 @@ class Stretches:
         head[1:] = (pick[1:] != pick[:-1]) | (rows[1:] != rows[:-1])
         begins = np.flatnonzero(head)
         ends = np.append(begins[1:], len(at)) - 1
-        self.row, self.first, self.last, anchor = rows[begins], at[begins], at[ends], pick[begins]
+        self.row, self.first, self.last, self.anchor = rows[begins], at[begins], at[ends], pick[begins]
+        anchor = self.anchor
         self.key = grams[anchor]
         whole = self.hasher.slices(self.first, self.last + length) ^ mixed((anchor - self.first).astype(np.uint64))
         self.fp = (whole >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -70,9 +72,9 @@ class Stretches:
         return start, owner
 
 
-def _pieces(batch: pa.RecordBatch, column: int, length: int):
+def _pieces(texts: list[bytes] | pa.Array, length: int):
     """(row numbers, bytes, offsets, start of each piece in its text); long texts in pieces that share length - 1 bytes."""
-    data, offsets = text_bytes(batch.column(column))
+    data, offsets = text_bytes(pa.array(texts, pa.large_binary()) if isinstance(texts, list) else texts)
     for lo, hi in segments(offsets):
         if hi - lo == 1 and offsets[hi] - offsets[lo] > STRETCH + length:
             n = int(offsets[hi] - offsets[lo])
@@ -87,7 +89,7 @@ def _entries(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows, data, offsets, _ in _pieces(batch, 1, length):
+            for rows, data, offsets, _ in _pieces(batch.column(1), length):
                 s = Stretches(data, offsets, length, gram)
                 if not len(s.key):
                     continue
@@ -192,11 +194,13 @@ class SuffixArrayFamily:
 
 
 OUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-PENDING = f"uid string, done boolean, {OUT}, kept string, packed binary, marks binary, windows array<struct<at:bigint,h:bigint,g:int,open:boolean>>"
+PENDING = (f"uid bigint, done boolean, {OUT}, kept string, packed binary, marks binary, "
+           "blocks array<struct<core:bigint,fp:int,at:bigint,hashes:array<int>,open:boolean>>")
+BLOCK = 25  # windows of a stretch that are compared together at first
 
 
 def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Mask of bytes that some window start in [starts, ends) covers; ends are byte ends."""
+    """Mask of the bytes in any of the ranges [start, end)."""
     steps = np.zeros(n + 1, np.int32)
     np.add.at(steps, starts, 1)
     np.add.at(steps, ends, -1)
@@ -209,26 +213,59 @@ def _result(text: bytes, gone: np.ndarray, with_text: bool):
     return len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the way to their entries."""
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(2))
+        raw = memoryview(data)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([squeeze.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())],
+                                         ["row", "doc", "packed"])
+
+
+def _codes(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    return mixed(key ^ (fp.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _blocks(s: Stretches, ask: np.ndarray, speaks_only: np.ndarray, shift: int):
+    """Windows of the stretches ``ask`` in blocks of equal offset from the anchor.
+
+    (core, fp, at, sizes, hashes, open): all windows of a block contain its core, so a core
+    that occurs once decides the block, and so does a block that occurs whole elsewhere.
+    """
+    start, owner = s.windows(ask)
+    anchor = s.anchor[ask][owner]
+    block = (anchor - start) // BLOCK
+    head = np.ones(len(start), bool)
+    head[1:] = (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(start)) - 1
+    begin = anchor[first] - BLOCK * block[first]
+    core = s.hasher.slices(begin, begin + s.length - BLOCK + 1)
+    whole = s.hasher.slices(start[first], start[last] + s.length) ^ mixed((anchor[first] - start[first]).astype(np.uint64))
+    h = (s.hasher.slices(start, start + s.length) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return signed(core), (whole >> np.uint64(32)).astype(np.uint32).view(np.int32), start[first] + shift, last - first + 1, h, ~speaks_only[owner[first]]
+
+
 def _marked(length: int, gram: int, with_text: bool):
-    """First pass: what whole stretches decide; windows of the others go out for comparison."""
+    """First pass: what whole stretches decide; blocks of windows of the others go out for comparison."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze, expand = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            own = batch.column(0)
             found = batch.column(2)
-            data, offsets = text_bytes(batch.column(1))
+            texts = [expand.decompress(x.as_py()) for x in batch.column(1)]
             flat, lists = found.values, found.offsets.to_numpy()
-            keys = flat.field("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            codes = mixed(keys ^ (flat.field("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            codes = _codes(flat.field("key").to_numpy(zero_copy_only=False).view(np.uint64), flat.field("fp").to_numpy(zero_copy_only=False))
             kinds = flat.field("kind").to_numpy(zero_copy_only=False)
             has = found.is_valid().to_numpy(zero_copy_only=False)
             ranges: dict[int, list] = {}
-            opens: dict[int, list] = {}
-            for rows, part, at, base in _pieces(batch, 1, length):
+            asked: dict[int, list] = {}
+            for rows, part, at, base in _pieces(texts, length):
                 if not has[rows].any():
                     continue
                 s = Stretches(part, at, length, gram)
-                mine = mixed(s.key ^ (s.fp.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                mine = _codes(s.key, s.fp)
                 bounds = np.searchsorted(s.row, np.arange(len(rows) + 1))
                 for i, r in enumerate(rows.tolist()):
                     a, b = bounds[i], bounds[i + 1]
@@ -236,43 +273,36 @@ def _marked(length: int, gram: int, with_text: bool):
                     if not has[r] or a == b or lo == hi:
                         continue
                     order = np.argsort(codes[lo:hi])
-                    place = np.minimum(np.searchsorted(codes[lo:hi][order], mine[a:b]), hi - lo - 1)
-                    place = order[place]
+                    place = order[np.minimum(np.searchsorted(codes[lo:hi][order], mine[a:b]), hi - lo - 1)]
                     kind = np.where(codes[lo:hi][place] == mine[a:b], kinds[lo:hi][place], 0)
                     shift = base - int(at[i])
                     sure = np.flatnonzero(kind & 1) + a
                     ranges.setdefault(r, []).append((s.first[sure] + shift, s.last[sure] + shift + length))
                     ask = np.flatnonzero(kind & 2) + a
                     if len(ask):
-                        start, owner = s.windows(ask)
-                        h = s.hasher.slices(start, start + length)
-                        g = (mixed(h ^ s.key[ask][owner]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                        opens.setdefault(r, []).append((start + shift, signed(h), g, (kind[ask - a] == 2)[owner]))
-            out = []
-            for r in range(batch.num_rows):
-                text = data[offsets[r]:offsets[r + 1]].tobytes()
+                        asked.setdefault(r, []).append(_blocks(s, ask, kind[ask - a] == 3, shift))
+            out, counts, every = [], [], []
+            for r, text in enumerate(texts):
                 n = len(text)
-                starts = np.concatenate([x[0] for x in ranges.get(r, [])] or [np.zeros(0, np.int64)])
-                ends = np.concatenate([x[1] for x in ranges.get(r, [])] or [np.zeros(0, np.int64)])
-                gone = _covered(n, starts, ends) if len(starts) else np.zeros(n, bool)
-                wins = opens.get(r)
-                if wins and any(w[3].any() for w in wins):
-                    # Only windows with a byte that is not yet gone need an answer, the others still speak.
-                    rows4 = [np.concatenate([w[k] for w in wins]) for k in range(4)]
-                    out.append((False, n, 0, 0, None, None, squeeze.compress(text), squeeze.compress(np.packbits(gone).tobytes()), rows4))
+                own = ranges.get(r)
+                gone = _covered(n, *[np.concatenate([x[k] for x in own]) for k in range(2)]) if own else np.zeros(n, bool)
+                blocks = asked.get(r, [])
+                every += blocks
+                counts.append(sum(len(x[0]) for x in blocks))
+                if any(x[5].any() for x in blocks):
+                    out.append((False, n, 0, 0, None, None, batch.column(1)[r].as_py(), squeeze.compress(np.packbits(gone).tobytes())))
                 else:
-                    rows4 = [np.concatenate([w[k] for w in wins]) for k in range(4)] if wins else None
-                    out.append((True, *_result(text, gone, with_text), None, None, rows4))
-            struct = pa.struct([("at", pa.int64()), ("h", pa.int64()), ("g", pa.int32()), ("open", pa.bool_())])
-            counts = [0 if x[8] is None else len(x[8][0]) for x in out]
-            cat = [np.concatenate([x[8][k] for x in out if x[8] is not None] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.int64, np.int32, bool))]
-            values = pa.StructArray.from_arrays([pa.array(c) for c in cat], fields=list(struct))
+                    out.append((True, *_result(text, gone, with_text), None, None))
+            cat = [np.concatenate([x[k] for x in every] or [np.zeros(0, t)]) for k, t in enumerate((np.int64, np.int32, np.int64, np.int64, np.int32, bool))]
+            hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cat[3])]).astype(np.int32)), pa.array(cat[4]))
+            values = pa.StructArray.from_arrays([pa.array(cat[0]), pa.array(cat[1]), pa.array(cat[2]), hashes, pa.array(cat[5])], ["core", "fp", "at", "hashes", "open"])
             lists_out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
-            kinds_out = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
-            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate(kinds_out)]
-            uid = pa.array([uuid.uuid4().hex for _ in out], pa.string())
-            yield pa.RecordBatch.from_arrays([own, uid, *cols, lists_out],
-                                             ["row", "uid", "done", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "packed", "marks", "windows"])
+            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+            cols = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
+            uid = pa.array(np.arange(number, number + len(out)))
+            number += len(out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), uid, *cols, lists_out],
+                                             ["row", "uid", "done", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "packed", "marks", "blocks"])
     return run
 
 
@@ -282,12 +312,12 @@ def _settled(length: int, with_text: bool):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for packed, marks, at in zip(batch.column(1), batch.column(2), batch.column(3)):
+            for packed, marks, answers in zip(batch.column(1), batch.column(2), batch.column(3)):
                 text = expand.decompress(packed.as_py())
                 gone = np.unpackbits(np.frombuffer(expand.decompress(marks.as_py()), np.uint8), count=len(text)).astype(bool)
-                if at.is_valid:
-                    starts = at.values.to_numpy()
-                    gone |= _covered(len(text), starts, starts + length)
+                if answers.is_valid:
+                    starts = answers.values.field("at").to_numpy(zero_copy_only=False)
+                    gone |= _covered(len(text), starts, starts + answers.values.field("n").to_numpy(zero_copy_only=False) - 1 + length)
                 out.append(_result(text, gone, with_text))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)]],
@@ -295,6 +325,29 @@ def _settled(length: int, with_text: bool):
     return run
 
 
+def _answers(first: DataFrame) -> DataFrame:
+    """(uid, at): runs of windows that occur elsewhere, among the blocks that asked.
+
+    Blocks are judged by counts of their cores and of themselves; only a block whose core
+    occurs again but which does not itself is taken apart.  Counts are combined on the map
+    side and joined back, so a frequent core needs no task that holds all its rows.
+    """
+    slim = first.select("uid", F.inline("blocks"))
+    small = slim.select("uid", "at", "core", "fp", "open", F.size("hashes").alias("n"))
+    alike = small.groupBy("core", "fp").agg(F.count("*").alias("times"), F.min(F.struct("uid", "at")).alias("speaker"))
+    total = alike.groupBy("core").agg(F.sum("times").alias("total"), F.count("*").alias("forms"))
+    told = alike.join(total, "core").filter("total > 1").drop("total")
+    state = cut_lineage(small.join(told, ["core", "fp"]).withColumn("speaks", (F.col("times") == 1) | (F.col("speaker") == F.struct("uid", "at"))).drop("fp", "speaker"))
+    whole = state.filter("open AND times > 1").select("uid", "at", "n")
+    parted = state.filter("forms > 1 AND speaks").select("uid", "at", "core", (F.col("open") & (F.col("times") == 1)).alias("asks"))
+    windows = cut_lineage(parted.join(slim.select("uid", "at", "hashes"), ["uid", "at"])
+                          .select("uid", "core", "asks", "at", F.posexplode("hashes").alias("k", "h"))
+                          .select("uid", "core", "h", (F.col("at") + F.col("k")).alias("at"), "asks"))
+    twice = windows.groupBy("core", "h").agg(F.count("*").alias("c")).filter("c > 1").select("core", "h")
+    single = windows.filter("asks").join(twice, ["core", "h"], "left_semi").select("uid", "at", F.lit(1).alias("n"))
+    return whole.unionAll(single).groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("answers"))
+
+
 def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = 100,
                      batches: int = 4, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``docs``.
@@ -304,8 +357,11 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     text and are judged on the input.  Bytes are UTF-8; a null text is empty.  ``row`` is the
     struct of the ``carry`` columns (by default the key), so extra columns cannot clash;
     repeated rows count as different documents.  A null key is like any other.  ``kept`` has
-    the remaining text if ``with_text``, without the code points that a cut has split.  An empty table gives an empty result.
+    the remaining text if ``with_text``, without the code points that a cut has split.  An
+    empty table gives an empty result.  Strings are told apart by 96 bits of hash.
     """
+    if length - gram < BLOCK:
+        raise ValueError(f"length must exceed gram by {BLOCK} at least")
     spark = docs.sparkSession
     # The route only brings a document's entries back to it; equal keys share theirs, which does no harm.
     route = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(key)))
@@ -313,17 +369,14 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     family = SuffixArrayFamily(spark, length, gram)
     for i in range(batches):
         family.add(slim.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == i))
-    found = family.matched()
+    found = cut_lineage(family.matched())
+    family.close()
     row = slim.schema["row"].dataType.simpleString()
-    joined = slim.join(found, "doc", "left").select("row", "text", "found")
+    packed = slim.mapInArrow(_packed, f"row {row}, doc bigint, packed binary")
+    joined = packed.join(found, "doc", "left").select("row", "packed", "found")
     first = cut_lineage(joined.mapInArrow(_marked(length, gram, with_text), f"row {row}, {PENDING}"))
-    family.close()
-    windows = first.select("uid", F.inline("windows"))
-    twice = windows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").select("h", "g")
-    answers = windows.filter("open").join(twice, ["h", "g"], "left_semi").groupBy("uid").agg(F.collect_list("at").alias("at"))
-    waiting = first.filter("NOT done").select("uid", "row", "packed", "marks").join(answers, "uid", "left").select("row", "packed", "marks", "at")
-    schema = f"row {row}, {OUT}, kept string"
-    late = waiting.mapInArrow(_settled(length, with_text), schema)
+    waiting = first.filter("NOT done").select("uid", "row", "packed", "marks").join(_answers(first), "uid", "left").select("row", "packed", "marks", "answers")
+    late = waiting.mapInArrow(_settled(length, with_text), f"row {row}, {OUT}, kept string")
     names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     return first.filter("done").select(*names).unionAll(late.select(*names))
 
