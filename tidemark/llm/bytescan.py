@@ -10,7 +10,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
-SEGMENT = 4 << 20  # bytes worked on at a time; arrays of eight bytes each per text byte
+SEGMENT = 1 << 20  # bytes worked on at a time; arrays of eight bytes each per text byte
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n + 1).bit_length())
+    size = 1 << max(21, int(n + 1).bit_length())
     a, b = _powers(size)
     return a[:n + 1], b[:n + 1]
 

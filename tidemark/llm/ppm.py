@@ -118,7 +118,7 @@ def _learned(modulus: int, remainder: int):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, waiting, held = None, [], 0
         for batch in batches:
             learn = pa.array([not held_out(k, modulus, remainder) for k in batch.column(0).to_pylist()], pa.bool_())
             data, offsets = text_bytes(batch.column(1).filter(learn))
@@ -126,12 +126,18 @@ def _learned(modulus: int, remainder: int):
                 part, at = _LOWER[data[offsets[lo]:offsets[hi]]], offsets[lo:hi + 1] - offsets[lo]
                 if total is None:
                     total = np.zeros(CELLS, np.int64)
-                total += np.bincount(cells_of(part, at), minlength=CELLS)
+                waiting.append(cells_of(part, at))
+                held += len(waiting[-1])
+                if held >= CELLS:
+                    total += np.bincount(np.concatenate(waiting), minlength=CELLS)
+                    waiting, held = [], 0
                 _, start, end = words(part, at)
                 keys, n = np.unique(Hasher(part, 7).slices(start, end), return_counts=True)
                 yield rows(0, signed(keys), n)
                 yield rows(0, np.array([END_WORD]), np.array([hi - lo]))
         if total is not None:
+            if waiting:
+                total += np.bincount(np.concatenate(waiting), minlength=CELLS)
             some = np.flatnonzero(total)
             yield rows(1, some, total[some])
     return run

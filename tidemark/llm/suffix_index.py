@@ -28,7 +28,7 @@ from tidemark.llm.bytescan import Hasher, mixed, segments, signed, sliding_min,
 from tidemark.sources.scratch import cut_lineage, new_path
 
 ENTRY = "key bigint, fp int, doc bigint, n int"
-STRETCH = 4 << 20  # window starts of one document that are worked on at a time
+STRETCH = 1 << 20  # window starts of one document that are worked on at a time
 
 
 class Stretches:
