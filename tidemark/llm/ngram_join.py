@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,15 +134,72 @@ def _verified(similarity: float):
     return run
 
 
+def _block_links(similarity: float):
+    """Links inside one bucket's pair of blocks, as a count and a tie to one node for each node.
+
+    Set intersections of all pairs are products of incidence matrices over shingles that
+    several nodes have.  A pair that shares an earlier busy band is counted there.
+    """
+    def products(lists: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        out = np.zeros((len(first), len(second)), np.float32)
+        if not len(owner):
+            return out
+        _, name, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        often = np.cumsum(times > 1) - 1
+        keep = times[name] > 1
+        owner, name = owner[keep], often[name[keep]]
+        order = np.argsort(name, kind="stable")
+        owner, name = owner[order], name[order]
+        for lo in range(0, int(name[-1]) + 1 if len(name) else 0, 4096):
+            x, y = np.searchsorted(name, [lo, lo + 4096])
+            m = np.zeros((len(lists), 4096), np.float32)
+            m[owner[x:y], name[x:y] - lo] = 1
+            out += m[first] @ m[second].T
+        return out
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        band, i, j = key
+        node = pdf["node"].to_numpy()
+        block = pdf["block"].to_numpy()
+        first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["members"]]
+        size = np.array([len(x) for x in sets], np.float64)
+        both = products(sets, first, second).astype(np.float64)
+        union = size[first][:, None] + size[second][None] - both
+        earlier = products([np.array([b for b in x if b < band], np.int64) for x in pdf["big"]], first, second) > 0
+        link = (both >= similarity * union - 1e-9) & ~earlier & (node[first][:, None] != node[second][None])
+        links = np.zeros(len(node), np.int64)
+        np.add.at(links, first, link.sum(1))
+        if i != j:
+            np.add.at(links, second, link.sum(0))
+        # The least place that a node reaches through links.
+        tie = np.arange(len(node))
+        while True:
+            new = tie.copy()
+            if link.any():
+                new[first] = np.minimum(new[first], np.where(link, tie[second][None], len(node)).min(1))
+                new[second] = np.minimum(new[second], np.where(link, tie[first][:, None], len(node)).min(0))
+            if (new == tie).all():
+                break
+            tie = new
+        some = links > 0
+        return pd.DataFrame({"a": node[some], "b": node[tie[some]], "links": links[some]})
+    return run
+
+
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
-                    recall: float = 0.9995) -> tuple[DataFrame, DataFrame]:
-    """(membership, links): rows (doc_id, node) for every row, and (a, b, jaccard) for pairs of nodes.
+                    recall: float = 0.9995, small: int = 32, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(membership, ties): rows (doc_id, node) for every row, and (a, b, links).
 
     A node is a class of texts with the same set of shingles; exact copies meet there before
     anything is paired, so a group of copies costs one row.  Nodes that share a band hash
-    are candidates; size ratios that rule the similarity out go first, the rest is verified
-    on the full sets.  Every link between different nodes is kept: the links are the result.
-    Nodes are named by 64 bits of the set's fingerprint.
+    are candidates, and all candidates are verified on their full sets.  Buckets of up to
+    ``small`` nodes give pairs (both directions, one link each).  Larger buckets are cut into
+    blocks that are compared two by two within tasks, so that a pair there is no row: a node
+    gets its number of links and a tie to a node it is connected with.  The sums of ``links``
+    by ``a`` are exact either way, and the ties connect what the links connect.  Nodes are
+    named by 64 bits of the set's fingerprint.
     """
     bands, rows = bands_for(similarity, recall)
     kind = docs.schema[key].dataType.simpleString()
@@ -151,23 +209,38 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = cut_lineage(signs.groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("speaker"), F.first("bands").alias("bands")))
     spread = nodes.select("node", "n", F.explode("bands").alias("band"))
     # Most bands have one node; they go before anything is joined.
-    busy = spread.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band")
+    busy = spread.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1")
     shared = cut_lineage(spread.join(busy, "band"))
-    left = shared.select("band", F.col("node").alias("a"), F.col("n").alias("na"))
-    right = shared.select("band", F.col("node").alias("b"), F.col("n").alias("nb"))
+    large = shared.filter(F.col("m") > small)
+    big = cut_lineage(large.groupBy("node").agg(F.collect_set("band").alias("big")))
+    left = shared.filter(F.col("m") <= small).select("band", F.col("node").alias("a"), F.col("n").alias("na"))
+    right = left.select("band", F.col("a").alias("b"), F.col("na").alias("nb"))
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9)
-    pairs = cut_lineage(left.join(right, "band").filter(near).select("a", "b").distinct())
+    pairs = left.join(right, "band").filter(near).select("a", "b").distinct()
+    # Pairs that also share a large bucket are counted there.
+    for end in "ab":
+        pairs = pairs.join(big.select(F.col("node").alias(end), F.col("big").alias(f"big_{end}")), end, "left")
+    pairs = cut_lineage(pairs.filter(~F.coalesce(F.arrays_overlap("big_a", "big_b"), F.lit(False))).select("a", "b"))
     repeated = not signs.groupBy("doc_id").count().filter("count > 1").isEmpty()
     # Only the speakers of candidate nodes are read again for their sets.
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "speaker"), "node")
+    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).unionAll(big.select("node")).distinct()
+    asked = wanted.join(nodes.select("node", "speaker"), "node")
     texts = slim.join(asked, F.col("doc_id").eqNullSafe(F.col("speaker"))).select("node", "text")
     # A key may come with several texts; the fingerprint tells which is meant.
     read = texts.mapInArrow(_sets(size), "node bigint, n bigint, one bigint, two bigint, members binary").filter("node = xxhash64(one, two, n)")
     sets = cut_lineage(read.select("node", "members").dropDuplicates(["node"]) if repeated else read.select("node", "members"))
     sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     sided = sided.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    links = cut_lineage(sided.mapInArrow(_verified(similarity), "a bigint, b bigint, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard")))
-    return signs.select("doc_id", "node"), links
+    links = cut_lineage(sided.mapInArrow(_verified(similarity), "a bigint, b bigint, jaccard double"))
+    one = F.lit(1).cast("long").alias("links")
+    ties = links.select("a", "b", one).unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"), one))
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    cut = large.withColumn("k", blocks).withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("k")).cast("int"))
+    placed = cut.select("band", "node", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    grouped = (placed.join(sets.join(big, "node"), "node")
+               .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+               .groupBy("band", "i", "j").applyInPandas(_block_links(similarity), "a bigint, b bigint, links bigint"))
+    return signs.select("doc_id", "node"), ties.unionAll(cut_lineage(grouped))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -180,14 +253,13 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **s
     them.  Repeated rows are copies; a null key is a member, never a name unless alone.
     Empty tables give an empty result; other columns are not read.
     """
-    members, links = similar_classes(docs, key, text, **settings)
-    both = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    members, ties = similar_classes(docs, key, text, **settings)
+    linked = ties.groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "node")
     zero = F.lit(0).cast("long").alias("scene_id")
-    edges = links.select(zero, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    linked = both.select(zero, "node")
-    labels = label_runs(linked, edges).select("node", "label")
+    edges = ties.filter("a <> b").select(zero, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    labels = label_runs(linked.select(zero, "node"), edges).select("node", "label")
     nodes = (members.groupBy("node").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("size"))
-             .join(both, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+             .join(linked, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     groups = nodes.groupBy("label").agg(F.min("copy_of").alias("class_id"), F.sum("size").alias("group_size"))
     named = cut_lineage(nodes.join(groups, "label").select("node", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group_size"))
     return members.join(named, "node").select("doc_id", "class_id", "copy_of", "n_links", "group_size")
