@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a new local one only where none is set (tests)."""
+    """The checkpoint folder of the session.
+
+    Where none is set, a local session takes a new folder of its own; on a cluster each
+    machine would have another one, so that is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if named is None and current is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
     if current is None:
         sc.setCheckpointDir(named)
@@ -28,7 +34,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     size, so later joins choose broadcast or shuffle by fact.
     """
     path = new_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
