@@ -72,12 +72,19 @@ def judged(docs: DataFrame, host: Column | str = "source", text: str = "text", m
     documents both need them.
     """
     name = F.col(host) if isinstance(host, str) else host
-    measured = figures(docs, text, name, carry or docs.columns)
-    flags = {rule: F.expr(condition) for rule, condition in RULES.items()}
-    measured = measured.select("*", F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in flags.items()])).alias("failed"))
-    base = F.arrays_overlap("failed", F.array(*[F.lit(r) for r in BASE_RULES]))
-    measured = cut_lineage(measured.withColumn("base_failed", base))
-    hosts = host_verdicts(measured, max_rate)
+    measured = cut_lineage(_ruled(docs, name, text, carry or docs.columns))
+    return _with_verdicts(measured, host_verdicts(measured, max_rate))
+
+
+def _ruled(docs: DataFrame, host: Column, text: str, carry: list[str]) -> DataFrame:
+    measured = figures(docs, text, host, carry)
+    measured = measured.select("*", F.array_compact(F.array(*[F.when(F.expr(c), F.lit(r)) for r, c in RULES.items()])).alias("failed"))
+    return measured.withColumn("base_failed", F.arrays_overlap("failed", F.array(*[F.lit(r) for r in BASE_RULES])))
+
+
+def _with_verdicts(measured: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Written first, the hosts' table has its real size, by which Spark sends or shuffles it."""
+    hosts = cut_lineage(hosts)
     out = measured.join(hosts, measured["host"].eqNullSafe(hosts["_name"]), "left").drop("_name")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
 
@@ -106,5 +113,10 @@ def host_verdicts(measured: DataFrame, max_rate: float) -> DataFrame:
 
 
 def passing(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(docs, host, text, max_rate).filter("kept").select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    """The rows of ``docs`` that are kept, with their own columns.
+
+    The figures are computed twice, for the hosts and for the rows, so that no text is written.
+    """
+    measured = _ruled(docs, F.col(host), text, docs.columns)
+    hosts = host_verdicts(_ruled(docs, F.col(host), text, [host]), max_rate)
+    return _with_verdicts(measured, hosts).filter("kept").select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])

@@ -386,6 +386,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
     A code point that a cut has split is dropped; a null text that loses nothing stays null.
     """
-    done = repeated_removed(docs, key, text, with_text=True, carry=docs.columns, **settings)
-    kept = F.when(F.col("n_removed") == 0, F.col(f"row.{text}")).otherwise(F.col("kept"))
-    return done.select(*[kept.alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != text]
+    marked = docs.select(F.struct(*others, F.col(text).isNull().alias("_null")).alias("row"), F.col(key).alias(key), F.col(text).alias(text))
+    done = repeated_removed(marked, key, text, with_text=True, carry=["row"], **settings)
+    kept = F.when(~F.col("row.row._null"), F.col("kept"))
+    return done.select(*[kept.alias(c) if c == text else F.col(f"row.row.{c}").alias(c) for c in docs.columns])
