@@ -12,7 +12,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
     ``spark.sql.caseSensitive`` should be true when a file may hold both ``lat`` and ``LAT``.
     """
-    return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", encoding="UTF-8",
+    return spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE", encoding="UTF-8", escape='"',
                           ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
