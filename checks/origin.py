@@ -59,7 +59,7 @@ COLS = ", ".join((*COND, "is_demo"))
 
 @query(sql_views("ais") + "SELECT position_id, " + ", ".join(f"{e} AS {c}" for c, e in clim_sql("ts").items()) + ", true AS is_demo FROM ais")
 def climatology(v: Views) -> DataFrame:
-    return forcing.conditions_at(v.wide("ais")).select("position_id", *cond_columns())
+    return forcing.conditions_at(v.ais).select("position_id", *cond_columns())
 
 
 @query(sql_views("forcing") + f"""SELECT epoch_us(hour) AS hour_us, {R('cell_lat', 4)} AS cell_lat, {R('cell_lon', 4)} AS cell_lon, {R('-wind_kmh/3.6e0*sin(radians(wind_dir))', 3)} AS wind_u,
@@ -78,7 +78,7 @@ def forcing_lookup(v: Views) -> DataFrame:
 
 @query(sql_views("ais", "forcing") + cascade_sql("ais") + f"SELECT position_id, {COLS}, hour_matched FROM cond")
 def conditions_cascade(v: Views) -> DataFrame:
-    return forcing.conditions_at(v.wide("ais"), v.forcing).select("position_id", *cond_columns(), "hour_matched")
+    return forcing.conditions_at(v.ais, v.forcing).select("position_id", *cond_columns(), "hour_matched")
 
 
 @query(sql_views("spills", "forcing") + """, pts AS (SELECT spill_id, lat, lon, unnest(generate_series(detected_at - INTERVAL 24 HOUR, detected_at, INTERVAL 3 HOUR)) AS ts FROM spills)"""
@@ -207,7 +207,7 @@ SCORES = f"""SELECT spill_id, vessel_id, {R('s', 1)} AS spatial_score, {R('t', 1
 @query(ORIGINS + score_sql(True) + SCORES.replace("FROM cand", ", rank FROM cand"))
 def vessel_attribution(v: Views) -> DataFrame:
     """All spills against the ships with spatial evidence, ranked."""
-    scored = cut_lineage(attribution.score_near(v.wide("ais"), _origins(v)).drop("explanation"))
+    scored = cut_lineage(attribution.score_near(v.ais, _origins(v)).drop("explanation"))
     return attribution.rank_candidates(scored).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -219,7 +219,7 @@ def vessel_attribution_newest_spill(v: Views) -> DataFrame:
     """Every ship with positions against the newest spill."""
     newest = v.ringed_spills.orderBy(F.col("detected_at").desc(), "spill_id").limit(1)
     spill = attribution.spill_origins(newest, v.ringed_simulations).first()
-    return attribution.score_spill(v.wide("ais"), spill).drop("explanation")
+    return attribution.score_spill(v.ais, spill).drop("explanation")
 
 
 @query(ORIGINS + score_sql(True) + f"""SELECT spill_id, vessel_id, {R('d', 2)} AS spatial_distance_km, {R('dt', 2)} AS temporal_delta_hours, {R('turn', 1)} AS trajectory_heading_match_deg, {R('avg_speed', 1)} AS speed_knots,
@@ -233,7 +233,7 @@ def vessel_attribution_newest_spill(v: Views) -> DataFrame:
   'trajectory ' || (tr > 60) || ' ' || {FIX('turn', 0)} || '° relative heading', 'behaviour ' || (NOT dropped) || ' Avg speed ' || {FIX('avg_speed', 1)} || ' kts', 'data_quality ' || (NOT gap) || ' Max gap ' || {FIX('max_gap', 1)} || ' hrs') AS breakdown FROM cand""")
 def attribution_evidence(v: Views) -> DataFrame:
     flat = F.transform("evidence_breakdown", lambda e: F.concat_ws(" ", e["key"], e["passed"].cast("string"), e["detail"]))
-    return (attribution.score_near(v.wide("ais"), _origins(v)).select("spill_id", "vessel_id", "explanation.*")
+    return (attribution.score_near(v.ais, _origins(v)).select("spill_id", "vessel_id", "explanation.*")
             .withColumn("points", F.array_join("explanation_points", " | ")).withColumn("breakdown", F.array_join(flat, " | "))
             .drop("explanation_points", "evidence_breakdown"))
 

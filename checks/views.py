@@ -142,14 +142,6 @@ class Views:
         self.__dict__[name] = df
         return df
 
-    def wide(self, name: str) -> DataFrame:
-        """A table over at least one task per core, also when its few files give fewer.
-
-        For queries whose work per row is large; a table of many files stays as it is.
-        """
-        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
-        return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
     @cached_property
     def ringed_spills(self) -> DataFrame:
         h = lit_f(0.05)
