@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; an expression would be computed at each mention and inside each step of a fold."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
     """Position on the curve of a cell given by integers in [0, 2**bits).
 
@@ -27,14 +32,18 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
         return F.transform(x, lambda v, j: F.when(flip, F.when(j == 0, v.bitwiseXOR(low)).otherwise(v))
                            .otherwise(F.when(s["i"] == 0, v).when((j == 0) | (j == s["i"]), v.bitwiseXOR(swap)).otherwise(v)))
 
-    turned = F.aggregate(steps, start, turn)
-    # Gray code: each axis takes the exclusive or of itself and all before it.
-    gray = F.transform(turned, lambda _, j: F.aggregate(F.slice(turned, F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v)))
-    last = F.get(gray, F.lit(n - 1))
-    carry = F.aggregate(F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<bigint>"),
-                        F.lit(0).cast("long"), lambda a, q: F.when(last.bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
-    order = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
-    return F.aggregate(order, F.lit(0).cast("long"), lambda a, s: a * 2 + F.getbit(F.get(gray, s["i"]).bitwiseXOR(carry), s["b"]))
+    def gray(turned: Column) -> Column:
+        """Each axis takes the exclusive or of itself and all before it."""
+        return F.transform(turned, lambda _, j: F.aggregate(F.slice(turned, F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v)))
+
+    def index(coded: Column) -> Column:
+        last = F.get(coded, F.lit(n - 1))
+        carry = F.aggregate(F.array(*[F.lit(1 << b).cast("long") for b in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<bigint>"),
+                            F.lit(0).cast("long"), lambda a, q: F.when(last.bitwiseAND(q) != 0, a.bitwiseXOR(q - 1)).otherwise(a))
+        order = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, -1, -1) for i in range(n)])
+        return _once(carry, lambda c: F.aggregate(order, F.lit(0).cast("long"), lambda a, s: a * 2 + F.getbit(F.get(coded, s["i"]).bitwiseXOR(c), s["b"])))
+
+    return _once(F.aggregate(steps, start, turn), lambda turned: _once(gray(turned), index))
 
 
 def quantised(docs: DataFrame, numeric: Sequence[Column], labels: Sequence[Column], bits: int) -> list[Column]:
