@@ -144,11 +144,11 @@ def shortest_pack_first(histogram: dict[int, int], most: int) -> list[tuple[tupl
     by_size: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        # The shortest packs first; they cannot take the next piece and stay the shortest, so one look each.
-        for size in sorted(s for s in by_size if s + length <= most):
+        # The shortest packs first.  A pack that took a piece is longer and may take another in its turn.
+        for size in range(most - length + 1):
             if not left:
                 break
-            waiting, by_size[size] = by_size[size], []
+            waiting = by_size.pop(size, [])
             while waiting and left:
                 pattern, n = waiting.pop()
                 used = min(n, left)
@@ -156,9 +156,8 @@ def shortest_pack_first(histogram: dict[int, int], most: int) -> list[tuple[tupl
                 by_size.setdefault(size + length, []).append((pattern + (length,), used))
                 if n > used:
                     waiting.append((pattern, n - used))
-            by_size[size].extend(waiting)
-            if not by_size[size]:
-                del by_size[size]
+            if waiting:
+                by_size[size] = waiting
         while left:
             # More pieces than open packs: new packs, each filled with as many as fit.
             fit = max(1, most // length)
