@@ -14,7 +14,7 @@ from checks.views import Views, sql_views
 from tidemark.functions import geo, physics
 from tidemark.functions.scalar import lit_f, rnd
 from tidemark.operators import attribution, drift, forcing
-from tidemark.sources.positions import replace_candidates
+from tidemark.sources.positions import read_candidates, replace_candidates
 from tidemark.sources.scratch import cut_lineage, new_path
 
 COND = ("wind_u", "wind_v", "wind_speed_mps", "wind_dir_deg", "current_u", "current_v", "current_speed_mps", "current_dir_deg")
@@ -244,15 +244,16 @@ def candidate_rank_and_rating(v: Views) -> DataFrame:
                                                             attribution.rating(F.col("overall_score")).alias("rating"))
 
 
-@query(sql_views("candidates", "spills") + "SELECT spill_id, count(*) AS n, CAST(sum(CASE WHEN status = 'ACCEPTED' THEN vessel_id + 1 ELSE vessel_id END) AS BIGINT) AS ids FROM candidates JOIN spills USING (spill_id) GROUP BY 1")
+@query(sql_views("candidates", "spills") + "SELECT spill_id, count(*) AS n, CAST(sum(CASE WHEN status = 'ACCEPTED' THEN vessel_id + 1 ELSE vessel_id END) AS BIGINT) AS ids FROM candidates JOIN spills USING (spill_id) WHERE status <> 'REJECTED' GROUP BY 1")
 def candidates_replaced(v: Views) -> DataFrame:
-    """Store all candidates, replace those of the accepted spills, read back."""
+    """Store all candidates, run the accepted and the rejected spills again, the latter without any ship, read back."""
     path = new_path(v.spark, "candidates")
     rows = v.candidates.select("spill_id", "vessel_id", "overall_score")
-    replace_candidates(rows, path)
+    replace_candidates(rows, v.spills, path)
     accepted = v.spills.filter("status = 'ACCEPTED'").select("spill_id")
-    replace_candidates(rows.join(accepted, "spill_id", "left_semi").withColumn("vessel_id", F.col("vessel_id") + 1), path)
-    return v.spark.read.parquet(path).groupBy(F.col("spill_id").cast("bigint").alias("spill_id")).agg(F.count("*").alias("n"), F.sum("vessel_id").alias("ids"))
+    again = v.spills.filter("status IN ('ACCEPTED', 'REJECTED')")
+    replace_candidates(rows.join(accepted, "spill_id", "left_semi").withColumn("vessel_id", F.col("vessel_id") + 1), again, path)
+    return read_candidates(v.spark, path).groupBy("spill_id").agg(F.count("*").alias("n"), F.sum("vessel_id").alias("ids"))
 
 
 def _age_sql(elong: str, area: str, wind: str, multi: str) -> str:

@@ -252,7 +252,24 @@ def _labelled(v: Views) -> DataFrame:
     return components.components(dark)
 
 
-@query()
+# Runs of dark pixels, and labels that sink along touching runs until none changes.
+LABELS = """, dk AS (SELECT scene_id, row, col, 1e0 - value AS prob, col - row_number() OVER (PARTITION BY scene_id, row ORDER BY col) AS island FROM pixels WHERE value < 0.45e0),
+rn AS (SELECT scene_id, row, min(col) AS s, max(col) AS e, island, row * 4294967296 + min(col) AS node FROM dk GROUP BY scene_id, row, island),
+ed AS (SELECT x.scene_id, x.node AS a, y.node AS b FROM rn x JOIN rn y ON y.scene_id = x.scene_id AND y.row = x.row + 1 AND y.s <= x.e + 1 AND y.e >= x.s - 1),
+bo AS (SELECT scene_id, a, b FROM ed UNION ALL SELECT scene_id, b, a FROM ed),
+lb(scene_id, node, label) USING KEY (scene_id, node) AS (SELECT scene_id, node, node FROM rn UNION
+ SELECT bo.scene_id, bo.a, min(n.label) FROM bo JOIN lb n ON n.scene_id = bo.scene_id AND n.node = bo.b JOIN recurring.lb o ON o.scene_id = bo.scene_id AND o.node = bo.a WHERE n.label < o.label GROUP BY 1, 2),
+px AS (SELECT dk.*, label AS component FROM dk JOIN rn USING (scene_id, row, island) JOIN lb USING (scene_id, node))"""
+PIXEL_KM2 = "(abs(max_lon-min_lon)*(111.320e0*cos(radians((min_lat+max_lat)/2e0)))*(abs(max_lat-min_lat)*110.574e0)/(w*h))"
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(recursive(PX + DIMS + BOUNDS_SQL + LABELS + f""", c AS (SELECT scene_id, component, count(*) AS pixels, avg(prob) AS p, min(row) AS min_row, max(row) AS max_row, min(col) AS min_col, max(col) AS max_col,
+  avg(col) AS x, avg(row) AS y FROM px GROUP BY 1, 2), a AS (SELECT c.*, pixels * {PIXEL_KM2} AS area FROM c JOIN bounds USING (scene_id))
+SELECT scene_id, component, pixels, {R('area', 4)} AS area_km2, {R('p', 4)} AS mean_prob, min_row, max_row, min_col, max_col, {R('x', 4)} AS cx, {R('y', 4)} AS cy FROM a WHERE area >= 0.01e0"""))
 def mask_components(v: Views) -> DataFrame:
     figures = detect.component_figures(cut_lineage(_labelled(v)), _bounds(v), 0.01)
     return figures.select("scene_id", "component", "pixels", rnd(F.col("area_km2"), 4).alias("area_km2"), rnd(F.col("mean_prob"), 4).alias("mean_prob"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from checks.views import Views, sql_views
 from tidemark.functions import geo
 from tidemark.functions.scalar import fixed
 from tidemark.operators import cases, dataset, drift, export, tracks
+from tidemark.sources.rasters import write_report
+from tidemark.sources.scratch import new_path
 
 # --- files and datasets ------------------------------------------------------
 
@@ -28,7 +32,8 @@ def file_intake(v: Views) -> DataFrame:
     return dataset.intake_check(v.paths)
 
 
-@query(sql_views("paths") + f", t AS (SELECT *, {EXT} AS ext, {BASENAME} AS basename FROM paths) SELECT * FROM t WHERE ext IN {FORMATS} AND NOT (ext = '.png' AND basename IN (SELECT basename FROM t WHERE ext = '.npy'))")
+@query(sql_views("paths") + f""", t AS (SELECT *, {EXT} AS ext, {BASENAME} AS basename, regexp_extract(path, '^(.*/)?[^/]+$', 1) AS folder FROM paths)
+SELECT * EXCLUDE (folder) FROM t WHERE ext IN {FORMATS} AND NOT (ext = '.png' AND (folder, basename) IN (SELECT (folder, basename) FROM t WHERE ext = '.npy'))""")
 def raster_file_list(v: Views) -> DataFrame:
     return dataset.prefer_arrays(v.paths)
 
@@ -138,6 +143,14 @@ def spill_share(v: Views) -> DataFrame:
     return dataset.spill_share(v.images.withColumn("has_spill", F.col("has_inf")))
 
 
+@query(sql_views("images") + "SELECT count(*) AS total, count(*) FILTER (has_inf) AS with_spill, count(*) FILTER (NOT has_inf) AS without_spill FROM images")
+def report_roundtrip(v: Views) -> DataFrame:
+    """The summary through its JSON file and back."""
+    path = new_path(v.spark, "report")
+    write_report(dataset.spill_share(v.images.withColumn("has_spill", F.col("has_inf"))), path)
+    return v.spark.read.json(path)
+
+
 @query(IM + "SELECT scene_id, CASE WHEN i.h <> m.h OR i.w <> m.w THEN 'SIZE_MISMATCH' WHEN i.has_nan OR m.has_nan THEN 'NAN' ELSE 'INFINITE' END AS reason FROM images i JOIN masks m USING (scene_id) WHERE i.h <> m.h OR i.w <> m.w OR i.has_nan OR m.has_nan OR i.has_inf OR m.has_inf")
 def skipped_scenes(v: Views) -> DataFrame:
     return dataset.skipped_scenes(v.images, v.masks)
@@ -238,13 +251,16 @@ def spill_state(v: Views) -> DataFrame:
     return cases.current_state(v.spill_log, "spill_id", ["status", "confidence"]).select("spill_id", "status", "confidence", us("updated_at", "updated_us"))
 
 
-@query(sql_views("spills", "candidates", "simulations") + """, t AS (SELECT spill_id FROM spills WHERE status = 'REJECTED'), k AS (SELECT 'spill' AS tbl, spill_id FROM spills UNION ALL SELECT 'candidate', spill_id FROM candidates UNION ALL SELECT 'simulation', spill_id FROM simulations)
+@query(sql_views("spills", "candidates", "simulations", "detections", "particles", "case_log") + """, t AS (SELECT spill_id FROM spills WHERE status = 'REJECTED'), k AS (SELECT 'spill' AS tbl, spill_id FROM spills UNION ALL SELECT 'candidate', spill_id FROM candidates UNION ALL SELECT 'simulation', spill_id FROM simulations
+ UNION ALL SELECT 'detection', spill_id FROM detections UNION ALL SELECT 'case', spill_id FROM case_log UNION ALL SELECT 'particle', spill_id FROM particles JOIN simulations USING (simulation_id))
 SELECT tbl, spill_id, count(*) AS n FROM k ANTI JOIN t USING (spill_id) GROUP BY 1, 2""")
 def cascade_delete(v: Views) -> DataFrame:
     dead = v.spills.filter("status = 'REJECTED'")
-    parts = [cases.without_deleted(df, dead).select(F.lit(n).alias("tbl"), "spill_id")
-             for n, df in (("spill", v.spills), ("candidate", v.candidates), ("simulation", v.simulations))]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("tbl", "spill_id").agg(F.count("*").alias("n"))
+    tables = {"spill": v.spills, "candidate": v.candidates, "simulation": v.simulations, "detection": v.detections, "case": v.case_log, "particle": v.particles}
+    left = cases.with_children_deleted(tables, dead, grandchildren={"particle": ("simulation", "simulation_id")})
+    left["particle"] = left["particle"].join(v.simulations.select("simulation_id", "spill_id"), "simulation_id")
+    parts = [df.select(F.lit(n).alias("tbl"), "spill_id") for n, df in left.items()]
+    return reduce(DataFrame.unionAll, parts).groupBy("tbl", "spill_id").agg(F.count("*").alias("n"))
 
 
 @query(sql_views("spills", "scenes") + "SELECT spill_id, coalesce(s.satellite, 'Sentinel-1A SAR') AS satellite_source, coalesce(s.polarization, 'VV') AS polarization FROM spills LEFT JOIN scenes s ON s.scene_id = satellite_image_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from checks.views import Views, sql_views
 from tidemark.functions import geo
 from tidemark.functions.scalar import fixed, rnd
 from tidemark.operators import ais, spatial, tracks
+from tidemark.plans.ingest import clean_csv, import_positions
 from tidemark.sources.positions import append_positions, read_csv, read_json
 from tidemark.sources.scratch import new_path
 
@@ -67,6 +70,52 @@ def json_import(v: Views) -> DataFrame:
     return _flat(ais.clean_positions(read_json(v.spark, path, lines=True)))
 
 
+@query(AUDIT + f"SELECT {CLEAN_COLUMNS} FROM audit WHERE reject_reason IS NULL")
+def csv_mixed_headers(v: Views) -> DataFrame:
+    """Files of one folder with other headers in another order; names hold quotes, commas and backslashes."""
+    path, mark = new_path(v.spark, "csv"), '", \\'
+    marked = v.raw_ais.withColumn("name", F.when(F.trim("name") != "", F.concat("name", F.lit(mark))).otherwise(F.col("name")))
+    marked.filter("ingest_seq % 2 = 0").write.option("escape", '"').csv(path, header=True)
+    other = marked.filter("ingest_seq % 2 = 1").select(
+        F.col("longitude").alias("LON"), F.col("latitude").alias("LAT"), F.col("timestamp").alias("BaseDateTime"), "ingest_seq",
+        F.col("speed").alias("SOG"), F.col("course").alias("COG"), F.col("name").alias("VesselName"), F.col("mmsi").alias("MMSI"))
+    other.write.mode("append").option("escape", '"').csv(path, header=True)
+    clean = clean_csv(v.spark, path)
+    plain = F.when(F.endswith("name", F.lit(mark)), F.col("name").substr(F.lit(1), F.length("name") - len(mark))).otherwise(F.col("name"))
+    return _flat(clean).withColumns({"ingest_seq": F.col("ingest_seq").cast("bigint"), "name": plain})
+
+
+@query(AUDIT + f"SELECT {CLEAN_COLUMNS} FROM audit WHERE reject_reason IS NULL")
+def json_list_import(v: Views) -> DataFrame:
+    """JSON lists and objects with records, whose records differ in their headers and kinds of time."""
+    even = F.col("ingest_seq") % 2 == 0
+    iso = F.when(F.col("timestamp").rlike(r"^\d{4}-.*Z$"), F.unix_seconds(F.col("timestamp").try_cast("timestamp")).cast("string"))
+    record = F.to_json(F.struct(
+        "ingest_seq", F.when(even, F.col("mmsi")).alias("mmsi"), F.when(~even, F.col("mmsi")).alias("MMSI"),
+        F.when(even, F.col("latitude")).alias("LAT"), F.when(~even, F.col("latitude")).alias("latitude"), F.col("longitude").alias("lon"),
+        F.col("speed").alias("sog"), F.col("course").alias("COG"), "name", F.coalesce(iso, F.col("timestamp")).alias("time")))
+    bare = F.regexp_replace(record, r'"time":"(\d+)"', '"time":$1')
+    files = v.raw_ais.select(F.floor(F.col("ingest_seq") / 1000).alias("file"), bare.alias("r")).groupBy("file").agg(F.array_join(F.collect_list("r"), ",").alias("r"))
+    rules = ais.CleanRules(per_record=True)
+    out = []
+    for rest, form in ((0, F.concat(F.lit("["), "r", F.lit("]"))), (1, F.concat(F.lit('{"records":['), "r", F.lit("]}")))):
+        path = new_path(v.spark, "json")
+        files.filter(F.col("file") % 2 == rest).select(form.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+        if rest == 0 or not files.filter("file % 2 = 1").isEmpty():
+            out.append(_flat(ais.clean_positions(read_json(v.spark, path), rules)).select(*CLEAN_COLUMNS.split(", ")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(AUDIT + f""", o AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM audit WHERE reject_reason IS NULL WINDOW w AS (PARTITION BY mmsi ORDER BY ts, ingest_seq))
+SELECT CAST(mmsi AS BIGINT) AS vessel_id, {R(f"coalesce(sum({HAV('lat', 'lon', 'lat2', 'lon2')}), 0)", 4)} AS length_km, count(*) AS waypoints, min(ts) AS start_us, max(ts) AS end_us FROM o GROUP BY 1""")
+def imported_track_summary(v: Views) -> DataFrame:
+    """From raw records through the store to tracks."""
+    path = new_path(v.spark, "positions")
+    import_positions(v.raw_ais, v.vessels, path, "ingest_seq")
+    return tracks.track_summary(v.spark.read.parquet(path)).select(
+        "vessel_id", rnd(F.col("length_km"), 4).alias("length_km"), "waypoints", us("start_time", "start_us"), us("end_time", "end_us"))
+
+
 @query(AUDIT + "SELECT mmsi, CAST(count(*) AS BIGINT) AS n, max(ts) AS last_us FROM audit WHERE reject_reason IS NULL GROUP BY mmsi")
 def position_store(v: Views) -> DataFrame:
     """Append by day, then read back."""
@@ -76,7 +125,7 @@ def position_store(v: Views) -> DataFrame:
 
 
 @query(AUDIT + """, v AS (SELECT CAST(419000000 + c_custkey AS VARCHAR) AS mmsi FROM customer WHERE c_acctbal > 0)
-SELECT mmsi, arg_min(name, ingest_seq) AS name, 'Tanker' AS ship_type, 'India' AS flag FROM audit
+SELECT CAST(mmsi AS BIGINT) AS vessel_id, mmsi, arg_min(name, ingest_seq) AS name, 'Tanker' AS ship_type, 'India' AS flag FROM audit
 WHERE reject_reason IS NULL AND mmsi NOT IN (SELECT mmsi FROM v) GROUP BY mmsi""")
 def new_vessels(v: Views) -> DataFrame:
     known = v.spark.read.parquet(f"{v.sf_dir}/customer.parquet").filter("c_acctbal > 0").select(
@@ -248,17 +297,17 @@ def catalogue_search(v: Views) -> DataFrame:
 LATEST_AT = "TIMESTAMP '1996-06-15 12:00:00'"
 
 
-@query(sql_views("spills", "catalogue") + f""", p AS (SELECT spill_id, lon, lat, {LATEST_AT} + to_days(CAST(spill_id AS INTEGER)) AS at_ts, 50e0/110.574e0 AS dy, 50e0/(111.320e0*greatest(abs(cos(radians(lat))), 0.1e0)) AS dx FROM spills),
+@query(sql_views("spills", "catalogue") + f""", p AS (SELECT spill_id, lon, lat, {LATEST_AT} + to_days(CAST(spill_id AS INTEGER) * CASE WHEN spill_id % 7 = 0 THEN 100 ELSE 1 END) AS at_ts, 50e0/110.574e0 AS dy, 50e0/(111.320e0*greatest(abs(cos(radians(lat))), 0.1e0)) AS dx FROM spills),
 h AS (SELECT spill_id, at_ts, acquisition_id, acquisition_time FROM p, catalogue c WHERE c.min_lon <= {R('lon+dx', 5)} AND c.max_lon >= {R('lon-dx', 5)} AND c.min_lat <= {R('lat+dy', 5)} AND c.max_lat >= {R('lat-dy', 5)}
  AND acquisition_time BETWEEN at_ts - INTERVAL 14 DAY AND at_ts),
 b AS (SELECT *, row_number() OVER (PARTITION BY spill_id ORDER BY acquisition_time DESC, acquisition_id DESC) AS rn, count(*) OVER (PARTITION BY spill_id) AS n, greatest(0.1e0, {HOURS('at_ts', 'acquisition_time')}) AS age FROM h)
-SELECT spill_id, acquisition_id, epoch_us(acquisition_time) AS acquired_us, least(n, 5) AS available,
- CASE WHEN age < 24 THEN 'Acquired ' || {FIX('age', 1)} || ' hours ago' ELSE 'Acquired ' || {FIX('age/24', 1)} || ' days ago' END AS data_freshness FROM b WHERE rn = 1""")
+SELECT spill_id, acquisition_id, epoch_us(acquisition_time) AS acquired_us, CASE WHEN acquisition_id IS NULL THEN 0 ELSE least(n, 5) END AS available,
+ CASE WHEN acquisition_id IS NULL THEN NULL WHEN age < 24 THEN 'Acquired ' || {FIX('age', 1)} || ' hours ago' ELSE 'Acquired ' || {FIX('age/24', 1)} || ' days ago' END AS data_freshness FROM p LEFT JOIN (SELECT * EXCLUDE (at_ts) FROM b WHERE rn = 1) USING (spill_id)""")
 def latest_scene(v: Views) -> DataFrame:
-    at = F.expr(LATEST_AT) + F.make_dt_interval(days=F.col("spill_id").cast("int"))
+    at = F.expr(LATEST_AT) + F.make_dt_interval(days=(F.col("spill_id") * F.when(F.col("spill_id") % 7 == 0, 100).otherwise(1)).cast("int"))
     points = v.spills.select("spill_id", "lon", "lat", at.cast("timestamp").alias("at"))
     best = spatial.latest_scene(points, v.catalogue, key="spill_id")
-    return best.select("spill_id", "acquisition_id", us("acquisition_time", "acquired_us"), F.col("available").cast("bigint").alias("available"), "data_freshness")
+    return best.select("spill_id", "acquisition_id", us("acquisition_time", "acquired_us"), "available", "data_freshness")
 
 
 @query(sql_views("catalogue") + """SELECT acquisition_id, CASE WHEN contains(product_id, 'S1A') THEN 'Sentinel-1A' WHEN contains(product_id, 'S1B') THEN 'Sentinel-1B' ELSE 'Sentinel-1' END AS satellite,

@@ -62,7 +62,7 @@ TEMPLATES = {
     "masks": """SELECT k AS scene_id, concat('scene_', CAST(k AS [STR])) AS basename, CASE WHEN k % 10 < 7 THEN 'train' WHEN k % 10 < 9 THEN 'val' ELSE 'test' END AS split,
  256 AS h, 256 AS w, k % 83 = 0 AS has_nan, false AS has_inf, k % 7 <> 0 AS is_binary
  FROM (SELECT doc_id AS k FROM {labels} UNION SELECT conv_id*20 AS k FROM {conversations})""",
-    "paths": """SELECT concat('s3/in/', CASE WHEN doc_id % 11 = 0 THEN 'Sc.' ELSE 'scene_' END, CAST(doc_id [DIV] 2 AS [STR]), CASE WHEN doc_id % 13 = 0 THEN '_mask' ELSE '' END,
+    "paths": """SELECT concat('s3/in/', CASE WHEN doc_id % 3 = 0 THEN 'a/' ELSE '' END, CASE WHEN doc_id % 11 = 0 THEN 'Sc.' ELSE 'scene_' END, CAST(doc_id [DIV] 2 AS [STR]), CASE WHEN doc_id % 13 = 0 THEN '_mask' ELSE '' END,
  CASE doc_id % 5 WHEN 0 THEN '.npy' WHEN 1 THEN '.png' WHEN 2 THEN '.TIF' WHEN 3 THEN '.webp' ELSE '.txt' END) AS path,
  CASE WHEN doc_id % 17 = 0 THEN 0 ELSE n_chars * 20000 END AS length FROM {documents}""",
     "mask_paths": """SELECT concat('s3/gt/', CASE WHEN doc_id % 22 = 0 THEN 'Sc.' ELSE 'scene_' END, CAST(doc_id [DIV] 2 AS [STR]),

@@ -40,6 +40,7 @@ def test_tanker_golden(spark):
 
 
 OX, OY, SX, SY = 72.25, 18.75, 72.48, 18.96
+# Way points of five ships about the spill and its origin.
 DEMO = {
     1: [(OX - .25, OY - .20, -2.5, 14.2, 50.0), (OX - .10, OY - .08, -1, 14.0, 50.0), (OX + .01, OY + .01, 0, 7.8, 55.0),
         (OX + .12, OY + .10, 1.5, 13.5, 52.0), (OX + .30, OY + .25, 3.5, 14.1, 50.0)],
@@ -160,6 +161,14 @@ def test_hour_fallback(spark):
     assert c.cond.is_demo and c.cond.current_speed_mps == 0.42
 
 
+def test_source_cells_that_share_a_key(spark):
+    rows = [(18.001, 72.5, T0, 36.0, 0.0, 1.0, 0.0), (18.004, 72.5, T0, 18.0, 0.0, 1.0, 0.0), (18.004, 72.5, T0 + timedelta(hours=1), 9.0, 0.0, 1.0, 0.0)]
+    series = spark.createDataFrame(rows, "cell_lat double, cell_lon double, hour timestamp, wind_kmh double, wind_dir double, current_kmh double, current_dir double")
+    pts = spark.createDataFrame([(1, 18.0, 72.5, T0), (2, 18.0, 72.5, T0 + timedelta(hours=1))], "id bigint, lat double, lon double, ts timestamp")
+    got = [(r.id, r.wind_kmh) for r in forcing.lookup(pts, series).orderBy("id").collect()]
+    assert got == [(1, 36.0), (2, 9.0)]
+
+
 def test_hindcast_to_ranking(spark, tmp_path):
     s = spills(spark).withColumn("ring", F.lit(None).cast(attribution.RING_TYPE))
     sims = hindcast(s, None)
@@ -169,3 +178,6 @@ def test_hindcast_to_ranking(spark, tmp_path):
     ranked = rank_ships(s, sims, p, str(tmp_path / "c")).orderBy("rank").collect()
     assert [x.rank for x in ranked] == list(range(1, len(ranked) + 1))
     assert [x.overall_score for x in ranked] == sorted((x.overall_score for x in ranked), reverse=True)
+    # A run without any ship near clears what the run before has stored.
+    far = positions(spark, {7: [(10.0, 50.0, 0, 12.0, 0.0)]})
+    assert rank_ships(s, sims, far, str(tmp_path / "c")).count() == 0

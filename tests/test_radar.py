@@ -177,7 +177,12 @@ def test_raster_files(spark, tmp_path):
     for pol, want in (("VV", 0.0), ("VH", 1.0)):
         got = read_rasters(spark, str(tmp_path), pol).groupBy("scene").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()
         assert {r.scene: (r.n, r.m) for r in got if r.scene != "flat"} == {"first": (15600, want), "last": (15600, want)}
-    assert sorted(r.basename + r.ext for r in list_raster_files(spark, str(tmp_path)).collect()) == ["first.npy", "flat.npy", "last.npy", "only.png"]
+    (tmp_path / "sub").mkdir()
+    np.save(tmp_path / "sub" / "flat.npy", RNG.random((3, 4)))
+    (tmp_path / "sub" / "first.png").write_bytes(b"x")
+    sizes = {r["scene"]: r["count"] for r in read_rasters(spark, str(tmp_path)).groupBy("scene").count().collect()}
+    assert (sizes["flat"], sizes["sub/flat"]) == (630, 12)
+    assert sorted(r.basename + r.ext for r in list_raster_files(spark, str(tmp_path)).collect()) == ["first.npy", "first.png", "flat.npy", "flat.npy", "last.npy", "only.png"]
     write_report(spark.range(1), str(tmp_path / "report"))
     assert len(list((tmp_path / "report").glob("*.json"))) == 1
 

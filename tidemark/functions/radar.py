@@ -27,11 +27,6 @@ def mask_at(prob: Column, threshold: float = 0.5) -> Column:
     return F.when(prob >= lit_f(threshold), 1).otherwise(0)
 
 
-def loader_mask(value: Column) -> Column:
-    """Loader rule: only values above 127 count, so a 0/1 mask turns all 0."""
-    return F.when(value > 127, 1).otherwise(0)
-
-
 def hann(i: Column, size: int) -> Column:
     if size == 1:
         return lit_f(1)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,15 +45,6 @@ def fixed(x: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", rnd(x, digits))
 
 
-def blank_to_null(x: Column) -> Column:
-    t = F.trim(x)
-    return F.when(t != "", t)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
 def iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
 

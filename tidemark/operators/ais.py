@@ -26,23 +26,34 @@ ALIASES = {
 
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[nN][aA][nN]|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+PLAIN_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}:\d{1,2}Z?$"
+DAY_FIRST = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$"
+EPOCH = r"^\d+(\.\d+)?$"
 
 
 @dataclass(frozen=True)
 class CleanRules:
+    """``per_record`` chooses the header for each record, as for JSON, and not for the table.
+
+    There an absent coordinate reads as 0 and digits alone are epoch seconds; a field that is
+    null cannot be told from one that is absent, nor a number from its text.
+    """
+
     max_speed_kn: float = 50.0
     default_type: str = "Tanker"
     default_status: str = "Under way using engine"
+    per_record: bool = False
 
 
-def _present(df: DataFrame, field: str) -> str | None:
-    """First accepted header that exists in the input; presence counts, not content."""
-    return next((n for n in ALIASES[field] if n in df.columns), None)
+def _headers(df: DataFrame, field: str, rules: CleanRules) -> list[str]:
+    """Accepted headers that the input has: the first alone, or all where records choose."""
+    found = [n for n in ALIASES[field] if n in df.columns]
+    return found if rules.per_record else found[:1]
 
 
-def _text(df: DataFrame, field: str) -> Column:
-    name = _present(df, field)
-    return F.lit(None).cast("string") if name is None else F.col(f"`{name}`").cast("string")
+def _text(df: DataFrame, field: str, rules: CleanRules) -> Column:
+    names = _headers(df, field, rules)
+    return F.coalesce(*[F.col(f"`{n}`").cast("string") for n in names]) if names else F.lit(None).cast("string")
 
 
 def parse_number(x: Column) -> Column:
@@ -50,20 +61,30 @@ def parse_number(x: Column) -> Column:
     return F.when(x.rlike(NUMBER), F.trim(x).try_cast("double"))
 
 
-def parse_time(df: DataFrame) -> Column:
+def _seconds(x: Column) -> Column:
+    return F.when(x != 0, F.timestamp_micros((x.cast("double") * 1e6).cast("bigint")))
+
+
+def parse_time(df: DataFrame, rules: CleanRules = CleanRules()) -> Column:
     """ISO-8601 or dd/MM/yyyy text, or epoch seconds; blank and 0 give null; naive is UTC."""
-    name = _present(df, "ts")
-    if name is None:
-        return F.lit(None).cast("timestamp")
-    kind, raw = df.schema[name].dataType, F.col(f"`{name}`")
-    if isinstance(kind, T.NumericType):
-        return F.when(raw != 0, F.timestamp_micros((raw.cast("double") * 1e6).cast("bigint")))
-    if not isinstance(kind, T.StringType):
-        return raw.cast("timestamp")
-    t = F.trim(raw)
-    day_first = r"^\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}$"
-    return (F.when(t.rlike(ISO_TIME), t.try_cast("timestamp"))
-            .when(t.rlike(day_first), F.try_to_timestamp(t, F.lit("dd/MM/yyyy HH:mm:ss"))))
+    def one(name: str) -> Column:
+        kind, raw = df.schema[name].dataType, F.col(f"`{name}`")
+        if isinstance(kind, T.NumericType):
+            return _seconds(raw)
+        if not isinstance(kind, T.StringType):
+            return raw.cast("timestamp")
+        t = F.trim(raw)
+        # The cast wants seconds, and a colon inside the zone.
+        full = F.regexp_replace(t, r"^(\S{10}[T ]\d{2}:\d{2})(?=$|[Z+-])", "$1:00")
+        full = F.regexp_replace(full, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+        out = (F.when(t.rlike(ISO_TIME), full.try_cast("timestamp"))
+               .when(t.rlike(PLAIN_TIME), F.try_to_timestamp(F.translate(t, "TZ", " "), F.lit("yyyy-M-d H:m:s")))
+               .when(t.rlike(DAY_FIRST), F.try_to_timestamp(t, F.lit("d/M/yyyy H:m:s"))))
+        return out.when(t.rlike(EPOCH), _seconds(t.try_cast("double"))) if rules.per_record else out
+    out = F.lit(None).cast("timestamp")
+    for name in reversed(_headers(df, "ts", rules)):
+        out = F.when(F.col(f"`{name}`").isNotNull(), one(name)).otherwise(out)
+    return out
 
 
 def audit_positions(raw: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
@@ -72,25 +93,29 @@ def audit_positions(raw: DataFrame, rules: CleanRules = CleanRules()) -> DataFra
     All expressions are row-local, so batch and streaming input work alike.
     Columns that are not position fields (for example an ingest sequence) stay.
     """
-    used = {_present(raw, f) for f in ALIASES} - {None}
+    used = {n for f in ALIASES for n in _headers(raw, f, rules)}
     keep = [F.col(f"`{c}`") for c in raw.columns if c not in used and c not in ALIASES]
-    mmsi = F.trim(F.coalesce(_text(raw, "mmsi"), F.lit("")))
+    def text(field: str) -> Column:
+        return _text(raw, field, rules)
+    mmsi = F.trim(F.coalesce(text("mmsi"), F.lit("")))
 
     def coordinate(field: str) -> Column:
         # A header that is absent altogether reads as 0; a present but unreadable value rejects.
-        return lit_f(0) if _present(raw, field) is None else parse_number(_text(raw, field))
+        if rules.per_record:
+            return F.when(text(field).isNull(), lit_f(0)).otherwise(parse_number(text(field)))
+        return parse_number(text(field)) if _headers(raw, field, rules) else lit_f(0)
 
     step1 = raw.select(
         *keep,
         mmsi.alias("mmsi"), coordinate("lat").alias("lat"), coordinate("lon").alias("lon"),
-        parse_time(raw).alias("ts"),
-        F.coalesce(parse_number(_text(raw, "speed")), lit_f(0)).alias("speed"),
-        F.coalesce(wrap360(parse_number(_text(raw, "course"))), lit_f(0)).alias("course"),
-        wrap360(parse_number(_text(raw, "heading"))).alias("_heading"),
-        F.trim(F.coalesce(_text(raw, "name"), F.lit(""))).alias("_name"),
-        F.trim(F.coalesce(_text(raw, "ship_type"), F.lit(""))).alias("_type"),
-        (F.lit(rules.default_status) if _present(raw, "navigation_status") is None
-         else F.coalesce(_text(raw, "navigation_status"), F.lit(""))).alias("navigation_status"),
+        parse_time(raw, rules).alias("ts"),
+        F.coalesce(parse_number(text("speed")), lit_f(0)).alias("speed"),
+        F.coalesce(wrap360(parse_number(text("course"))), lit_f(0)).alias("course"),
+        wrap360(parse_number(text("heading"))).alias("_heading"),
+        F.trim(F.coalesce(text("name"), F.lit(""))).alias("_name"),
+        F.trim(F.coalesce(text("ship_type"), F.lit(""))).alias("_type"),
+        F.coalesce(text("navigation_status"), F.lit(
+            "" if _headers(raw, "navigation_status", rules) and not rules.per_record else rules.default_status)).alias("navigation_status"),
     )
     lat, lon, speed = F.col("lat"), F.col("lon"), F.col("speed")
     bad_position = (lat.isNull() | lon.isNull() | ~lat.between(-90.0, 90.0) | ~lon.between(-180.0, 180.0)
@@ -122,6 +147,16 @@ def clean_positions(raw: DataFrame, rules: CleanRules = CleanRules()) -> DataFra
     return audited.select(F.explode(kept).alias("r")).select("r.*")
 
 
+def with_ids(clean: DataFrame, seq: str | None = None) -> DataFrame:
+    """Adds vessel_id, the ship's number, and position_id.
+
+    The latter is ``seq`` if one is named, else a digest of the record, which only equal
+    records share.  Both follow from the record alone: repeated runs give the same.
+    """
+    record = F.xxhash64("mmsi", "ts", "lat", "lon", "speed", "course", "heading", "navigation_status")
+    return clean.withColumns({"vessel_id": F.col("mmsi").cast("bigint"), "position_id": record if seq is None else F.col(seq).cast("bigint")})
+
+
 def new_vessels(clean: DataFrame, vessels: DataFrame, seq: str, flag: str = "India") -> DataFrame:
     """Vessels that the registry lacks; the first record of each (by ``seq``) names it.
 
@@ -130,7 +165,7 @@ def new_vessels(clean: DataFrame, vessels: DataFrame, seq: str, flag: str = "Ind
     """
     firsts = clean.groupBy("mmsi").agg(F.min_by(F.struct("name", "ship_type"), F.col(seq)).alias("v"))
     return (firsts.join(vessels.select("mmsi"), "mmsi", "left_anti")
-            .select("mmsi", "v.name", "v.ship_type", F.lit(flag).alias("flag")))
+            .select(F.col("mmsi").cast("bigint").alias("vessel_id"), "mmsi", "v.name", "v.ship_type", F.lit(flag).alias("flag")))
 
 
 def import_summary(clean: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ IMAGE_EXT = (".tif", ".tiff", ".png", ".jpg", ".jpeg", ".npy", ".webp")
 SCENE_EXT = (".tif", ".tiff", ".png", ".jpg", ".jpeg", ".npy", ".nc", ".webp")
 MASK_MARKS = ("_mask", "-mask", "_label", "-label", "_gt")
 MASK_ENDINGS = (".tif", ".tiff", ".png", ".npy", "_mask.png", "_mask.tif", "_label.png", "_gt.png")
-LOADER_MASK_EXT = (".png", ".npy", ".tif", ".tiff", ".webp")
 MAX_UPLOAD_BYTES = 50 * 1024 * 1024
 
 
@@ -21,6 +20,10 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
+def folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*/)?[^/]+$", 1)
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r".(\.[^.]*)$", 1))
 
@@ -38,19 +41,20 @@ def intake_check(files: DataFrame, allowed: tuple[str, ...] = IMAGE_EXT, max_byt
 
 
 def prefer_arrays(files: DataFrame) -> DataFrame:
-    """Image files without the .png preview of an array of the same name."""
-    tagged = (files.withColumn("ext", extension(F.col("path"))).withColumn("basename", base_name(F.col("path")))
+    """Image files without the .png preview of an array of the same name in the same folder."""
+    tagged = (files.withColumns({"ext": extension(F.col("path")), "basename": base_name(F.col("path")), "_folder": folder(F.col("path"))})
               .filter(F.col("ext").isin(*IMAGE_EXT)))
-    arrays = tagged.filter("ext = '.npy'").select("basename").distinct().withColumn("_has", F.lit(True))
-    return (tagged.join(arrays, "basename", "left")
-            .filter((F.col("ext") != ".png") | F.col("_has").isNull()).drop("_has"))
+    arrays = tagged.filter("ext = '.npy'").select("_folder", "basename").distinct().withColumn("_has", F.lit(True))
+    return (tagged.join(arrays, ["_folder", "basename"], "left")
+            .filter((F.col("ext") != ".png") | F.col("_has").isNull()).drop("_has", "_folder"))
 
 
 def pair_scene_mask(images: DataFrame, masks: DataFrame) -> DataFrame:
     """Images with the mask of the highest-priority name; both sides are file paths.
 
     Each mask is turned into the (basename, priority) pairs it can serve, so this is one
-    equi-join and one small minimum per image.
+    equi-join and one small minimum per image.  Of masks of one priority (equal names in two
+    folders) the least path serves.
     """
     image = (images.select("path").distinct().withColumn("name", file_name(F.col("path")))
              .filter(extension(F.col("path")).isin(*[e for e in IMAGE_EXT if e != ".webp"])))
@@ -63,7 +67,7 @@ def pair_scene_mask(images: DataFrame, masks: DataFrame) -> DataFrame:
     offers = (masks.select("path").distinct()
               .withColumn("o", F.explode(F.filter(served, lambda x: x.isNotNull())))
               .select("o.scene", "o.priority", F.col("path").alias("mask_path")))
-    best = offers.groupBy("scene").agg(F.min_by("mask_path", "priority").alias("mask_path"))
+    best = offers.groupBy("scene").agg(F.min(F.struct("priority", "mask_path"))["mask_path"].alias("mask_path"))
     return image.join(best, "scene")
 
 
@@ -87,30 +91,38 @@ def leaked_names(files: DataFrame) -> DataFrame:
     return flags.select("basename", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("pair"))
 
 
+def _checked(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """(split, basename, matched, found): every name of either side, with its errors and warnings."""
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        bad = (F.col("has_nan") | F.col("has_inf")).alias("bad")
+        return df.select("split", "basename", F.struct("h", "w", bad, *more).alias(name))
+
+    def finding(cond: Column, level: str, kind: str) -> Column:
+        return F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(kind).alias("kind")))
+    i, m = F.col("i"), F.col("m")
+    both = i.isNotNull() & m.isNotNull()
+    sound = both & ~i["bad"] & ~m["bad"]
+    found = F.array_compact(F.array(
+        finding(m.isNull(), "ERROR", "MISSING_MASK"), finding(i.isNull(), "WARNING", "ORPHAN_MASK"),
+        finding(both & i["bad"], "ERROR", "BAD_IMAGE_VALUES"), finding(both & ~i["bad"] & m["bad"], "ERROR", "BAD_MASK_VALUES"),
+        finding(sound & ((i["h"] != m["h"]) | (i["w"] != m["w"])), "ERROR", "SIZE_MISMATCH"),
+        finding(sound & ~m["is_binary"], "WARNING", "NOT_BINARY")))
+    pairs = side(images, "i").join(side(masks, "m", "is_binary"), ["split", "basename"], "full")
+    return pairs.select("split", "basename", both.alias("matched"), found.alias("found"))
+
+
 def findings(images: DataFrame, masks: DataFrame) -> DataFrame:
     """One row per error or warning of a split (images, masks: split, basename, h, w, and scan flags)."""
-    def rows(df: DataFrame, level: str, kind: str) -> DataFrame:
-        return df.select("split", F.lit(level).alias("level"), F.lit(kind).alias("kind"), "basename")
-    i, m = images.alias("i"), masks.alias("m")
-    pair = i.join(m, ["split", "basename"])
-    bad_image = F.col("i.has_nan") | F.col("i.has_inf")
-    bad_mask = F.col("m.has_nan") | F.col("m.has_inf")
-    ok = pair.filter(~bad_image & ~bad_mask)
-    return (rows(missing_masks(images, masks), "ERROR", "MISSING_MASK")
-            .unionByName(rows(orphan_masks(images, masks), "WARNING", "ORPHAN_MASK"))
-            .unionByName(rows(pair.filter(bad_image), "ERROR", "BAD_IMAGE_VALUES"))
-            .unionByName(rows(pair.filter(~bad_image & bad_mask), "ERROR", "BAD_MASK_VALUES"))
-            .unionByName(rows(ok.filter("i.h <> m.h OR i.w <> m.w"), "ERROR", "SIZE_MISMATCH"))
-            .unionByName(rows(ok.filter(~F.col("m.is_binary")), "WARNING", "NOT_BINARY")))
+    told = _checked(images, masks).select("split", "basename", F.explode("found").alias("x"))
+    return told.select("split", "x.level", "x.kind", "basename")
 
 
 def split_verdicts(images: DataFrame, masks: DataFrame) -> DataFrame:
     """Per split: matched pairs, error and warning counts, validity.  Details stay in :func:`findings`."""
-    matched = images.join(masks.select("split", "basename"), ["split", "basename"]).groupBy("split").agg(F.count("*").alias("matched"))
-    counts = findings(images, masks).groupBy("split").agg(
-        F.count_if(F.col("level") == "ERROR").alias("errors"), F.count_if(F.col("level") == "WARNING").alias("warnings"))
-    res = matched.join(counts, "split", "full").select(
-        "split", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("matched", "errors", "warnings")])
+    def total(level: str) -> Column:
+        return F.sum(F.size(F.filter("found", lambda x: x["level"] == level))).cast("bigint")
+    res = _checked(images, masks).groupBy("split").agg(
+        F.count_if("matched").alias("matched"), total("ERROR").alias("errors"), total("WARNING").alias("warnings"))
     return res.withColumn("valid", (F.col("errors") == 0) & (F.col("matched") > 0))
 
 

@@ -23,10 +23,13 @@ def lookup(points: DataFrame, forcing: DataFrame, ts: str = "ts") -> DataFrame:
     """Measured series values at (lat, lon, hour of ts).
 
     Adds the four series columns, ``has_series`` (the cell is known) and ``hour_matched``.
-    A known cell without that hour uses the first hour of its series.
+    A known cell without that hour uses the first hour of its series.  Where several source
+    cells or rows fall on one 0.01 degree cell and hour, the south-westernmost one counts (then the
+    least values), so points are never multiplied.
     """
-    exact = forcing.select(cell_key(F.col("cell_lat")).alias("_y"), cell_key(F.col("cell_lon")).alias("_x"),
-                           F.col("hour").alias("_h"), F.struct(*SERIES).alias("_exact"))
+    source = F.struct("cell_lat", "cell_lon", F.struct(*SERIES).alias("series"))
+    exact = (forcing.groupBy(cell_key(F.col("cell_lat")).alias("_y"), cell_key(F.col("cell_lon")).alias("_x"), F.col("hour").alias("_h"))
+             .agg(F.min(source)["series"].alias("_exact")))
     first = (exact.groupBy("_y", "_x").agg(F.min_by("_exact", "_h").alias("_first")))
     keyed = (points.withColumn("_y", cell_key(F.col("lat"))).withColumn("_x", cell_key(F.col("lon")))
              .withColumn("_h", F.date_trunc("hour", F.col(ts))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import attribution, drift
-from tidemark.sources.positions import replace_candidates
+from tidemark.sources.positions import read_candidates, replace_candidates
 
 
 def hindcast(spills: DataFrame, forcing: DataFrame | None, cfg: drift.DriftConfig = drift.DriftConfig()) -> DataFrame:
@@ -17,11 +17,12 @@ def hindcast(spills: DataFrame, forcing: DataFrame | None, cfg: drift.DriftConfi
 
 def rank_ships(spills: DataFrame, simulations: DataFrame, positions: DataFrame, store: str,
                rules: attribution.ScoreRules = attribution.ScoreRules()) -> DataFrame:
-    """Score ships with spatial evidence, replace their spills' stored candidates, and rank from the store.
+    """Score ships with spatial evidence, replace their spills' stored candidates, and rank these from the store.
 
     Ranking reads its input twice (counts per score, then rows), so it starts from the
     stored table and not from the scoring plan.
     """
     origins = attribution.spill_origins(spills, simulations)
-    replace_candidates(attribution.score_near(positions, origins, rules), store)
-    return attribution.rank_candidates(positions.sparkSession.read.parquet(store))
+    replace_candidates(attribution.score_near(positions, origins, rules), spills, store)
+    asked = spills.select(F.col("spill_id").cast("bigint").alias("spill_id")).distinct()
+    return attribution.rank_candidates(read_candidates(positions.sparkSession, store).join(asked, "spill_id", "left_semi"))
