@@ -276,11 +276,29 @@ def mask_components(v: Views) -> DataFrame:
                           "min_row", "max_row", "min_col", "max_col", rnd(F.col("cx"), 4).alias("cx"), rnd(F.col("cy"), 4).alias("cy"))
 
 
-@query()
+BOX = {"box_min_lon": "min_lon + (c0/w)*(max_lon-min_lon)", "box_max_lon": "min_lon + (c1/w)*(max_lon-min_lon)",
+       "box_min_lat": "max_lat - (r1/h)*(max_lat-min_lat)", "box_max_lat": "max_lat - (r0/h)*(max_lat-min_lat)"}
+
+
+@query(recursive(PX + DIMS + BOUNDS_SQL + LABELS + f""",
+sq AS (SELECT scene_id, component, row - dr AS r, col - dc AS c, sum(bit) AS form FROM px, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) o(dr, dc, bit) GROUP BY ALL),
+ol AS (SELECT scene_id, component, count(*) FILTER (form IN (3, 5, 10, 12)) + (count(*) FILTER (form IN (1, 2, 4, 8, 7, 11, 13, 14)) + 2 * count(*) FILTER (form IN (6, 9))) * sqrt(0.5e0) AS steps FROM sq GROUP BY 1, 2),
+c AS (SELECT scene_id, component, count(*) AS n, avg(prob) AS p, min(col) AS c0, max(col) AS c1, min(row) AS r0, max(row) AS r1, avg(col) AS x, avg(row) AS y, var_pop(col) AS vx, var_pop(row) AS vy, covar_pop(col, row) AS xy FROM px GROUP BY 1, 2),
+sc AS (SELECT *, {PIXEL_KM2} AS px_area, (abs(max_lon-min_lon)*(111.320e0*cos(radians((min_lat+max_lat)/2e0)))/w + abs(max_lat-min_lat)*110.574e0/h)/2e0 AS px_km FROM bounds),
+f AS (SELECT c.*, steps * px_km AS per, row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, component) AS no FROM c JOIN ol USING (scene_id, component) JOIN sc USING (scene_id) WHERE n * px_area >= 0.01e0),
+g AS (SELECT scene_id, count(*) AS components, avg(p) AS conf, sum(per) AS per, min(c0) AS c0, max(c1) AS c1, min(r0) AS r0, max(r1) AS r1, sum(x*n)/sum(n) AS cx, sum(y*n)/sum(n) AS cy,
+  max(vx) FILTER (no = 1) AS vx, max(vy) FILTER (no = 1) AS vy, max(xy) FILTER (no = 1) AS xy FROM f GROUP BY 1),
+k AS (SELECT g.*, sc.* EXCLUDE (scene_id), px_area * (SELECT count(*) FROM px WHERE px.scene_id = g.scene_id) AS area,
+  4e0*sqrt((vx+vy)/2e0 + sqrt((vx-vy)*(vx-vy)/4e0 + xy*xy))*px_km AS major, 4e0*sqrt(greatest((vx+vy)/2e0 - sqrt((vx-vy)*(vx-vy)/4e0 + xy*xy), 0e0))*px_km AS minor FROM g JOIN sc USING (scene_id))
+SELECT scene_id, components, {R('least(greatest(conf, 0.5e0), 0.99e0)', 3)} AS confidence, {R('area', 3)} AS area_km2, {R('per', 3)} AS perimeter_km, {R('major', 3)} AS major_axis_km, {R('minor', 3)} AS minor_axis_km,
+  {R('degrees(atan2(2e0*xy, vx-vy)/2e0)', 1)} AS orientation_deg, {R(f'least(1e0, {4*math.pi!r}*area/greatest(per*per, 1e-5))', 3)} AS circularity, {R('major/greatest(minor, 1e-4)', 2)} AS elongation_ratio,
+  CASE WHEN major/greatest(minor, 1e-4) > 3 THEN 'ELONGATED_SLICK' ELSE 'COMPACT_FORMATION' END AS compactness, {R('min_lon + (cx/w)*(max_lon-min_lon)', 5)} AS lon, {R('max_lat - (cy/h)*(max_lat-min_lat)', 5)} AS lat,
+  {", ".join(f"{R(e, 6)} AS {n}" for n, e in BOX.items())} FROM k"""))
 def slick_shapes(v: Views) -> DataFrame:
     lab, bounds = cut_lineage(_labelled(v)), _bounds(v)
     area = lab.groupBy("scene_id").agg(F.count("*").alias("mask_pixels"))
-    return detect.spill_figures(detect.component_figures(lab, bounds), detect.boundary_km(lab, bounds), area)
+    shapes = detect.spill_figures(detect.component_figures(lab, bounds), detect.boundary_km(lab, bounds), area)
+    return shapes.withColumns({c: rnd(F.col(c), 6) for c in BOX})
 
 
 @query(sql_views("spills") + f"SELECT spill_id, {R(f'least(1e0, {4*math.pi!r}*area_km2/greatest(perimeter_km*perimeter_km, 1e-5))', 6)} AS circularity, CASE WHEN elongation > 3 THEN 'ELONGATED_SLICK' ELSE 'COMPACT_FORMATION' END AS compactness FROM spills")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import cut_lineage
@@ -46,13 +46,21 @@ def mask_runs(mask: DataFrame) -> DataFrame:
             .drop("_island", "_start"))
 
 
-def run_edges(runs: DataFrame) -> DataFrame:
-    """Pairs of runs in neighbouring rows that touch, diagonals included."""
-    below = (runs.select("scene_id", (F.col("row") + 1).alias("row"),
-                         F.explode(F.array(F.col("col") - 1, F.col("col"), F.col("col") + 1)).alias("col"),
-                         F.col("node").alias("a")))
-    here = runs.select("scene_id", "row", "col", F.col("node").alias("b"))
-    return below.join(here, ["scene_id", "row", "col"]).select("scene_id", "a", "b").distinct()
+def run_edges(runs: DataFrame, block: int = 64) -> DataFrame:
+    """Pairs of runs in neighbouring rows that touch, diagonals included.
+
+    Runs meet in the blocks of columns that they reach; a pair counts in the block where
+    its overlap begins, so each comes once.
+    """
+    spans = runs.groupBy("scene_id", "row", "node").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+
+    def reached(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
+        return rows.withColumn("_block", F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block))))
+    above = spans.select("scene_id", (F.col("row") + 1).alias("row"), (F.col("lo") - 1).alias("from"), (F.col("hi") + 1).alias("to"), F.col("node").alias("a"))
+    above = reached(above, F.col("from"), F.col("to"))
+    here = reached(spans.withColumnRenamed("node", "b"), F.col("lo"), F.col("hi"))
+    touching = (F.col("from") <= F.col("hi")) & (F.col("to") >= F.col("lo")) & (F.col("_block") == F.floor(F.greatest("from", "lo") / block))
+    return above.join(here, ["scene_id", "row", "_block"]).filter(touching).select("scene_id", "a", "b")
 
 
 def label_runs(nodes: DataFrame, edges: DataFrame) -> DataFrame:

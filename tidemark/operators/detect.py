@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import pixel_area_km2, pixel_lat, pixel_lon, scene_size_km
 from tidemark.functions.radar import circularity, compactness, contrast_probability, mask_at
 from tidemark.functions.scalar import clamp, lit_f, rnd
-from tidemark.operators.components import cross_votes
 from tidemark.operators.raster import along, attach_scene, box_line, gauss_line, gradient
 
 
@@ -117,12 +116,20 @@ def _pixel_scale() -> Column:
 
 
 def boundary_km(labelled: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Outline length per component: free pixel sides times the pixel scale."""
-    # Every pixel votes for itself and its four neighbours; four minus the votes from others is its free sides.
-    votes = cross_votes(labelled.select("scene_id", "component", "row", "col"))
-    free = (votes.groupBy("scene_id", "component", "row", "col").agg(F.bool_or("own").alias("own"), F.count("*").alias("k"))
-            .filter("own").groupBy("scene_id", "component").agg(F.sum(F.lit(5) - F.col("k")).alias("sides")))
-    return free.join(scenes, "scene_id").select("scene_id", "component", (F.col("sides") * _pixel_scale()).alias("perimeter_km"))
+    """Outline length per component, in steps between pixels times the pixel scale.
+
+    Each square of 2 x 2 pixels that the outline crosses adds a straight step or, where it
+    cuts a corner, half a diagonal, so slanted edges are not measured along both sides.
+    """
+    # A pixel is one corner of four squares; the sum of the corners' bits tells the square's form.
+    corners = F.explode(F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc"), F.lit(1 << (2 * r + c)).alias("bit")) for r in (0, 1) for c in (0, 1)]))
+    votes = labelled.select("scene_id", "component", "row", "col", corners.alias("s"))
+    squares = votes.groupBy("scene_id", "component", (F.col("row") - F.col("s.dr")).alias("r"), (F.col("col") - F.col("s.dc")).alias("c")).agg(F.sum("s.bit").alias("form"))
+    form = F.col("form")
+    straight, corner, crossed = form.isin(3, 5, 10, 12), form.isin(1, 2, 4, 8, 7, 11, 13, 14), form.isin(6, 9)
+    steps = squares.groupBy("scene_id", "component").agg(F.count_if(straight).alias("n"), (F.count_if(corner) + 2 * F.count_if(crossed)).alias("halves"))
+    length = F.col("n") + F.col("halves") * lit_f(math.sqrt(0.5))
+    return steps.join(scenes, "scene_id").select("scene_id", "component", (length * _pixel_scale()).alias("perimeter_km"))
 
 
 def spill_figures(figures: DataFrame, outlines: DataFrame, mask_pixels: DataFrame) -> DataFrame:
