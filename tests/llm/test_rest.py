@@ -73,7 +73,9 @@ def test_lattice_equals_plain_pass_and_decodes(spark):
     table = {r["piece"]: (r["score"], r["id"]) for r in pieces.filter("NOT is_byte").collect()}
     low, longest = min(s for s, _ in table.values()) - lattice.PENALTY, max(map(len, table))
     first = pieces.filter("is_byte").agg(F.min("id")).first()[0]
-    rows = lattice.with_round_trip(lattice.encoded(documents(spark), pieces), pieces).collect()
+    rows = lattice.with_round_trip(lattice.encoded(documents(spark), pieces, block=40), pieces).collect()
+    assert len(rows) == len(TEXTS)
+    assert lattice.with_round_trip(lattice.encoded(documents(spark).limit(0), pieces), pieces).collect() == []
     for r in rows:
         whole = lattice.MARK + r.text.replace(" ", lattice.MARK) if r.text else ""
         assert r.round_trip

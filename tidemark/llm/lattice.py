@@ -3,16 +3,21 @@
 Texts are cut into units, a run of word marks and what follows it, which no piece crosses.
 Each different unit is treated once: its substrings of bounded length meet the piece table
 in an equality join, the edges come together by unit, and the best path is a fold over the
-ends of the edges.
+unit's characters.  Texts lie in blocks of bounded size; only a block's different units travel,
+and their ids come back to the block as its word list.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.scratch import cut_lineage
 
@@ -20,6 +25,8 @@ MARK = "▁"
 UNKNOWN = -1
 PENALTY = 10.0  # below the least score, for a character that no piece has
 LONG = 256  # characters; longer units take the plain pass
+BLOCK = 2 << 20  # characters of text that share a word list
+UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -33,10 +40,9 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, is_byte boolean")
 
 
-def units_of(text: Column) -> Column:
+def units_of(text: str | None) -> list[str]:
     """Units of a text in order: a mark stands for each space and one for the start."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"(?s){MARK}+[^{MARK}]*"), F.lit(0)))
+    return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 def best_paths(units: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -58,17 +64,18 @@ def best_paths(units: DataFrame, pieces: DataFrame) -> DataFrame:
     # The piece table is bounded by the model; single characters stay even when no piece has them.
     edges = cut.join(F.broadcast(plain), "piece", "left").filter("id IS NOT NULL OR long = 1").select(
         "unit", "stop", F.struct("start", F.coalesce("score", F.lit(low)).alias("score"), F.coalesce("id", F.lit(UNKNOWN)).alias("id")).alias("edge"))
-    ends = edges.groupBy("unit", "stop").agg(F.collect_list("edge").alias("edges"))
-    lattice = ends.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("stop", "edges"))).alias("ends"))
+    # Rows of a unit never leave its partition, so this needs no further shuffle.
+    lattice = edges.groupBy("unit").agg(F.collect_list(F.struct("stop", "edge")).alias("edges"))
     start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<from:int,id:int>>").alias("back"))
 
-    def step(state: Column, end: Column) -> Column:
-        reach = F.transform(end["edges"], lambda e: F.struct(
-            (F.get(state["best"], e["start"]) + e["score"]).alias("total"), (-e["start"]).alias("first"), e["id"].alias("id")))
+    def step(state: Column, stop: Column) -> Column:
+        ending = F.filter("edges", lambda e: e["stop"] == stop)
+        reach = F.transform(ending, lambda e: F.struct((F.get(state["best"], e["edge"]["start"]) + e["edge"]["score"]).alias("total"),
+                                                       (-e["edge"]["start"]).alias("first"), e["edge"]["id"].alias("id")))
         top = F.array_max(reach)
         return F.struct(F.concat(state["best"], F.array(top["total"])).alias("best"),
                         F.concat(state["back"], F.array(F.struct((-top["first"]).alias("from"), top["id"].alias("id")))).alias("back"))
-    folded = lattice.select("unit", F.aggregate("ends", start, step, lambda s: s["back"]).alias("back"))
+    folded = lattice.select("unit", F.aggregate(F.sequence(F.lit(1), F.length("unit")), start, step, lambda s: s["back"]).alias("back"))
     begin = F.struct(F.size("back").alias("at"), F.array().cast("array<struct<from:int,id:int>>").alias("path"))
 
     def walk(state: Column, _: Column) -> Column:
@@ -112,40 +119,74 @@ def viterbi(unit: str, pieces: dict[str, tuple[float, int]], longest: int, low:
     return [i for ids in reversed(out) for i in ids]
 
 
-def encoded(docs: DataFrame, pieces: DataFrame, text: str = "text") -> DataFrame:
+def _in_blocks(size: int):
+    """Numbers the rows' blocks: rows that follow each other, about ``size`` characters together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            numbers = []
+            for t in batch.column(1):
+                n = len(t.as_py())
+                if filled and filled + n > size:
+                    block, filled = block + 1, 0
+                filled += n
+                numbers.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["block", "row", "text"])
+    return run
+
+
+def _block_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, unit): the different units of each block's texts."""
+    for batch in batches:
+        found: dict[int, set[str]] = {}
+        for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found.setdefault(block, set()).update(units_of(text.as_py()))
+        for block, units in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(units), pa.int64()), pa.array(list(units), pa.string())], ["block", "unit"])
+
+
+def _looked_up(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """The texts of one block with their ids."""
+    ids = dict(zip(words["unit"].to_pylist(), words["ids"].to_pylist()))
+    out = [[i for u in units_of(t.as_py()) for i in ids[u]] for t in texts["text"]]
+    return pa.table([texts["row"], texts["text"], pa.array(out, pa.list_(pa.int32()))], ["row", "text", "ids"])
+
+
+def encoded(docs: DataFrame, pieces: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """Struct ``row`` of ``docs`` (without ``text``) with the text and its ids.
 
-    Different units are encoded once; a text's units meet their ids by an equality join in
-    which a unit comes once per text, with its places, so frequent units weigh less.  A null
-    or empty text has no ids.  Repeated rows are rows of their own; other columns are only
-    carried, so their names cannot clash; empty tables give an empty result.
+    Different units are encoded once.  A block's texts meet the ids of its units in one
+    task; its size is bounded but for a text that is longer itself.  A null or empty text has
+    no ids.  Repeated rows are rows of their own; other columns are only carried, so their
+    names cannot clash; empty tables give an empty result.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = cut_lineage(docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), whole.alias("text"), F.expr("uuid()").alias("uid")))
-    placed = cut_lineage(rows.select("uid", F.posexplode(units_of(F.col("text"))).alias("at", "unit")).groupBy("uid", "unit").agg(F.collect_list("at").alias("at")))
-    paths = cut_lineage(best_paths(placed.select("unit").distinct(), pieces))
-    told = placed.join(paths, "unit").select("uid", F.explode("at").alias("at"), "ids")
-    lists = told.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    ids = F.coalesce(F.flatten(F.transform("parts", lambda p: p["ids"])), F.array().cast("array<int>"))
-    return rows.join(lists, "uid", "left").select("row", "text", ids.alias("ids"))
+    slim = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    row = slim.schema["row"].dataType.simpleString()
+    rows = cut_lineage(slim.mapInArrow(_in_blocks(block), f"block bigint, row {row}, text string"))
+    words = cut_lineage(rows.select("block", "text").mapInArrow(_block_units, "block bigint, unit string"))
+    paths = cut_lineage(best_paths(words.select("unit").distinct(), pieces))
+    told = words.join(paths, "unit")
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_looked_up, f"row {row}, text string, ids array<int>")
 
 
-def decoded(rows: DataFrame, pieces: DataFrame, key: str, ids: str = "ids") -> DataFrame:
-    """(key, text): pieces of the ids joined as bytes, marks turned to spaces, the first dropped.
+def decoded(rows: DataFrame, pieces: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``rows`` with the text of their ids: pieces joined as bytes, marks turned to spaces, the first dropped.
 
-    ``key`` must tell rows apart.
+    The piece table is bounded by the model and is sent to every task.
     """
-    code = F.when(F.col("is_byte"), F.substring("piece", 4, 2)).otherwise(F.hex(F.encode("piece", "UTF-8")))
-    table = pieces.select("id", code.alias("code"))
-    flat = rows.select(key, F.posexplode_outer(ids).alias("at", "id")).join(F.broadcast(table), "id", "left")
-    joined = flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("parts"))
-    raw = F.unhex(F.array_join(F.transform("parts", lambda p: F.coalesce(p["code"], F.lit(""))), ""))
-    spaced = F.replace(F.decode(raw, "UTF-8"), F.lit(MARK), F.lit(" "))
-    return joined.select(key, F.substring(spaced, F.lit(2), F.length(spaced)).alias("text"))
+    code = {r["id"]: bytes([int(r["piece"][3:5], 16)]) if r["is_byte"] else r["piece"].encode() for r in pieces.collect()}
+    table = rows.sparkSession.sparkContext.broadcast(code)
+    at = rows.columns.index(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table.value
+        for batch in batches:
+            texts = [b"".join([known[i] for i in x.as_py() or ()]).decode("utf-8", "replace").replace(MARK, " ")[1:] for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def with_round_trip(coded: DataFrame, pieces: DataFrame) -> DataFrame:
     """``coded`` with n_ids and round_trip: whether the ids decode to the text."""
-    keyed = cut_lineage(coded.withColumn("uid", F.expr("uuid()")))
-    back = decoded(keyed, pieces, "uid").select("uid", F.col("text").alias("back"))
-    return keyed.join(back, "uid").select("row", "text", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("back") == F.col("text")).alias("round_trip"))
+    back = decoded(coded, pieces)
+    return back.select("row", "text", "ids", F.size("ids").cast("long").alias("n_ids"), (F.col("decoded") == F.col("text")).alias("round_trip"))
