@@ -91,9 +91,9 @@ def json_list_import(v: Views) -> DataFrame:
     even = F.col("ingest_seq") % 2 == 0
     iso = F.when(F.col("timestamp").rlike(r"^\d{4}-.*Z$"), F.unix_seconds(F.col("timestamp").try_cast("timestamp")).cast("string"))
     record = F.to_json(F.struct(
-        "ingest_seq", F.when(even, F.col("mmsi")).alias("mmsi"), F.when(~even, F.col("mmsi")).alias("MMSI"),
+        "ingest_seq", F.col("mmsi").alias("MMSI"),
         F.when(even, F.col("latitude")).alias("LAT"), F.when(~even, F.col("latitude")).alias("latitude"), F.col("longitude").alias("lon"),
-        F.col("speed").alias("sog"), F.col("course").alias("COG"), "name", F.coalesce(iso, F.col("timestamp")).alias("time")))
+        F.when(even, F.col("speed")).alias("sog"), F.when(~even, F.col("speed")).alias("speed"), F.col("course").alias("COG"), "name", F.coalesce(iso, F.col("timestamp")).alias("time")))
     bare = F.regexp_replace(record, r'"time":"(\d+)"', '"time":$1')
     files = v.raw_ais.select(F.floor(F.col("ingest_seq") / 1000).alias("file"), bare.alias("r")).groupBy("file").agg(F.array_join(F.collect_list("r"), ",").alias("r"))
     rules = ais.CleanRules(per_record=True)

@@ -43,6 +43,7 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
     ``lines`` reads one record per line, which splits over tasks; the other two forms
     are one JSON value per file.
+    Records that spell a field ``mmsi`` and ``MMSI`` need ``spark.sql.caseSensitive`` set to true.
     """
     df = spark.read.json(path, multiLine=not lines)
     kind = df.schema["records"].dataType if "records" in df.columns else None
