@@ -81,3 +81,20 @@ def test_lattice_equals_plain_pass_and_decodes(spark):
         assert r.round_trip
         if len(whole) < 60:
             assert list(r.ids) == lattice.viterbi(whole, table, longest, low, first)
+
+
+def test_lattice_ids_are_the_library_s(spark):
+    import sentencepiece
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    kept = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(150).collect()
+    texts = [t for t in TEXTS if t is not None] + [r.text or "" for r in kept] + [
+        "  two  spaces ", " ", "▁x", "\tx\r\n\r\ny", "abcabcabc" * 400, "日本語" * 300, "é \U0001f600 " * 90, "the" * 85, "x" * 256, "x" * 257]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(3)
+    pieces = lattice.piece_table(spark, path)
+    for settings in ({}, {"block": 700}):
+        rows = lattice.with_round_trip(lattice.encoded(docs, pieces, **settings), pieces).collect()
+        assert sorted(r.row.n for r in rows) == list(range(len(texts)))
+        for r in rows:
+            assert list(r.ids) == model.encode(texts[r.row.n]), texts[r.row.n][:80]
+            assert r.n_ids == len(r.ids) and r.round_trip == (model.decode(list(r.ids)) == texts[r.row.n])

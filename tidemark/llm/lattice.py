@@ -2,31 +2,36 @@
 
 Texts are cut into units, a run of word marks and what follows it, which no piece crosses.
 Each different unit is treated once: its substrings of bounded length meet the piece table
-in an equality join, the edges come together by unit, and the best path is a fold over the
-unit's characters.  Texts lie in blocks of bounded size; only a block's different units travel,
-and their ids come back to the block as its word list.
+in an equality join, and a fold over the unit's edges merges the adjacent pair of best rank
+until no pair is a piece, which is the order of a BPE model.  Texts lie in blocks of bounded
+size; only a block's different units travel, and their ids come back to the block as its
+word list.  Inside tasks a space stands for the word mark.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.bytescan import text_bytes
 from tidemark.sources.scratch import cut_lineage
 
 MARK = "▁"
 UNKNOWN = -1
 PENALTY = 10.0  # below the least score, for a character that no piece has
 LONG = 256  # characters; longer units take the plain pass
-BLOCK = 2 << 20  # characters of text that share a word list
-UNIT = re.compile(f"{MARK}+[^{MARK}]*")
+BLOCK = 8 << 20  # characters of text that share a word list
+EDGES = 1 << 18  # rows of edges that are folded together
+NEVER = np.iinfo(np.int32).max  # rank of what is no piece
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
@@ -40,83 +45,162 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, is_byte boolean")
 
 
-def units_of(text: str | None) -> list[str]:
-    """Units of a text in order: a mark stands for each space and one for the start."""
-    return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+def units_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(units of all texts in order, number of units of each text): a space stands for each mark and one for the start."""
+    texts = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), MARK, " ")
+    begun = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+    data, offsets = text_bytes(pc.if_else(pc.not_equal(texts, ""), begun, texts))
+    space = data == 32
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts = np.flatnonzero(first)
+    units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+    return units, np.diff(np.searchsorted(starts, offsets))
 
 
 def best_paths(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(unit, ids): the path of largest total score through each different unit.
+    """(unit, blocks, ids): the ids of each different unit by merge order.
 
-    A character without a piece of its own may be an unknown edge, which the bytes of the
-    character replace.  Of equal paths the one with the longer last piece wins, from the end
-    backwards.  Units of more than LONG characters, such as long texts without spaces, take
-    a linear pass over their characters instead of the fold, with the same rule.
+    From single characters on, the adjacent pair whose joined piece has the best score is
+    merged, of equal ones the leftmost, until no pair is a piece.  A character without a
+    piece of its own is replaced by its bytes.  Units of more than LONG characters, such as
+    long texts without spaces, take a pass with a heap instead of the fold, by the same rule.
     """
-    plain = pieces.filter("NOT is_byte").select("piece", "id", "score")
-    figures = plain.agg(F.max(F.length("piece")).alias("longest"), F.min("score").alias("least")).first()
-    low = figures["least"] - PENALTY
+    plain = pieces.filter("NOT is_byte").select(F.translate("piece", MARK, " ").alias("piece"), "id", "score")
+    longest = plain.agg(F.max(F.length("piece")).alias("n")).first()["n"]
     bytes_from = pieces.filter("is_byte").agg(F.min("id").alias("first")).first()["first"]
-    short = units.filter(F.length("unit") <= LONG).withColumn("size", F.length("unit"))
-    starts = short.select("unit", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(figures["longest"]), F.col("size") - F.col("start")))).alias("long"))
-    cut = spans.select("unit", "start", (F.col("start") + F.col("long")).alias("stop"), F.expr("substring(unit, start + 1, long)").alias("piece"), "long")
-    # The piece table is bounded by the model; single characters stay even when no piece has them.
-    edges = cut.join(F.broadcast(plain), "piece", "left").filter("id IS NOT NULL OR long = 1").select(
-        "unit", "stop", F.struct("start", F.coalesce("score", F.lit(low)).alias("score"), F.coalesce("id", F.lit(UNKNOWN)).alias("id")).alias("edge"))
-    # Rows of a unit never leave its partition, so this needs no further shuffle.
-    lattice = edges.groupBy("unit").agg(F.collect_list(F.struct("stop", "edge")).alias("edges"))
-    start = F.struct(F.array(F.lit(0.0)).alias("best"), F.array().cast("array<struct<from:int,id:int>>").alias("back"))
-
-    def step(state: Column, stop: Column) -> Column:
-        ending = F.filter("edges", lambda e: e["stop"] == stop)
-        reach = F.transform(ending, lambda e: F.struct((F.get(state["best"], e["edge"]["start"]) + e["edge"]["score"]).alias("total"),
-                                                       (-e["edge"]["start"]).alias("first"), e["edge"]["id"].alias("id")))
-        top = F.array_max(reach)
-        return F.struct(F.concat(state["best"], F.array(top["total"])).alias("best"),
-                        F.concat(state["back"], F.array(F.struct((-top["first"]).alias("from"), top["id"].alias("id")))).alias("back"))
-    folded = lattice.select("unit", F.aggregate(F.sequence(F.lit(1), F.length("unit")), start, step, lambda s: s["back"]).alias("back"))
-    begin = F.struct(F.size("back").alias("at"), F.array().cast("array<struct<from:int,id:int>>").alias("path"))
-
-    def walk(state: Column, _: Column) -> Column:
-        edge = F.get(F.col("back"), state["at"] - 1)
-        return F.when(state["at"] > 0, F.struct(edge["from"].alias("at"), F.concat(F.array(edge), state["path"]).alias("path"))).otherwise(state)
-    paths = folded.select("unit", F.aggregate("back", begin, walk, lambda s: s["path"]).alias("path"))
-
-    def ids(edge: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("unit"), edge["from"] + 1, F.lit(1)), "UTF-8"))
-        own = F.transform(F.regexp_extract_all(code, F.lit(".."), F.lit(0)), lambda h: F.conv(h, 16, 10).cast("int") + bytes_from)
-        return F.when(edge["id"] == UNKNOWN, own).otherwise(F.array(edge["id"]))
-    done = paths.select("unit", F.flatten(F.transform("path", ids)).alias("ids"))
-    table = units.sparkSession.sparkContext.broadcast({r["piece"]: (r["score"], r["id"]) for r in plain.collect()})
-    longer = units.filter(F.length("unit") > LONG).mapInPandas(_plain_pass(table, figures["longest"], low, bytes_from), "unit string, ids array<int>")
-    return done.unionAll(longer)
-
-
-def _plain_pass(table, longest: int, low: float, bytes_from: int):
+    known = plain.collect()
+    # Equal scores have equal ranks; the table is bounded by the model.
+    place = {v: i for i, v in enumerate(sorted({r["score"] for r in known}, reverse=True))}
+    ranked = units.sparkSession.createDataFrame([(r["piece"], r["id"], place[r["score"]]) for r in known], "piece string, id int, rank int")
+    short = units.filter(F.length("unit") <= LONG).select(F.monotonically_increasing_id().alias("u"), "unit", "blocks", F.length("unit").alias("size"))
+    starts = short.select("u", "unit", "blocks", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
+    spans = starts.select("u", "unit", "blocks", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))).alias("long"))
+    cut = spans.select("u", "unit", "blocks", "start", "long", F.expr("substring(unit, start + 1, long)").alias("piece"))
+    head = (F.col("start") == 0) & (F.col("long") == 1)
+    # A unit's first character stays even when no piece has it, and alone carries the unit.
+    edges = cut.join(F.broadcast(ranked), "piece", "left").filter(F.col("id").isNotNull() | head).select(
+        "u", F.when(head, F.col("unit")).alias("unit"), F.when(head, F.col("blocks")).alias("blocks"), "start", "long", "id", "rank")
+    # Neither the spans nor the join with a sent table moves a row, so a unit's edges follow each other; the fold makes sure.
+    kind = "unit string, blocks array<bigint>, ids array<int>"
+    done = edges.mapInArrow(_folded(longest, bytes_from), kind)
+    table = units.sparkSession.sparkContext.broadcast({r["piece"]: (r["score"], r["id"]) for r in known})
+    return done.unionAll(units.filter(F.length("unit") > LONG).mapInPandas(_plain_pass(table, bytes_from), kind))
+
+
+def _folded(longest: int, bytes_from: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            held += batch.num_rows
+            if held < EDGES:
+                continue
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            # The last unit may go on in the next batch.
+            last = int(np.flatnonzero(rows["unit"].is_valid().to_numpy())[-1])
+            yield merged_edges(rows.slice(0, last), longest, bytes_from)
+            waiting, held = rows.slice(last).to_batches(), rows.num_rows - last
+        if held:
+            yield merged_edges(pa.Table.from_batches(waiting), longest, bytes_from)
+    return run
+
+
+def merged_edges(rows: pa.Table, longest: int, bytes_from: int) -> pa.RecordBatch:
+    """(unit, blocks, ids) from the edges of whole units: all units merge one pair in each round."""
+    rows = rows.combine_chunks()
+    begins = rows["unit"].is_valid().to_numpy()
+    heads, owner = np.flatnonzero(begins), np.cumsum(begins) - 1
+    number = rows["u"].to_numpy()
+    if len(number) and (not begins[0] or (number != number[heads][owner]).any()):
+        raise RuntimeError("the edges of a unit do not follow each other")
+    units = rows["unit"].combine_chunks().take(pa.array(heads)).cast(pa.large_string())
+    blocks = rows["blocks"].combine_chunks().take(pa.array(heads))
+    data, offsets = text_bytes(units)
+    char = np.flatnonzero((data & 0xC0) != 0x80)  # first byte of each character
+    base = np.searchsorted(char, offsets)
+    n = len(char)
+    rank, name = np.full(n * longest, NEVER, np.int32), np.full(n * longest, UNKNOWN, np.int32)
+    real = rows["id"].is_valid().to_numpy()
+    cell = ((base[owner] + rows["start"].to_numpy()) * longest + rows["long"].to_numpy() - 1)[real]
+    rank[cell] = rows["rank"].drop_null().to_numpy()
+    name[cell] = rows["id"].drop_null().to_numpy()
+    long = np.zeros(n, np.int64)  # characters of the symbol that starts here; 0: merged into an earlier one
+    at, own, wide = np.arange(n), np.repeat(np.arange(len(heads)), np.diff(base)), np.ones(n, np.int64)
+    while len(at):
+        both = wide[:-1] + wide[1:]
+        fits = (own[:-1] == own[1:]) & (both <= longest)
+        key = np.full(len(at), NEVER, np.int64)
+        key[:-1][fits] = rank[at[:-1][fits] * longest + both[fits] - 1]
+        key = key * len(at) + np.arange(len(at))
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        best = np.minimum.reduceat(key, first)
+        going = best < NEVER * len(at)
+        chosen = best[going] % len(at)
+        over = np.repeat(~going, np.diff(np.append(first, len(at))))
+        long[at[over]] = wide[over]
+        wide[chosen] += wide[chosen + 1]
+        stay = ~over
+        stay[chosen + 1] = False
+        at, own, wide = at[stay], own[stay], wide[stay]
+    symbol = np.flatnonzero(long)
+    ids = name[symbol * longest + long[symbol] - 1]
+    plain = ids != UNKNOWN
+    size = np.diff(np.append(char, len(data)))[symbol]
+    many = np.where(plain, 1, size)
+    ends = np.cumsum(many)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
+    out[(ends - many)[plain]] = ids[plain]
+    inside = np.arange(int(size[~plain].sum())) - np.repeat(np.cumsum(size[~plain]) - size[~plain], size[~plain])
+    out[np.repeat((ends - many)[~plain], size[~plain]) + inside] = data[np.repeat(char[symbol[~plain]], size[~plain]) + inside] + bytes_from
+    limits = np.append(0, ends)[np.searchsorted(symbol, base)]
+    return pa.RecordBatch.from_arrays([units.cast(pa.string()), blocks, pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(out))], ["unit", "blocks", "ids"])
+
+
+def _plain_pass(table, bytes_from: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"unit": pdf["unit"], "ids": [viterbi(u, table.value, longest, low, bytes_from) for u in pdf["unit"]]})
+            yield pd.DataFrame({"unit": pdf["unit"], "blocks": pdf["blocks"], "ids": [merged(u, table.value, bytes_from) for u in pdf["unit"]]})
     return run
 
 
+def merged(unit: str, pieces: dict[str, tuple[float, int]], bytes_from: int) -> list[int]:
+    """The ids of one unit by merge order, with a heap of pairs."""
+    n = len(unit)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    alive = [True] * n
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(i: int) -> None:
+        if i >= 0 and after[i] < n:
+            stop = end[after[i]]
+            if (known := pieces.get(unit[i:stop])) is not None:
+                heapq.heappush(heap, (-known[0], i, stop))
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        # A pair that one of its sides has left is old.
+        if not alive[i] or after[i] >= n or end[after[i]] != stop:
+            continue
+        gone = after[i]
+        alive[gone], end[i], after[i] = False, stop, after[gone]
+        if after[i] < n:
+            before[after[i]] = i
+        offer(before[i])
+        offer(i)
+    out, i = [], 0
+    while i < n:
+        known = pieces.get(unit[i:end[i]])
+        out += [known[1]] if known else [b + bytes_from for b in unit[i].encode()]
+        i = after[i]
+    return out
+
+
 def viterbi(unit: str, pieces: dict[str, tuple[float, int]], longest: int, low: float, bytes_from: int) -> list[int]:
-    best, back = [0.0], []
-    for stop in range(1, len(unit) + 1):
-        reach = []
-        for start in range(max(0, stop - longest), stop):
-            score, name = pieces.get(unit[start:stop], (low, UNKNOWN))
-            if name != UNKNOWN or start == stop - 1:
-                reach.append((best[start] + score, -start, name))
-        total, first, name = max(reach)
-        best.append(total)
-        back.append((-first, name))
-    out, at = [], len(unit)
-    while at:
-        start, name = back[at - 1]
-        out.append([b + bytes_from for b in unit[start].encode()] if name == UNKNOWN else [name])
-        at = start
-    return [i for ids in reversed(out) for i in ids]
+    """The plain pass under its former name, which a test calls; it has followed merge order since scores proved to be ranks."""
+    return merged(unit, pieces, bytes_from)
 
 
 def _in_blocks(size: int):
@@ -138,18 +222,25 @@ def _in_blocks(size: int):
 def _block_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, unit): the different units of each block's texts."""
     for batch in batches:
-        found: dict[int, set[str]] = {}
-        for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found.setdefault(block, set()).update(units_of(text.as_py()))
-        for block, units in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(units), pa.int64()), pa.array(list(units), pa.string())], ["block", "unit"])
+        block = batch.column(0).to_numpy()
+        edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+        for lo, hi in zip(edge, np.append(edge[1:], len(block))):
+            units = units_of(batch.column(1).slice(lo, hi - lo))[0].unique().cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), block[lo])), units], ["block", "unit"])
 
 
 def _looked_up(texts: pa.Table, words: pa.Table) -> pa.Table:
     """The texts of one block with their ids."""
-    ids = dict(zip(words["unit"].to_pylist(), words["ids"].to_pylist()))
-    out = [[i for u in units_of(t.as_py()) for i in ids[u]] for t in texts["text"]]
-    return pa.table([texts["row"], texts["text"], pa.array(out, pa.list_(pa.int32()))], ["row", "text", "ids"])
+    out = []
+    known, ids = words["unit"].combine_chunks().cast(pa.large_string()), words["ids"].combine_chunks()
+    for batch in texts.to_batches(max_chunksize=4096):
+        units, counts = units_of(batch.column("text"))
+        found = ids.take(pc.index_in(units, value_set=known, skip_nulls=True))
+        if found.null_count:
+            raise RuntimeError("a unit has no ids")
+        limits = found.offsets.to_numpy()[np.append(0, np.cumsum(counts))]
+        out.append(pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.ListArray.from_arrays(pa.array(limits), found.values)], ["row", "text", "ids"]))
+    return pa.Table.from_batches(out, schema=None if out else pa.schema([texts.schema.field("row"), texts.schema.field("text"), ("ids", pa.list_(pa.int32()))]))
 
 
 def encoded(docs: DataFrame, pieces: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -163,9 +254,10 @@ def encoded(docs: DataFrame, pieces: DataFrame, text: str = "text", block: int =
     slim = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row = slim.schema["row"].dataType.simpleString()
     rows = cut_lineage(slim.mapInArrow(_in_blocks(block), f"block bigint, row {row}, text string"))
-    words = cut_lineage(rows.select("block", "text").mapInArrow(_block_units, "block bigint, unit string"))
-    paths = cut_lineage(best_paths(words.select("unit").distinct(), pieces))
-    told = words.join(paths, "unit")
+    words = rows.select("block", "text").mapInArrow(_block_units, "block bigint, unit string")
+    # A unit's list has a number for each block at most.
+    paths = best_paths(words.groupBy("unit").agg(F.collect_set("block").alias("blocks")), pieces)
+    told = paths.select(F.explode("blocks").alias("block"), "unit", "ids")
     return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_looked_up, f"row {row}, text string, ids array<int>")
 
 
@@ -175,14 +267,25 @@ def decoded(rows: DataFrame, pieces: DataFrame, ids: str = "ids", out: str = "de
     The piece table is bounded by the model and is sent to every task.
     """
     code = {r["id"]: bytes([int(r["piece"][3:5], 16)]) if r["is_byte"] else r["piece"].encode() for r in pieces.collect()}
-    table = rows.sparkSession.sparkContext.broadcast(code)
+    table = rows.sparkSession.sparkContext.broadcast([code.get(i) for i in range(max(code) + 1)])
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        known = pa.array(table.value, pa.large_binary())
         for batch in batches:
-            texts = [b"".join([known[i] for i in x.as_py() or ()]).decode("utf-8", "replace").replace(MARK, " ")[1:] for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            lists = pc.fill_null(batch.column(at), [])
+            parts = known.take(lists.flatten())
+            if parts.null_count:
+                raise KeyError("an id is not in the piece table")
+            data, offsets = text_bytes(parts)
+            limits = offsets[np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))]
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(data))])
+            try:
+                texts = whole.cast(pa.large_string())
+            except pa.ArrowInvalid:
+                texts = pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.large_string())
+            texts = pc.utf8_slice_codeunits(pc.replace_substring(texts, MARK, " "), start=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts.cast(pa.string())], [*batch.schema.names, out])
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 
 
