@@ -98,3 +98,11 @@ def test_lattice_ids_are_the_library_s(spark):
         for r in rows:
             assert list(r.ids) == model.encode(texts[r.row.n]), texts[r.row.n][:80]
             assert r.n_ids == len(r.ids) and r.round_trip == (model.decode(list(r.ids)) == texts[r.row.n])
+
+
+def test_lattice_query_covers_all_documents(spark):
+    from tidemark.llm.queries import op5_lattice
+    rows = op5_lattice(spark, "/root/testdata/sf0.001").select("doc_id", "n_ids", "round_trip").collect()
+    want = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in want) and all(r.round_trip for r in rows)
+    assert {r.doc_id for r in rows if r.n_ids == 0} == {r.doc_id for r in want if not r.text}

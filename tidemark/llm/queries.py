@@ -105,10 +105,10 @@ def op4_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every conversation turn, and whether they decode to its text."""
+    """Ids of every document, and whether they decode to its text."""
     pieces = lattice.piece_table(spark, public_tokenizers.path("piece_bpe_32k.model"))
-    coded = lattice.encoded(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), pieces)
-    return lattice.with_round_trip(coded, pieces).select("row.conv_id", "row.turn", "n_ids", "ids", "round_trip")
+    coded = lattice.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    return lattice.with_round_trip(coded, pieces).select("row.doc_id", "n_ids", "ids", "round_trip")
 
 
 @query()
