@@ -72,3 +72,15 @@ def test_one_of_each_group_and_empty(spark):
 def test_bands_reach_the_recall():
     b, r = ngram_join.bands_for(0.8, 0.9995)
     assert 1 - (1 - 0.8**r)**b >= 0.9995 and b * r <= 128
+
+
+def test_one_of_each_group_judges_rows_not_keys(spark):
+    base = [f"w{i}" for i in range(200)]
+    a, near = " ".join(base), " ".join(base[:-1] + ["edit"])
+    c, c2 = " ".join(f"c{i}" for i in range(90)), " ".join([f"c{i}" for i in range(89)] + ["edit"])
+    rows = [(1, a), (None, near), (None, "a text of its own that no other row is like at all"), (None, c), (None, c2),
+            (7, near + " more"), (7, "one more that shares no run of five words with any"), (8, "the same row comes two times here"), (8, "the same row comes two times here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_of_each_group(docs).collect())
+    assert [x for x in got if x[1] not in (c, c2)] == sorted([(1, a), (0, rows[2][1]), (7, rows[6][1]), (8, rows[7][1])])
+    assert len([x for x in got if x[1] in (c, c2)]) == 1

@@ -266,7 +266,16 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", **s
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` without the members of a group but the one with its least key; all columns stay."""
-    gone = similar_groups(docs, key, text, **settings).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.select(F.struct("*").alias("_row"))
-    return left.join(gone, F.col(f"_row.{key}").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")
+    """``docs`` without the members of a group but one with its least key; all columns stay.
+
+    Rows are told apart by a number of their own, so null keys, a key on several texts and
+    repeated rows are judged row by row.  A null key is kept only if its group has no other.
+    """
+    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("_id"), F.struct("*").alias("_row")))
+    told = rows.select("_id", F.col(f"_row.{key}").alias("key"), F.col(f"_row.{text}").alias("text"))
+    grouped = similar_groups(told, "_id", "text", **settings).filter("group_size > 1").select(F.col("doc_id").alias("_id"), "class_id")
+    grouped = cut_lineage(grouped)
+    least = F.min(F.struct(F.col("key").isNull().alias("nameless"), "key", "_id")).alias("least")
+    kept = grouped.join(told.select("_id", "key"), "_id").groupBy("class_id").agg(least).select("least._id")
+    gone = grouped.select("_id").join(kept, "_id", "left_anti")
+    return rows.join(gone, "_id", "left_anti").select("_row.*")
