@@ -1,5 +1,6 @@
 """Similarity join against brute force, with small and with large buckets."""
 
+import inspect
 import random
 
 import pytest
@@ -84,3 +85,12 @@ def test_one_of_each_group_judges_rows_not_keys(spark):
     got = sorted((r.doc_id or 0, r.text) for r in ngram_join.one_of_each_group(docs).collect())
     assert [x for x in got if x[1] not in (c, c2)] == sorted([(1, a), (0, rows[2][1]), (7, rows[6][1]), (8, rows[7][1])])
     assert len([x for x in got if x[1] in (c, c2)]) == 1
+
+
+def test_production_bands_lose_no_link(spark):
+    default = inspect.signature(ngram_join.similar_classes).parameters["recall"].default
+    b, r = ngram_join.bands_for(0.8, default)
+    assert (1 - 0.8**r)**b <= 1e-6 and b * r <= 128
+    rows = made()
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {x.doc_id: tuple(x)[1:] for x in got} == brute(rows)

@@ -189,7 +189,7 @@ def _block_links(similarity: float):
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8,
-                    recall: float = 0.9995, small: int = 32, block: int = 512) -> tuple[DataFrame, DataFrame]:
+                    recall: float = 0.999999, small: int = 32, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """(membership, ties): rows (doc_id, node) for every row, and (a, b, links).
 
     A node is a class of texts with the same set of shingles; exact copies meet there before
