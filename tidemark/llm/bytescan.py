@@ -8,8 +8,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
+PRIME = (1 << 31) - 1
+BASES = (1_315_423_911, 1_908_874_353)
 SEGMENT = 1 << 20  # bytes worked on at a time; arrays of eight bytes each per text byte
 
 
@@ -33,25 +33,46 @@ def segments(offsets: np.ndarray, size: int = SEGMENT) -> Iterator[tuple[int, in
         lo = hi
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (BASE, INVERSE):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def _reduce(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, in place, for x below 2**63."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    for _ in range(2):
+        np.right_shift(x, bits, out=spare)
+        x &= prime
+        x += spare
+    # Below PRIME the difference wraps around and is the larger one.
+    np.subtract(x, prime, out=spare)
+    return np.minimum(x, spare, out=x)
+
+
+def _blocks(n: int) -> Iterator[slice]:
+    """Ranges whose arrays stay in a core's cache."""
+    for lo in range(0, n, 1 << 14):
+        yield slice(lo, min(n, lo + (1 << 14)))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(2)
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers 0 to n - 1 of each base and of its inverse; n is a power of two."""
+    def ladder(b: int) -> np.ndarray:
+        out = np.ones(n, np.uint64)
+        k = 1
+        while k < n:
+            out[k:2 * k] = out[:k] * np.uint64(pow(b, k, PRIME))
+            _reduce(out[k:2 * k], np.empty(k, np.uint64))
+            k *= 2
+        return out.astype(np.uint32)
+    return [(ladder(b), ladder(pow(b, -1, PRIME))) for b in BASES]
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     size = 1 << max(21, int(n + 1).bit_length())
-    a, b = _powers(size)
-    return a[:n + 1], b[:n + 1]
+    return [(up[:n + 1], down[:n + 1]) for up, down in _powers(size)]
 
 
 @lru_cache(4)
 def byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**64, 256, dtype=np.uint64)
+    return np.random.default_rng(seed).integers(1, PRIME, (len(BASES), 256), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,25 +86,83 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hash of any slice of some bytes in constant time, by prefix sums modulo 2**64."""
+    """Hash of any slice of some bytes in constant time: two polynomials modulo a prime, 62 bits.
+
+    A prime modulus matters: modulo 2**64 texts exist that collide for every odd base
+    (a Thue-Morse word and its complement).
+    """
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         n = len(data)
-        up, self.down = powers(n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(byte_values(seed)[data] * up[:n], out=self.sums[1:])
+        self.size, self.parts = n, []
+        for values, (up, down) in zip(byte_values(seed), powers(n)):
+            sums = np.zeros(n + 1, np.uint32)
+            before = np.uint64(0)
+            for at in _blocks(n):
+                # Terms are below 2**62 and reduced before they are added up.
+                x = values[data[at]]
+                x *= up[at]
+                spare = np.empty_like(x)
+                _reduce(x, spare)
+                x[0] += before
+                np.cumsum(x, out=x)
+                _reduce(x, spare)
+                sums[at.start + 1:at.stop + 1] = x
+                before = x[-1]
+            self.parts.append((sums, down))
+
+    def _between(self, start: np.ndarray, end: np.ndarray, scale) -> np.ndarray:
+        """Codes of slices from sums before their starts and ends, and powers at their starts."""
+        code = np.zeros(0, np.uint64)
+        for (sums, down), first in zip(self.parts, (True, False)):
+            x = sums[end].astype(np.uint64)
+            x += np.uint64(PRIME)
+            x -= sums[start]
+            x *= down[scale]
+            x = _reduce(x, np.empty_like(x))
+            code = x if first else (code << np.uint64(31)) | x
+        return code
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Mixed hashes of data[start:end]; slices of different length differ by it."""
-        raw = (self.sums[end] - self.sums[start]) * self.down[start]
+        raw = self._between(start, end, start)
         return mixed(raw + (np.asarray(end) - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
     def grams(self, k: int) -> np.ndarray:
         """Mixed hashes of data[i:i+k] for every i."""
-        n = len(self.sums) - k
+        n = self.size + 1 - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[k:] - self.sums[:n]) * self.down[:n])
+        out = np.empty(n, np.uint64)
+        for at in _blocks(n):
+            out[at] = mixed(self._between(at, slice(at.start + k, at.stop + k), at))
+        return out
+
+
+def distinct_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(first, back): where each different slice comes first, and which of these each slice is.
+
+    Hashes group the slices and their bytes settle it: a slice that differs from the first
+    of its group is told apart by its bytes.
+    """
+    _, first, back = np.unique(Hasher(data, seed).slices(start, end), return_index=True, return_inverse=True)
+    size = end - start
+    like = first[back]
+    same = size == size[like]
+    which = np.flatnonzero(same & (like != np.arange(len(like))))
+    n = size[which]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    differ = data[np.repeat(start[which], n) + step] != data[np.repeat(start[like[which]], n) + step]
+    same[which[np.unique(np.repeat(np.arange(len(which)), n)[differ])]] = False
+    extra: dict[bytes, int] = {}
+    more = []
+    for i in np.flatnonzero(~same).tolist():
+        raw = data[start[i]:end[i]].tobytes()
+        if raw not in extra:
+            extra[raw] = len(first) + len(more)
+            more.append(i)
+        back[i] = extra[raw]
+    return np.append(first, more).astype(np.int64), back
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytescan import Hasher, segments, text_bytes
+from tidemark.llm.bytescan import distinct_slices, segments, text_bytes
 from tidemark.sources.scratch import cut_lineage
 
 VOCABULARY = 1 << 20  # words a worker remembers at a time
@@ -45,7 +45,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.pool = [np.zeros(0, np.uint32)]
         self.at = [np.zeros(1, np.int64)]
 
@@ -71,18 +71,19 @@ class WordIds:
         start, end = start[word], end[word]
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        code, first, back = np.unique(Hasher(data, 6).slices(start, end), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        first, back = distinct_slices(data, start, end)
         if len(self.known) > VOCABULARY:
             self.known, self.pool, self.at = {}, self.pool[:1], self.at[:1]
-        known, raw, fresh = self.known, data.tobytes(), []
+        known, fresh, which = self.known, [], []
         n = len(known)
-        which = []
-        for c, s, e in zip(code.tolist(), start[first].tolist(), end[first].tolist()):
-            i = known.get(c)
+        for s, e in zip(start[first].tolist(), end[first].tolist()):
+            unit = raw[s:e]
+            i = known.get(unit)
             if i is None:
-                i = known[c] = n
+                i = known[unit] = n
                 n += 1
-                fresh.append(self.coded(raw[s:e]))
+                fresh.append(self.coded(unit))
             which.append(i)
         if fresh:
             sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
