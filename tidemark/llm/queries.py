@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, chunk_dedup, hilbert, host_rules, lattice, ngram_join, packing, ppm, revisits, suffix_index
+from tidemark.llm import (
+    chat, chunk_dedup, collocations, hilbert, host_rules, itq, lattice, ngram_join, packing, ppm, resampling, revisits, suffix_index,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +199,85 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("record_id", "canonical_url", "refers_to", "verdict", lines.alias("headers"))
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+o AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws, i, unnest([1, 2, 3]) AS k FROM o),
+c AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+d AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS v FROM c WHERE k > 1 AND f >= 10),
+cuts AS (SELECT d.*, unnest(CASE k WHEN 2 THEN [1] ELSE [1, 2] END) AS h FROM d),
+parts AS (SELECT *, array_to_string(v[1:h], ' ') AS front, array_to_string(v[h + 1:k], ' ') AS back FROM cuts),
+scored AS (
+  SELECT parts.*, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * parts.a * parts.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM parts JOIN c x ON x.lang = parts.lang AND x.phrase = front JOIN c y ON y.lang = parts.lang AND y.phrase = back),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) AS pick FROM scored),
+inner_parts AS (
+  SELECT lang, array_to_string(v[1:2], ' ') AS phrase, a FROM d WHERE k = 3 UNION ALL SELECT lang, array_to_string(v[2:3], ' ') AS phrase, a FROM d WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS whole FROM inner_parts GROUP BY lang, phrase),
+kept AS (
+  SELECT b.lang, b.phrase, b.a, b.l, b.r, b.score FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE b.pick = 1 AND (o.whole IS NULL OR 100 * o.whole < 50 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+able AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT named.vec_id, coalesce(n_links, 0) AS n_links, component_id, named.vec_id = component_id AS kept
+FROM named LEFT JOIN counted ON counted.vec_id = named.vec_id""")
+def op12_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+_CRC_STEP = "CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+
+
+def _feature_words(name: str, key: str) -> str:
+    return rf"SELECT {key} AS id, list_filter(string_split_regex({LOWERED}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM {name}"
+
+
+@query(rf"""
+WITH steps AS (SELECT i, list_reduce([CAST(i AS BIGINT)] || [CAST(x AS BIGINT) FOR x IN range(8)], lambda a, x: {_CRC_STEP}) AS v FROM range(256) t(i)),
+tab AS (SELECT list(v ORDER BY i) AS t FROM steps),
+d AS ({_feature_words("documents", "doc_id")}),
+b AS ({_feature_words("benchmark", "item_id")}),
+dw AS (SELECT id, unnest(ws) AS w FROM d), bw AS (SELECT id, unnest(ws) AS w FROM b),
+every AS (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw)),
+h AS (SELECT w, hex(encode(w)) AS h FROM every),
+coded AS (
+  SELECT w, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(('0x' || substr(h, 2 * k + 1, 2)) AS BIGINT) FOR k IN range(length(h) // 2)],
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, tab),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN coded ON coded.w = dw.w GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bw JOIN coded ON coded.w = bw.w GROUP BY bucket),
+totals AS (SELECT CAST((SELECT count(*) FROM dw) + 10000 AS DOUBLE) AS raw, CAST((SELECT count(*) FROM bw) + 10000 AS DOUBLE) AS target),
+gains AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + CAST(1 AS DOUBLE)) * raw / ((s.s + CAST(1 AS DOUBLE)) * target))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t ON t.bucket = s.bucket, totals),
+sums AS (SELECT id, CAST(sum(gain) AS BIGINT) AS total, count(*) AS n FROM dw JOIN coded ON coded.w = dw.w JOIN gains ON gains.bucket = coded.bucket GROUP BY id),
+x AS (
+  SELECT d.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_features,
+    CASE WHEN sums.n IS NULL THEN 0 ELSE (total - ((total % sums.n) + sums.n) % sums.n) // sums.n END AS weight,
+    CAST(('0x' || substr(sha256('2024:' || d.id), 1, 8)) AS BIGINT) AS h
+  FROM d LEFT JOIN sums ON sums.id = d.id),
+y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN z ON z.doc_id = y.doc_id""")
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
