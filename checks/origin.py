@@ -13,7 +13,7 @@ from checks.sql import ANG, FIX, HAV, HOURS, MOD360, R
 from checks.views import Views, sql_views
 from tidemark.functions import geo, physics
 from tidemark.functions.scalar import lit_f, rnd
-from tidemark.operators import attribution, drift, forcing
+from tidemark.operators import attribution, drift, forcing, top_ships
 from tidemark.sources.positions import read_candidates, replace_candidates
 from tidemark.sources.scratch import cut_lineage, new_path
 
@@ -140,23 +140,49 @@ def drift_forward_path(v: Views) -> DataFrame:
     return _path(v, AHEAD)
 
 
-@query(drift_sql(BACK) + f""", fin AS (SELECT * FROM path WHERE step = {BACK.steps}), m AS (SELECT spill_id, avg(p_lat) AS ma, avg(p_lon) AS mo FROM fin GROUP BY 1),
-d AS (SELECT fin.*, {HAV('ma', 'mo', 'p_lat', 'p_lon')} AS d FROM fin JOIN m USING (spill_id))
-SELECT spill_id, count(*) AS particle_count, {R('avg(p_lat)', 5)} AS origin_lat, {R('avg(p_lon)', 5)} AS origin_lon, greatest(2e0, least(50e0, {R('quantile_cont(d, 0.9)', 2)})) AS uncertainty_km, 0.82e0 AS confidence FROM d GROUP BY 1""")
-def drift_origin(v: Views) -> DataFrame:
-    return drift.origin_summary(drift.final_positions(drift.simulate(v.spills, v.forcing, BACK), BACK), BACK)
+ENDS = sql_views("simulations", "particles") + """, runs AS (SELECT simulation_id, spill_id FROM simulations WHERE simulation_type = 'BACKWARD'),
+ends AS (SELECT spill_id, particle_id, ts, simulation_id, lon + 3.14159e-7 AS lon, lat + 3.14159e-7 AS lat FROM particles JOIN runs USING (simulation_id))"""
 
 
-@query(drift_sql(BACK) + f"SELECT spill_id, particle_id, epoch_us(ts) AS ts_us, {R('p_lon', 5)} AS lon, {R('p_lat', 5)} AS lat FROM path WHERE particle_id < 35 AND step % {max(1, (BACK.steps + 1) // 6)} = 0")
-def drift_waypoints(v: Views) -> DataFrame:
-    w = drift.sampled_waypoints(drift.simulate(v.spills, v.forcing, BACK), BACK)
-    return w.select("spill_id", F.col("particle_id").cast("bigint").alias("particle_id"), us("ts", "ts_us"), "lon", "lat")
+def _stored(v: Views) -> DataFrame:
+    # A little aside, so that no mean lies half-way between two rounded figures.
+    aside = v.particles.withColumns({c: F.col(c) + lit_f(3.14159e-7) for c in ("lon", "lat")})
+    return drift.stored_paths(aside, v.simulations)
+
+
+@query(ENDS + f""", m AS (SELECT spill_id, avg(lat) AS ma, avg(lon) AS mo FROM ends GROUP BY 1),
+d AS (SELECT ends.*, {HAV('ma', 'mo', 'lat', 'lon')} AS d FROM ends JOIN m USING (spill_id))
+SELECT spill_id, count(*) AS particle_count, {R('avg(lat)', 5)} AS origin_lat, {R('avg(lon)', 5)} AS origin_lon, greatest(2e0, least(50e0, {R('quantile_cont(d, 0.9)', 2)})) AS uncertainty_km, 0.82e0 AS confidence FROM d GROUP BY 1""")
+def drift_origin(v: Views) -> DataFrame:
+    """Origin of each spill from the stored particles of its backward runs."""
+    return drift.origin_summary(_stored(v))
 
 
-@query()
+@query(ENDS + f""", n AS (SELECT *, row_number() OVER (PARTITION BY spill_id, particle_id ORDER BY ts, simulation_id) - 1 AS step FROM ends)
+SELECT spill_id, particle_id, epoch_us(ts) AS ts_us, {R('lon', 5)} AS lon, {R('lat', 5)} AS lat FROM n WHERE particle_id < 5 AND step % 2 = 0""")
+def drift_waypoints(v: Views) -> DataFrame:
+    w = drift.sampled_waypoints(_stored(v), 11, first_particles=5)
+    return w.select("spill_id", "particle_id", us("ts", "ts_us"), "lon", "lat")
+
+
+# An edge of the hull has no point to its right and none beyond its ends; a line has one edge, a lone point none.
+@query(ENDS + """, p AS (SELECT DISTINCT spill_id, lon, lat FROM ends),
+e AS (SELECT a.spill_id, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1 FROM p a JOIN p b ON a.spill_id = b.spill_id AND (a.lon <> b.lon OR a.lat <> b.lat)),
+bad AS (SELECT DISTINCT e.spill_id, x0, y0, x1, y1 FROM e JOIN p c ON c.spill_id = e.spill_id
+ WHERE (x1 - x0)*(c.lat - y0) - (y1 - y0)*(c.lon - x0) < 0 OR ((x1 - x0)*(c.lat - y0) - (y1 - y0)*(c.lon - x0) = 0
+  AND ((c.lon - x0)*(x1 - x0) + (c.lat - y0)*(y1 - y0) < 0 OR (c.lon - x1)*(x0 - x1) + (c.lat - y1)*(y0 - y1) < 0))),
+edge AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.spill_id = e.spill_id AND bad.x0 = e.x0 AND bad.y0 = e.y0 AND bad.x1 = e.x1 AND bad.y1 = e.y1)),
+n AS (SELECT spill_id, count(*) AS n FROM edge GROUP BY 1)
+SELECT edge.spill_id, x0, y0, x1, y1, CASE WHEN n = 2 THEN 0.03e0 ELSE 0.02e0 END AS buffer_deg FROM edge JOIN n ON n.spill_id = edge.spill_id WHERE n > 2 OR x0 < x1 OR (x0 = x1 AND y0 < y1)
+UNION ALL SELECT spill_id, max(lon), max(lat), NULL, NULL, 0.04e0 FROM p GROUP BY spill_id HAVING count(*) = 1""")
 def drift_origin_region(v: Views) -> DataFrame:
-    finals = drift.final_positions(drift.simulate(v.spills, v.forcing, BACK), BACK)
-    return drift.origin_region(finals, chunks=4)
+    """Edges of the hull of the stored particles of each spill's backward runs."""
+    region = drift.origin_region(_stored(v))
+    n = F.size("ring")
+    ends = F.when(n > 1, F.arrays_zip(F.slice("ring", F.lit(1), F.greatest(n - 1, F.lit(1))).alias("a"), F.slice("ring", F.lit(2), F.greatest(n - 1, F.lit(1))).alias("b"))
+                  ).otherwise(F.arrays_zip(F.col("ring").alias("a"), F.slice("ring", 2, 1).alias("b")))
+    flat = region.select("spill_id", "buffer_deg", F.inline(ends))
+    return flat.select("spill_id", F.col("a.lon").alias("x0"), F.col("a.lat").alias("y0"), F.col("b.lon").alias("x1"), F.col("b.lat").alias("y1"), "buffer_deg")
 
 
 @query(sql_views("ais") + f"SELECT position_id, {R('(speed*100)/(111320e0*greatest(abs(cos(radians(lat))), 0.1e0))', 8)} AS dlon, {R('(course*10)/110574e0', 8)} AS dlat FROM ais")
@@ -211,6 +237,13 @@ def vessel_attribution(v: Views) -> DataFrame:
     return attribution.rank_candidates(scored).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(ORIGINS + score_sql(False) + SCORES.replace("FROM cand", ", rank FROM cand WHERE rank <= 5"))
+def top_ships_per_spill(v: Views) -> DataFrame:
+    """The five best of all ships for each spill, with or without spatial evidence."""
+    best = top_ships.top_ships(v.ais, _origins(v), first=5)
+    return best.drop("explanation").withColumn("rank", F.col("rank").cast("bigint"))
+
+
 NEWEST = ", one AS (SELECT * FROM org ORDER BY detected_at DESC, spill_id LIMIT 1)"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.operators import attribution, drift, forcing
+from tidemark.operators import attribution, drift, forcing, hull, ordering, top_ships
 from tidemark.plans.hindcast import hindcast, rank_ships
 
 T0 = datetime(2026, 9, 14, 4)
@@ -93,7 +93,7 @@ def test_region_against_brute_force(spark):
     rng = np.random.default_rng(3)
     pts = rng.normal(0, 0.1, (200, 2)) + [72, 19]
     finals = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "spill_id bigint, particle_id int, lon double, lat double")
-    whole, cut = (drift.origin_region(finals, chunks=c).first() for c in (1, 7))
+    whole, cut = (drift.origin_region(finals, size=n).first() for n in (10_000, 20))
     assert whole == cut and whole.buffer_deg == 0.02
     hull = [(p.lon, p.lat) for p in whole.ring]
     assert hull[0] == hull[-1]
@@ -181,3 +181,45 @@ def test_hindcast_to_ranking(spark, tmp_path):
     # A run without any ship near clears what the run before has stored.
     far = positions(spark, {7: [(10.0, 50.0, 0, 12.0, 0.0)]})
     assert rank_ships(s, sims, far, str(tmp_path / "c")).count() == 0
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    groups = {1: rng.normal(0, 1, 3000), 2: np.full(500, 7.0), 3: np.array([4.0]), 4: np.array([1.0, 2.0]),
+              5: np.concatenate([np.zeros(900), 10.0 ** rng.uniform(-12, 9, 300)]), 6: np.repeat(rng.uniform(size=9), 60)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [(1, None), (7, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    for q in (0.0, 0.37, 0.9, 1.0):
+        for settle, cells in ((4096, 256), (20, 4)):
+            got = {r.k: r.quantile for r in ordering.group_quantile(df, ["k"], "v", q, settle=settle, cells=cells).collect()}
+            assert got == {k: pytest.approx(np.quantile(v, q), rel=1e-12, abs=1e-12) for k, v in groups.items()}
+
+
+def test_hulls_of_circles_and_lines(spark):
+    """All points are corners; all lie on a line; coordinates repeat."""
+    turn = np.linspace(0, 2 * np.pi, 300, endpoint=False)
+    rows = [(1, float(np.cos(t)), float(np.sin(t))) for t in turn] + [(2, float(i % 50), float(i % 50)) for i in range(400)]
+    rows += [(3, float(i % 7), float(i // 7)) for i in range(49)] * 2 + [(4, None, 1.0)]
+    got = {r.k: [tuple(p) for p in r.hull] for r in hull.group_hulls(spark.createDataFrame(rows, "k int, lon double, lat double"), "k", size=10).collect()}
+    assert len(got[1]) == 300 and got[2] == [(0.0, 0.0), (49.0, 49.0)] and got[3] == [(0.0, 0.0), (6.0, 0.0), (6.0, 6.0), (0.0, 6.0)] and 4 not in got
+
+
+@pytest.mark.parametrize("first", [1, 3, 50])
+def test_top_ships_equal_the_full_comparison(spark, first):
+    """Spills among ships, in empty waters, and before any ship; boxes over the date line."""
+    rng = np.random.default_rng(first)
+    tracks = {}
+    for v in range(40):
+        lon, lat, start = rng.uniform(70, 75), rng.uniform(15, 22), rng.uniform(-30, 30)
+        tracks[v] = [(lon + rng.normal(0, .3), lat + rng.normal(0, .3), start + 5 * k + rng.uniform(0, 4), float(rng.choice([2.0, 9.0, 14.0])), float(rng.uniform(0, 360)))
+                     for k in range(rng.integers(1, 9))]
+    tracks[90] = [(179.9, 0.0, 0, 9.0, 10.0), (-179.9, 0.1, 3, 9.0, 10.0)]
+    p = positions(spark, tracks)
+    spills_ = [(1, 18.0, 72.0, T0), (2, 40.0, -30.0, T0), (3, 19.0, 73.0, T0 - timedelta(days=900)), (4, 0.05, -179.5, T0), (5, 20.0, 74.0, T0 + timedelta(hours=20))]
+    origins = spark.createDataFrame([(*s, ring(s[2] - .2, s[1] - .2, s[2] + .2, s[1] + .2) if s[0] == 1 else None, None) for s in spills_],
+                                    f"spill_id bigint, centre_lat double, centre_lon double, origin_time timestamp, origin_ring {attribution.RING_TYPE}, origin_buffer double")
+    got = top_ships.top_ships(p, origins, first=first)
+    for o in origins.collect():
+        want = sorted((-r.overall_score, r.vessel_id) for r in attribution.score_spill(p, o).collect())[:first]
+        mine = sorted((r["rank"], -r.overall_score, r.vessel_id) for r in got.filter(F.col("spill_id") == o.spill_id).collect())
+        assert [m[1:] for m in mine] == want and [m[0] for m in mine] == list(range(1, len(want) + 1))

@@ -184,18 +184,47 @@ def test_numbering(spark):
     assert {r.n for r in got.collect()} == {1500}
 
 
-@pytest.mark.parametrize("radius,salts", [(300.0, 1), (300.0, 5), (2500.0, 3)])
-def test_radius_join_equals_brute_force(spark, radius, salts):
+def scattered(spark):
     pts = spark.range(3000).select(F.col("id").alias("position_id"), (F.rand(1) * 180 - 90).alias("lat"), (F.rand(2) * 360 - 180).alias("lon")).toPandas()
-    cs = [(0, 89.9, 10.0), (1, -89.5, -170.0), (2, 0.0, 179.99), (3, 10.0, -179.9), (4, 60.0, 0.0), (5, 45.0, 180.0)]
-    cs += [(i + 6, float(la), float(lo)) for i, (la, lo) in enumerate(zip(range(-80, 81, 20), range(-170, 171, 40)))]
+    # A berth: a third of all reports at one place, and some around it.
+    pts.loc[:900, ["lat", "lon"]] = 18.95, 72.85
+    pts.loc[900:1400, "lat"] = 18.0 + (pts.loc[900:1400, "lat"] + 90) / 90
+    pts.loc[900:1400, "lon"] = 72.0 + (pts.loc[900:1400, "lon"] + 180) / 180
+    cs = [(0, 89.9, 10.0), (1, -89.5, -170.0), (2, 0.0, 179.99), (3, 10.0, -179.9), (4, 60.0, 0.0), (5, 45.0, 180.0), (6, 18.9, 72.8), (7, 19.0, 72.0)]
+    return pts, cs + [(i + 8, float(la), float(lo)) for i, (la, lo) in enumerate(zip(range(-80, 81, 20), range(-170, 171, 40)))]
+
+
+@pytest.mark.parametrize("radius,load", [(300.0, 1 << 18), (300.0, 40), (2500.0, 300), (20.0, 7)])
+def test_radius_join_equals_brute_force(spark, radius, load):
+    pts, cs = scattered(spark)
     df = spark.createDataFrame(pts)
-    got = spatial.within_radius(df, spark.createDataFrame(cs, "cid int, centre_lat double, centre_lon double"), radius, salts=salts)
+    got = spatial.within_radius(df, spark.createDataFrame(cs, "cid int, centre_lat double, centre_lon double"), radius, load=load)
     got = sorted((r.position_id, r.cid) for r in got.collect())
     want = sorted((int(i), c) for i, la, lo in pts.itertuples(index=False) for c, a, b in cs if haversine(a, b, la, lo) <= radius)
     assert got == want and len(set(got)) == len(got)
 
 
+@pytest.mark.parametrize("load", [1 << 18, 25])
+def test_radius_per_centre(spark, load):
+    """Radii from 1 to 2,000 km in one call: each centre is listed at the level that suits it."""
+    pts, cs = scattered(spark)
+    radii = [1.0, 12.0, 25.0, 60.0, 140.0, 400.0, 900.0, 2000.0]
+    rows = [(c, a, b, radii[c % len(radii)]) for c, a, b in cs]
+    centres = spark.createDataFrame(rows, "cid int, centre_lat double, centre_lon double, r double")
+    got = spatial.within_radius(spark.createDataFrame(pts), centres, 50.0, radius_column="r", load=load)
+    got = sorted((r.position_id, r.cid) for r in got.collect())
+    want = sorted((int(i), c) for i, la, lo in pts.itertuples(index=False) for c, a, b, r in rows if haversine(a, b, la, lo) <= r)
+    assert got == want and len(set(got)) == len(got)
+
+
+def test_busy_cells_cost_the_centres_few_copies(spark):
+    """Only the centres at the busy cell are copied, by what was counted there."""
+    pts, cs = scattered(spark)
+    df, centres = spark.createDataFrame(pts), spark.createDataFrame(cs, "cid int, centre_lat double, centre_lon double")
+    plan = spatial.within_radius(df, centres, 50.0, load=100)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
 def test_nearby_grows_with_radius(spark):
     df = track(spark, STOPPED)
     c = spark.createDataFrame([(1, 18.83, 72.70)], "centre_id int, centre_lat double, centre_lon double")

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +12,8 @@ from tidemark.functions.geo import haversine_km, metres_to_dlat, metres_to_dlon
 from tidemark.functions.physics import drift_velocity
 from tidemark.functions.scalar import clamp, hash_uniform, lit_f, rnd
 from tidemark.operators.forcing import conditions_at
+from tidemark.operators.hull import group_hulls
+from tidemark.operators.ordering import group_quantile, number_rows
 
 
 @dataclass(frozen=True)
@@ -102,67 +102,35 @@ def final_positions(paths: DataFrame, cfg: DriftConfig) -> DataFrame:
     return paths.filter(F.col("step") == cfg.steps)
 
 
-def origin_summary(finals: DataFrame, cfg: DriftConfig) -> DataFrame:
-    """Mean end position and 90th percentile spread per spill (2..50 km)."""
-    per_spill = Window.partitionBy("spill_id")
-    spread = (finals.withColumn("m_lat", F.avg("lat").over(per_spill)).withColumn("m_lon", F.avg("lon").over(per_spill))
-              .withColumn("d", haversine_km(F.col("m_lat"), F.col("m_lon"), F.col("lat"), F.col("lon"))))
-    # The particle count per spill is a configuration value, so the exact percentile is small.
-    return spread.groupBy("spill_id").agg(
-        F.count("*").alias("particle_count"),
-        rnd(F.avg("lat"), 5).alias("origin_lat"), rnd(F.avg("lon"), 5).alias("origin_lon"),
-        clamp(rnd(F.percentile("d", F.lit(0.9)), 2), 2.0, 50.0).alias("uncertainty_km"),
-    ).withColumn("confidence", lit_f(0.82 if cfg.backward else 0.88))
-
-
-def _hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise and open (monotone chain)."""
-    pts = np.unique(points, axis=0)
-    if len(pts) < 3:
-        return pts
-
-    def chain(seq):
-        out: list = []
-        for p in seq:
-            while len(out) > 1 and ((out[-1][0] - out[-2][0]) * (p[1] - out[-2][1])
-                                    - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0])) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-    return np.array(chain(pts) + chain(pts[::-1]))
-
-
-def _hull_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    ring = _hull(pdf[["lon", "lat"]].to_numpy())
-    return pd.DataFrame({"spill_id": pdf["spill_id"].iloc[0], "seq": np.arange(len(ring), dtype="int32"),
-                         "lon": ring[:, 0], "lat": ring[:, 1]})
-
-
-def origin_region(finals: DataFrame, chunks: int = 1) -> DataFrame:
-    """Hull ring and buffer (degrees) of the end positions per spill.
-
-    With ``chunks`` > 1 each spill is first cut into random parts and only the corner
-    points of each part go on; the hull of those corners is the hull of all points, so
-    a spill with any number of particles never sits in one task.
-    """
-    schema = "spill_id bigint, seq int, lon double, lat double"
-    points = finals.select("spill_id", "particle_id", "lon", "lat")
-    if chunks > 1:
-        parts = points.withColumn("_part", F.pmod(F.xxhash64("particle_id"), F.lit(chunks)))
-        points = parts.groupBy("spill_id", "_part").applyInPandas(_hull_rows, schema)
-    corners = points.groupBy("spill_id").applyInPandas(_hull_rows, schema)
-    point = F.struct("seq", "lon", "lat")
-    rings = corners.groupBy("spill_id").agg(F.array_sort(F.collect_list(point)).alias("p"), F.count("*").alias("n"))
-    open_ring = F.transform("p", lambda x: F.struct(x["lon"].alias("lon"), x["lat"].alias("lat")))
-    closed = F.when(F.col("n") >= 3, F.concat(open_ring, F.slice(open_ring, 1, 1))).otherwise(open_ring)
-    return rings.select("spill_id", closed.alias("ring"),
-                        F.when(F.col("n") == 1, lit_f(0.04)).when(F.col("n") == 2, lit_f(0.03))
-                         .otherwise(lit_f(0.02)).alias("buffer_deg"))
-
-
-def sampled_waypoints(paths: DataFrame, cfg: DriftConfig, first_particles: int = 35) -> DataFrame:
-    """Report subset: the first particles, every n-th waypoint from the first (n = a sixth of the path)."""
-    every = max(1, (cfg.steps + 1) // 6)
+def origin_summary(finals: DataFrame, backward: bool = True, key: str = "spill_id") -> DataFrame:
+    """Mean end position and 90th percentile spread of each group of end positions (2..50 km)."""
+    means = finals.groupBy(key).agg(F.count("*").alias("particle_count"), F.avg("lat").alias("m_lat"), F.avg("lon").alias("m_lon"))
+    spread = finals.join(means, key).withColumn("d", haversine_km(F.col("m_lat"), F.col("m_lon"), F.col("lat"), F.col("lon")))
+    return (means.join(group_quantile(spread, [key], "d", 0.9), key)
+            .select(key, "particle_count", rnd(F.col("m_lat"), 5).alias("origin_lat"), rnd(F.col("m_lon"), 5).alias("origin_lon"),
+                    clamp(rnd(F.col("quantile"), 2), 2.0, 50.0).alias("uncertainty_km"))
+            .withColumn("confidence", lit_f(0.82 if backward else 0.88)))
+
+
+def origin_region(finals: DataFrame, key: str = "spill_id", size: int = 512) -> DataFrame:
+    """Hull ring (closed from three corners on) and buffer (degrees) of each group of end positions."""
+    n = F.size("hull")
+    return group_hulls(finals, key, size).select(
+        key, F.when(n >= 3, F.concat("hull", F.slice("hull", 1, 1))).otherwise(F.col("hull")).alias("ring"),
+        F.when(n == 1, lit_f(0.04)).when(n == 2, lit_f(0.03)).otherwise(lit_f(0.02)).alias("buffer_deg"))
+
+
+def stored_paths(particles: DataFrame, simulations: DataFrame) -> DataFrame:
+    """Stored particles of all backward runs of each spill, as paths: ``step`` numbers a particle's places in time, from 0."""
+    runs = simulations.filter("simulation_type = 'BACKWARD'").select("simulation_id", "spill_id")
+    rows = particles.join(runs, "simulation_id")
+    month = F.date_trunc("month", F.col("ts"))
+    return number_rows(rows, ["spill_id", "particle_id"], month, [F.col("ts"), F.col("simulation_id")], out="step").withColumn("step", F.col("step") - 1)
+
+
+def sampled_waypoints(paths: DataFrame, steps: int, first_particles: int = 35) -> DataFrame:
+    """Report subset: the first particles, every n-th waypoint from the first (n = a sixth of a path of ``steps``)."""
+    every = max(1, (steps + 1) // 6)
     return (paths.filter((F.col("particle_id") < first_particles) & (F.col("step") % every == 0))
             .select("spill_id", "particle_id", "ts", rnd(F.col("lon"), 5).alias("lon"), rnd(F.col("lat"), 5).alias("lat")))
 
@@ -179,6 +147,6 @@ def simulation_records(paths: DataFrame, spills: DataFrame, cfg: DriftConfig, cr
     other = F.timestamp_micros(F.unix_micros("detected_at") + F.lit(cfg.sign * minutes * 60_000_000))
     first, last = (other, F.col("detected_at")) if cfg.backward else (F.col("detected_at"), other)
     return (spills.select("spill_id", first.alias("start_time"), last.alias("end_time"))
-            .join(origin_summary(finals, cfg), "spill_id").join(origin_region(finals), "spill_id")
+            .join(origin_summary(finals, cfg.backward), "spill_id").join(origin_region(finals), "spill_id")
             .withColumn("simulation_type", F.lit("BACKWARD" if cfg.backward else "FORWARD"))
             .withColumn("duration_hours", lit_f(cfg.hours)).withColumn("created_at", created_at))

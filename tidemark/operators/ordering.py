@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import cut_lineage
+
 BUCKET = "_bucket"
 
 
@@ -64,3 +66,38 @@ def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
 def hash_order(seed: int, *columns: str) -> Column:
     """Seeded shuffle key: hex md5 text, uniform and independent of partitioning."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
+def group_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str = "quantile", settle: int = 4096, cells: int = 256) -> DataFrame:
+    """(keys, out): the exact quantile of each group, interpolated between neighbouring ranks.
+
+    Groups of more than ``settle`` values are narrowed first: the values around a rank are counted
+    in ``cells`` equal cells, and the cell that holds the rank is the next range, until few
+    values or one value are left.  Only those are ranked, so no task sorts a large group.
+    Null values are left out.  Runs actions.
+    """
+    keys = list(keys)
+    # Written once: a value computed from sums may come out otherwise in its last digit when computed again.
+    rows = cut_lineage(df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL"))
+    groups = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")))
+    place = F.lit(float(q)) * (F.col("_n") - 1)
+    ranks = F.explode(F.array_distinct(F.array(F.floor(place).cast("bigint"), F.ceil(place).cast("bigint"))))
+    wanted = cut_lineage(groups.select(*keys, ranks.alias("_rank"), "_low", "_high", F.lit(0).cast("bigint").alias("_before"), F.col("_n").alias("_inside")))
+    own = [*keys, "_rank"]
+    within = (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))
+    wide = (F.col("_inside") > settle) & (F.col("_low") < F.col("_high"))
+    while not wanted.filter(wide).isEmpty():
+        cell = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * cells), F.lit(cells - 1))
+        counted = (rows.join(wanted.filter(wide), keys).filter(within).groupBy(*own, "_before", cell.alias("_cell"))
+                   .agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high")))
+        up = Window.partitionBy(*own).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_c").over(up), F.lit(0)))
+        held = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_c"))
+        narrow = placed.filter(held).select(*own, "_low", "_high", F.col("_first").alias("_before"), F.col("_c").alias("_inside"))
+        wanted = cut_lineage(wanted.filter(~wide).unionAll(narrow))
+    one = wanted.filter("_low = _high").select(*own, F.col("_low").alias("_v"))
+    number = F.row_number().over(Window.partitionBy(*own).orderBy("_v")) - 1 + F.col("_before")
+    few = (rows.join(wanted.filter("_low < _high"), keys).filter(within).withColumn("_no", number)
+           .filter(F.col("_no") == F.col("_rank")).select(*own, "_v"))
+    found = one.unionAll(few).groupBy(*keys).agg(F.min_by("_v", "_rank").alias("_a"), F.max_by("_v", "_rank").alias("_b"))
+    return groups.join(found, keys).select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))).alias(out))
