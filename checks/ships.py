@@ -70,6 +70,21 @@ def json_import(v: Views) -> DataFrame:
     return _flat(ais.clean_positions(read_json(v.spark, path, lines=True)))
 
 
+@query(AUDIT + f"SELECT {CLEAN_COLUMNS} FROM audit WHERE reject_reason IS NULL")
+def json_split_list(v: Views) -> DataFrame:
+    """One file, one JSON list of all records, with braces and quotes inside strings and nested values, cut by many tasks."""
+    path, mark = new_path(v.spark, "json"), '"}{[\\'
+    marked = v.raw_ais.withColumn("name", F.when(F.trim("name") != "", F.concat("name", F.lit(mark))).otherwise(F.col("name")))
+    record = F.to_json(F.struct(*v.raw_ais.columns, F.struct(F.array(F.lit("}"), F.lit("]")).alias("list")).alias("extra")))
+    first = F.col("ingest_seq") == marked.agg(F.min("ingest_seq")).first()[0]
+    lines = marked.select("ingest_seq", F.concat(F.when(first, "[").otherwise(","), record).alias("value"))
+    end = v.spark.range(1).select(F.lit(2**62).alias("ingest_seq"), F.lit("]").alias("value"))
+    lines.unionAll(end).coalesce(1).sortWithinPartitions("ingest_seq").select("value").write.text(path)
+    clean = ais.clean_positions(read_json(v.spark, path, range_bytes=1 << 18)).drop("extra")
+    plain = F.when(F.endswith("name", F.lit(mark)), F.col("name").substr(F.lit(1), F.length("name") - len(mark))).otherwise(F.col("name"))
+    return _flat(clean).withColumns({"ingest_seq": F.col("ingest_seq").cast("bigint"), "name": plain})
+
+
 @query(AUDIT + f"SELECT {CLEAN_COLUMNS} FROM audit WHERE reject_reason IS NULL")
 def csv_mixed_headers(v: Views) -> DataFrame:
     """Files of one folder with other headers in another order; names hold quotes, commas and backslashes."""

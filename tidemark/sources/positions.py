@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.json_lists import read_json_lists
 from tidemark.sources.scratch import cut_lineage
 
 
@@ -38,18 +39,23 @@ def csv_by_header(spark: SparkSession, path: str, multi_line: bool = False) -> l
     return [read_csv(spark, sorted(files[h]), multi_line) for h in sorted(files)]
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, lines: bool = False, range_bytes: int | None = None) -> DataFrame:
     """A JSON list of records, or an object with a ``records`` list.
 
-    ``lines`` reads one record per line, which splits over tasks; the other two forms
-    are one JSON value per file.
+    ``lines`` reads one record per line.  Lists are cut into records by many tasks (:mod:`json_lists`); a file
+    with an object is one JSON value, read by one task.  ``range_bytes`` bounds what a task reads of a list.
     Records that spell a field ``mmsi`` and ``MMSI`` need ``spark.sql.caseSensitive`` set to true.
     """
-    df = spark.read.json(path, multiLine=not lines)
-    kind = df.schema["records"].dataType if "records" in df.columns else None
+    if lines:
+        return spark.read.json(path)
+    listed, others = read_json_lists(spark, path, range_bytes)
+    if not others and listed is not None:
+        return listed
+    whole = spark.read.json(others or path, multiLine=True)
+    kind = whole.schema["records"].dataType if "records" in whole.columns else None
     if isinstance(kind, T.ArrayType):
-        return df.select(F.explode("records").alias("r")).select("r.*")
-    return df
+        whole = whole.select(F.explode("records").alias("r")).select("r.*")
+    return whole if listed is None else listed.unionByName(whole, allowMissingColumns=True)
 
 
 def append_positions(clean: DataFrame, path: str) -> None:
