@@ -13,7 +13,8 @@ from checks.sql import ANG, FIX, HAV, HOURS, MOD360, R
 from checks.views import Views, sql_views
 from tidemark.functions import geo, physics
 from tidemark.functions.scalar import lit_f, rnd
-from tidemark.operators import attribution, drift, forcing, top_ships
+from tidemark.operators import attribution, drift, forcing, regions, top_ships
+from tidemark.operators.ordering import number_rows
 from tidemark.sources.positions import read_candidates, replace_candidates
 from tidemark.sources.scratch import cut_lineage, new_path
 
@@ -237,6 +238,30 @@ def vessel_attribution(v: Views) -> DataFrame:
     return attribution.rank_candidates(scored).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+WATERS = sql_views("ais") + """, w AS (SELECT o_orderkey % 3 AS ring_id, o_orderkey AS k, 0.25e0 + CAST(o_custkey % 100 AS DOUBLE)/400 AS r FROM orders),
+n AS (SELECT ring_id, r, row_number() OVER (PARTITION BY ring_id ORDER BY k) AS seq, count(*) OVER (PARTITION BY ring_id) AS n FROM w),
+vx AS (SELECT ring_id, seq, n, 72.3e0 + ring_id*0.2e0 + r*cos(2e0*pi()*seq/n) AS lon, 18.5e0 + r*sin(2e0*pi()*seq/n) AS lat FROM n),
+ed AS (SELECT a.ring_id, a.lon AS x0, a.lat AS y0, b.lon AS x1, b.lat AS y1, a.ring_id*0.004e0 AS buf FROM vx a JOIN vx b ON b.ring_id = a.ring_id AND b.seq = a.seq % a.n + 1),
+cr AS (SELECT position_id, ring_id FROM ais JOIN ed ON (y0 > lat) <> (y1 > lat) WHERE lon < (x1 - x0)*(lat - y0)/(y1 - y0) + x0 GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+nr AS (SELECT DISTINCT position_id, ring_id FROM (SELECT position_id, ring_id, lon, lat, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy, buf FROM ais JOIN ed ON buf > 0
+  AND lat BETWEEN least(y0, y1) - buf AND greatest(y0, y1) + buf AND lon BETWEEN least(x0, x1) - buf AND greatest(x0, x1) + buf) q,
+ LATERAL (SELECT greatest(0e0, least(1e0, ((lon - x0)*dx + (lat - y0)*dy)/(dx*dx + dy*dy))) AS t) u
+ WHERE (lon - (x0 + t*dx))*(lon - (x0 + t*dx)) + (lat - (y0 + t*dy))*(lat - (y0 + t*dy)) < buf*buf)
+SELECT position_id, ring_id FROM cr UNION SELECT position_id, ring_id FROM nr"""
+
+
+@query(WATERS)
+def positions_in_waters(v: Views) -> DataFrame:
+    """Reports inside three ragged regions, which have a vertex for every third order; two of them are grown by a buffer."""
+    orders = v.spark.read.parquet(f"{v.sf_dir}/orders.parquet")
+    corners = orders.select((F.col("o_orderkey") % 3).alias("ring_id"), F.col("o_orderkey").alias("k"), (lit_f(0.25) + (F.col("o_custkey") % 100) / lit_f(400)).alias("r"))
+    numbered = number_rows(corners, ["ring_id"], F.floor(F.col("k") / 10_000), [F.col("k")], out="seq", total="n")
+    turn = lit_f(2 * math.pi) * F.col("seq") / F.col("n")
+    vertices = numbered.select("ring_id", "seq", (lit_f(72.3) + F.col("ring_id") * lit_f(0.2) + F.col("r") * F.cos(turn)).alias("lon"), (lit_f(18.5) + F.col("r") * F.sin(turn)).alias("lat"))
+    buffers = v.spark.range(3).select(F.col("id").alias("ring_id"), (F.col("id") * lit_f(0.004)).alias("buffer_deg"))
+    return regions.points_in_regions(v.ais, vertices, buffers)
+
+
 @query(ORIGINS + score_sql(False) + SCORES.replace("FROM cand", ", rank FROM cand WHERE rank <= 5"))
 def top_ships_per_spill(v: Views) -> DataFrame:
     """The five best of all ships for each spill, with or without spatial evidence."""
