@@ -13,6 +13,7 @@ from checks.views import SCENE_EXT_SQL, Views, sql_views
 from tidemark.functions import geo, radar
 from tidemark.functions.scalar import clamp, lit_f, rnd
 from tidemark.operators import components, detect, evaluate, raster
+from tidemark.sources import arrays
 from tidemark.sources.rasters import write_tiles
 from tidemark.sources.scratch import cut_lineage, new_path
 
@@ -97,15 +98,40 @@ ROUTE = """, rt AS (SELECT scene_id, CASE WHEN ext IN ('.png', '.jpg', '.jpeg',
  FROM pixels JOIN scene_ext USING (scene_id) GROUP BY scene_id, ext)"""
 
 
-@query(PX + ", " + SCENE_EXT_SQL + DIMS + ROUTE + lee_sql("(SELECT scene_id, row, col, CASE calibration_method WHEN '8BIT_VISUAL_PROXY' THEN value/255e0 WHEN 'RADIOMETRIC_SIGMA0_DB' THEN 10e0*log10(greatest(value*value, 1e-6)) ELSE value END AS value FROM pixels JOIN rt USING (scene_id))", "value", 2)
-       + filt("sq", "x", "bm3", 1) + filt("sq", "xx", "bs3", 1) + f""", l3 AS (SELECT sq.*, bm3, greatest(bs3 - bm3*bm3, 1e-6) AS va, noise FROM sq JOIN bm3 USING (scene_id, row, col) JOIN bs3 USING (scene_id, row, col) JOIN nz USING (scene_id))
-SELECT scene_id, row, col, calibration_method, {R('''CASE calibration_method WHEN 'PRE_CALIBRATED_NUMPY' THEN lee.x WHEN 'RADIOMETRIC_SIGMA0_DB' THEN (least(greatest(despeckled, -30e0), 0e0) + 30e0)/30e0
- ELSE least(greatest(bm3 + least(greatest(va/(va + noise + 1e-6), 0e0), 1e0)*(l3.x - bm3), 0e0), 1e0) END''', 6)} AS norm FROM lee JOIN rt USING (scene_id) JOIN l3 USING (scene_id, row, col)""")
-def preprocess_scenes(v: Views) -> DataFrame:
-    p = raster.preprocess(v.pixels.drop("truth"), v.scene_ext)
+def preprocess_sql(values: str, method: str, decibel: str) -> str:
+    """Both filter sizes over all scenes; each scene takes the one of its route."""
+    routes = ROUTE.replace("RADIOMETRIC_SIGMA0_DB", method).replace("FROM pixels", f"FROM {values}")
+    scaled = f"(SELECT scene_id, row, col, CASE calibration_method WHEN '8BIT_VISUAL_PROXY' THEN value/255e0 WHEN '{method}' THEN {decibel} ELSE value END AS value FROM {values} JOIN rt USING (scene_id))"
+    return SCENE_EXT_SQL + DIMS + routes + lee_sql(scaled, "value", 2) + filt("sq", "x", "bm3", 1) + filt("sq", "xx", "bs3", 1) + f""", l3 AS (SELECT sq.*, bm3, greatest(bs3 - bm3*bm3, 1e-6) AS va, noise FROM sq JOIN bm3 USING (scene_id, row, col) JOIN bs3 USING (scene_id, row, col) JOIN nz USING (scene_id))
+SELECT scene_id, row, col, calibration_method, {R(f'''CASE calibration_method WHEN 'PRE_CALIBRATED_NUMPY' THEN lee.x WHEN '{method}' THEN (least(greatest(despeckled, -30e0), 0e0) + 30e0)/30e0
+ ELSE least(greatest(bm3 + least(greatest(va/(va + noise + 1e-6), 0e0), 1e0)*(l3.x - bm3), 0e0), 1e0) END''', 6)} AS norm FROM lee JOIN rt USING (scene_id) JOIN l3 USING (scene_id, row, col)"""
+
+
+def _normalised(v: Views, pixels: DataFrame, **settings) -> DataFrame:
+    p = raster.preprocess(pixels, v.scene_ext, **settings)
     return p.select("scene_id", "row", "col", "calibration_method", rnd(F.col("norm"), 6).alias("norm"))
 
 
+@query(PX + ", " + preprocess_sql("pixels", "RADIOMETRIC_SIGMA0_DB", "10e0*log10(greatest(value*value, 1e-6))"))
+def preprocess_scenes(v: Views) -> DataFrame:
+    return _normalised(v, v.pixels.drop("truth"))
+
+
+@query(PX + ", darker AS (SELECT scene_id, row, col, value*20e0 - 18e0 AS value FROM pixels), " + preprocess_sql("darker", "RAW_DN", "value"))
+def preprocess_uncalibrated(v: Views) -> DataFrame:
+    """Without calibration: values that are decibels already are filtered and clipped as they are."""
+    return _normalised(v, v.pixels.drop("truth").withColumn("value", F.col("value") * lit_f(20) - lit_f(18)), calibrate=False)
+
+
+@query(PX + " SELECT scene_id, row, col, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM pixels WHERE row BETWEEN 5 AND 40")
+def array_files(v: Views) -> DataFrame:
+    """Scenes written as array files; ranges of their rows read back."""
+    path = new_path(v.spark, "arrays")
+    arrays.write_arrays(v.pixels.select(F.col("scene_id").alias("scene"), "row", "col", "value"), path)
+    back = arrays.read_arrays(v.spark, path, partition_bytes=1 << 12).filter("band = 'VV' AND row >= 5 AND row <= 40")
+    return back.select(F.col("scene").cast("bigint").alias("scene_id"), "row", "col", "value")
+
+
 SHIFTED = "SELECT scene_id, row, col, value*CASE scene_id % 3 WHEN 0 THEN 1e0 WHEN 1 THEN -20e0 ELSE 400e0 END AS value FROM pixels"
 
 
@@ -195,9 +221,9 @@ def blended_scene(v: Views) -> DataFrame:
 @query(PX + DIMS + TILES + f"SELECT scene_id, r0, c0, 1024 AS cells, {R('sum(CAST(value AS FLOAT)::DOUBLE * ((row - r0)*32 + (col - c0) + 1))', 4)} AS checksum FROM t GROUP BY 1, 2, 3")
 def tile_arrays_stored(v: Views) -> DataFrame:
     """Zero-padded tile arrays written by split and read back."""
-    arrays = raster.tile_arrays(raster.tile_pixels(v.pixels, 32, 24), 32)
+    tiled = raster.tile_arrays(raster.tile_pixels(v.pixels, 32, 24), 32)
     path = new_path(v.spark, "tiles")
-    write_tiles(arrays.withColumn("split", F.when(F.col("scene_id") % 2 == 0, "train").otherwise("val")), path)
+    write_tiles(tiled.withColumn("split", F.when(F.col("scene_id") % 2 == 0, "train").otherwise("val")), path)
     spread = v.spark.read.parquet(path).select("scene_id", "r0", "c0", F.posexplode("values").alias("i", "x"))
     return spread.groupBy("scene_id", "r0", "c0").agg(F.count("*").cast("int").alias("cells"),
                                                       rnd(F.sum(F.col("x").cast("double") * (F.col("i") + 1)), 4).alias("checksum"))

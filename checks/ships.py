@@ -14,7 +14,7 @@ from tidemark.functions import geo
 from tidemark.functions.scalar import fixed, rnd
 from tidemark.operators import ais, spatial, tracks
 from tidemark.plans.ingest import clean_csv, import_positions
-from tidemark.sources.positions import append_positions, read_csv, read_json
+from tidemark.sources.positions import append_positions, read_csv, read_json, read_positions
 from tidemark.sources.scratch import new_path
 
 
@@ -133,10 +133,13 @@ def imported_track_summary(v: Views) -> DataFrame:
 
 @query(AUDIT + "SELECT mmsi, CAST(count(*) AS BIGINT) AS n, max(ts) AS last_us FROM audit WHERE reject_reason IS NULL GROUP BY mmsi")
 def position_store(v: Views) -> DataFrame:
-    """Append by day, then read back."""
-    path = new_path(v.spark, "positions")
-    append_positions(ais.clean_positions(v.raw_ais), path)
-    return v.spark.read.parquet(path).groupBy("mmsi").agg(F.count("*").alias("n"), F.max(F.unix_micros("ts")).alias("last_us"))
+    """Import in two batches, one of them twice, then read back."""
+    path, clean = new_path(v.spark, "positions"), ais.clean_positions(v.raw_ais)
+    even = F.col("ingest_seq") % 2 == 0
+    append_positions(clean.filter(even), path, "even")
+    append_positions(clean.filter(~even), path)
+    append_positions(clean.filter(even), path, "even")
+    return read_positions(v.spark, path).groupBy("mmsi").agg(F.count("*").alias("n"), F.max(F.unix_micros("ts")).alias("last_us"))
 
 
 @query(AUDIT + """, v AS (SELECT CAST(419000000 + c_custkey AS VARCHAR) AS mmsi FROM customer WHERE c_acctbal > 0)

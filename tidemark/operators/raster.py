@@ -133,25 +133,29 @@ def gradient(pixels: DataFrame, value: str = "value", out: str = "gradient", axe
 EIGHT_BIT = (".png", ".jpg", ".jpeg", ".webp")
 
 
-def calibration_route(ext: Column, max_val: Column) -> Column:
-    return (F.when(ext.isin(*EIGHT_BIT), "8BIT_VISUAL_PROXY")
-            .when((max_val <= 1) & (ext == ".npy"), "PRE_CALIBRATED_NUMPY").otherwise("RADIOMETRIC_SIGMA0_DB"))
+# The names of the routes.
+PREVIEW, NORMALISED, CALIBRATED, RAW = "8BIT_VISUAL_PROXY", "PRE_CALIBRATED_NUMPY", "RADIOMETRIC_SIGMA0_DB", "RAW_DN"
 
 
-def preprocess(pixels: DataFrame, scenes: DataFrame, despeckle: bool = True) -> DataFrame:
+def calibration_route(ext: Column, max_val: Column, calibrate: bool = True) -> Column:
+    return (F.when(ext.isin(*EIGHT_BIT), PREVIEW).when((max_val <= 1) & (ext == ".npy"), NORMALISED)
+            .otherwise(CALIBRATED if calibrate else RAW))
+
+
+def preprocess(pixels: DataFrame, scenes: DataFrame, despeckle: bool = True, calibrate: bool = True) -> DataFrame:
     """Normalised [0,1] pixels per scene by its route; ``scenes`` gives scene_id, ext.
 
-    8-bit previews: scaled, 3x3 Lee; pre-normalised arrays: unchanged; others: dB, 5x5
-    Lee, clipped range.  One column "x" carries the value that the filter has to see, so
+    8-bit previews: scaled, 3x3 Lee; pre-normalised arrays: unchanged; others: dB (without
+    ``calibrate`` their values as they are), 5x5 Lee, clipped range.  One column "x" carries the value that the filter has to see, so
     each route is one filter over its own scenes.
     """
     routes = scene_stats(pixels).join(scenes.select("scene_id", "ext"), "scene_id").select(
-        "scene_id", "h", "w", calibration_route(F.col("ext"), F.col("max_val")).alias("calibration_method"))
+        "scene_id", "h", "w", calibration_route(F.col("ext"), F.col("max_val"), calibrate).alias("calibration_method"))
     tagged = attach_scene(pixels, routes, ["calibration_method"])
     route = F.col("calibration_method")
-    ready = tagged.filter(route == "PRE_CALIBRATED_NUMPY").withColumn("norm", F.col("value"))
-    eight = tagged.filter(route == "8BIT_VISUAL_PROXY").withColumn("x", F.col("value") / lit_f(255))
-    db = tagged.filter(route == "RADIOMETRIC_SIGMA0_DB").withColumn("x", sigma0_db(F.col("value")))
+    ready = tagged.filter(route == NORMALISED).withColumn("norm", F.col("value"))
+    eight = tagged.filter(route == PREVIEW).withColumn("x", F.col("value") / lit_f(255))
+    db = tagged.filter(route.isin(CALIBRATED, RAW)).withColumn("x", sigma0_db(F.col("value")) if calibrate else F.col("value"))
     if despeckle:
         eight, db = lee(eight, 3, value="x", out="x2"), lee(db, 5, value="x", out="x2")
     else:

@@ -18,15 +18,16 @@ def clean_csv(spark: SparkSession, path: str, rules: CleanRules = CleanRules(),
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def import_positions(raw: DataFrame, vessels: DataFrame, store: str, seq: str, rules: CleanRules = CleanRules()) -> tuple[DataFrame, Observation]:
+def import_positions(raw: DataFrame, vessels: DataFrame, store: str, seq: str, rules: CleanRules = CleanRules(),
+                     batch: str | None = None) -> tuple[DataFrame, Observation]:
     """Append accepted records to ``store``, ready for analysis, and give the vessels to add.
 
-    Records are parsed once.  ``seq`` orders them over all imports.  Record and (approximate)
+    Records are parsed once.  An import repeated under the same ``batch`` name counts once.  ``seq`` orders them over all imports.  Record and (approximate)
     vessel counts come from the write itself through the returned observation; exact vessel
     counts are in ``ais.import_summary``.
     """
     clean = cut_lineage(with_ids(clean_positions(raw, rules), seq))
     seen = Observation("import")
     watched = clean.observe(seen, F.count("*").alias("imported_records"), F.approx_count_distinct("mmsi").alias("vessels_updated"))
-    append_positions(watched, store)
+    append_positions(watched, store, batch)
     return new_vessels(clean, vessels, seq), seen

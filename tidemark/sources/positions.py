@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -58,14 +59,23 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, range_bytes:
     return whole if listed is None else listed.unionByName(whole, allowMissingColumns=True)
 
 
-def append_positions(clean: DataFrame, path: str) -> None:
-    """Append to the store, one folder per day; repeated records are kept.
+def append_positions(clean: DataFrame, path: str, batch: str | None = None) -> None:
+    """Add to the store, one folder per day and batch; repeated records are kept.
 
-    Rows are brought together by day first, which keeps files few; a busy day is split by
-    size.  Inside a file they lie by ship and time.
+    A batch counts once: a repeated or retried import under the same name replaces what the
+    batch has on the same days.  Without a name each call is a batch of its own.  Rows are
+    brought together by day first, which keeps files few; a busy day is split by size.  Inside a
+    file they lie by ship and time.
     """
-    dated = clean.withColumn("date", F.to_date("ts")).hint("rebalance", "date")
-    dated.sortWithinPartitions("date", "mmsi", "ts").write.mode("append").partitionBy("date").parquet(path)
+    dated = clean.withColumns({"date": F.to_date("ts"), "batch": F.lit(batch or f"import-{uuid.uuid4().hex}")}).hint("rebalance", "date")
+    (dated.sortWithinPartitions("date", "mmsi", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date", "batch").parquet(path))
+
+
+def read_positions(spark: SparkSession, path: str) -> DataFrame:
+    """All stored positions; ``batch`` tells the import, always as text."""
+    stored = spark.read.parquet(path)
+    return stored.withColumn("batch", F.col("batch").cast("string"))
 
 
 def replace_candidates(candidates: DataFrame, spills: DataFrame, path: str, buckets: int = 64) -> None:
