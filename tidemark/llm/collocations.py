@@ -17,14 +17,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytescan import distinct_slices, segments, text_bytes, words
+from tidemark.llm.bytescan import distinct_slices, mixed, segments, text_bytes, words
 from tidemark.sources.scratch import cut_lineage
 
-SEGMENT = 4 << 20  # bytes of text whose equal suffixes are added up before they travel
+SEGMENT = 2 << 20  # bytes of text whose equal suffixes are added up before they travel
 PAGE = 1 << 15  # bits in a row of Spark's bitmaps
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -55,12 +55,16 @@ class Places:
     def lang(self, which: np.ndarray) -> pa.Array:
         return self.tongues.take(pa.array(self.tongue[which]))
 
-    def marked(self, table: np.ndarray) -> np.ndarray:
-        """Whether the table has the bit of each (language, word)."""
+    def codes(self) -> np.ndarray:
+        """Checksum of each (language, word), as Spark's crc32 gives it."""
         heads = [crc32(x.encode()) for x in self.tongues.to_pylist()]
-        code = np.fromiter((crc32(w, heads[t]) for w, t in zip(self.names, self.tongue.tolist())), np.int64, len(self.names))
-        code &= len(table) * 8 - 1
-        return (table[code >> 3] >> (code & 7).astype(np.uint8) & 1).astype(bool)
+        return np.fromiter((crc32(w, heads[t]) for w, t in zip(self.names, self.tongue.tolist())), np.int64, len(self.names))
+
+
+def marked(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the table has each code's bit."""
+    slot = codes & (len(table) * 8 - 1)
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[Places]:
@@ -88,27 +92,51 @@ def suffix_codes(p: Places, usable: np.ndarray, most: int) -> np.ndarray:
     return codes[codes[:, 1] >= 0]
 
 
-def _suffixes(frequent, busy, most: int):
+def lines_of(names: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a line for each row of word numbers, words joined by blanks."""
+    pool = np.frombuffer(b"".join(n + b" " for n in names), np.uint8)
+    size = np.fromiter(map(len, names), np.int64, len(names)) + 1
+    at = np.cumsum(size) - size
+    which = codes[codes >= 0]
+    n = size[which]
+    ends = np.cumsum(n)
+    flat = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - n), n)]
+    last = np.cumsum((codes >= 0).sum(1)) - 1
+    offsets = np.append(0, ends[last])
+    flat[offsets[1:] - 1] = 10
+    return flat, offsets
+
+
+def _suffixes(frequent, busy, most: int, blocks: int):
+    """Suffixes by block, those of a segment as one compressed text of lines, with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for p in _places(batches):
             if not p.names:
                 continue
-            codes = suffix_codes(p, p.marked(frequent.value), most)
-            order = np.lexsort(codes.T[::-1])
-            codes = codes[order]
-            head = np.ones(len(codes), bool)
-            head[1:] = (codes[1:] != codes[:-1]).any(1)
-            at = np.flatnonzero(head)
-            n = np.diff(np.append(at, len(codes)))
-            codes = codes[at]
-            hot = p.marked(busy.value)
-            names = [x.decode() for x in p.names]
-            lead = [f"{names[a]} {names[b]}" for a, b in codes[:, :2].tolist()]
-            named = pa.array([*names, None], pa.string())
-            rest = [named.take(pa.array(codes[:, k] % (len(names) + 1))) for k in range(2, most)]
+            own = p.codes()
+            codes = suffix_codes(p, marked(own, frequent.value), most)
+            if not len(codes):
+                continue
+            hot, spread = marked(own, busy.value), mixed(own.astype(np.uint64))
             split = hot[codes[:, 0]] & hot[codes[:, 1]]
-            yield pa.RecordBatch.from_arrays([p.lang(codes[:, 0]), pa.array(lead, pa.string()), *rest, pa.array(split), pa.array(n)],
-                                             ["lang", "lead", *(f"w{k}" for k in range(2, most)), "split", "n"])
+            lead = mixed(spread[codes[:, 0]] + spread[codes[:, 1]] * np.uint64(3))
+            third = np.where(codes[:, 2] >= 0, spread[codes[:, 2]], np.uint64(0)) if most > 2 else lead
+            block = (np.where(split, mixed(lead + third), lead) % np.uint64(blocks)).astype(np.int64)
+            tag = (block * len(p.tongues) + p.tongue[codes[:, 0]]) * 2 + split
+            order = np.lexsort([*codes.T[::-1], tag])
+            codes, tag = codes[order], tag[order]
+            head = np.append(True, (codes[1:] != codes[:-1]).any(1))
+            at = np.flatnonzero(head)
+            n = np.diff(np.append(at, len(codes))).astype("<u4")
+            codes, tag = codes[at], tag[at]
+            flat, offsets = lines_of(p.names, codes)
+            begin = np.flatnonzero(np.append(True, tag[1:] != tag[:-1]))
+            rows = [(pack(flat[offsets[a]:offsets[b]].tobytes()), pack(n[a:b].tobytes())) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(tag)])]
+            tags = tag[begin]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((tags // (2 * len(p.tongues))).astype(np.int32)), p.tongues.take(pa.array(tags // 2 % len(p.tongues))), pa.array((tags & 1).astype(bool)),
+                 pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["block", "lang", "split", "lines", "counts"])
     return run
 
 
@@ -158,20 +186,25 @@ def equal_runs(keys: list[np.ndarray], weight: np.ndarray, least: int, spared: n
 
 def _block_counts(most: int, least: int):
     def run(block: pa.Table) -> pa.Table:
-        def codes(name: str) -> np.ndarray:
-            c = block.column(name).combine_chunks().dictionary_encode().indices
-            return c.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        lead, tongue = codes("lead"), codes("lang")
-        split = block.column("split").to_numpy()
-        first = (tongue * (lead.max() + 1) + lead) * 2 + split
-        keys = [first, *(codes(f"w{k}") for k in range(2, most))]
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = [unpack(x) for x in block.column("lines").to_pylist()]
+        weight = [np.frombuffer(unpack(x), "<u4").astype(np.int64) for x in block.column("counts").to_pylist()]
+        langs = block.column("lang").combine_chunks().dictionary_encode()
+        tags = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + block.column("split").to_numpy()
+        tag, weight = np.repeat(tags, [len(w) for w in weight]), np.concatenate(weight)
+        raw = b"".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        _, start, end = words(data, np.array([0, len(data)]))
+        line = np.cumsum(data == 10)[start]
+        first, word = distinct_slices(data, start, end)
+        codes = np.full((len(weight), most), -1, np.int64)
+        codes[line, np.arange(len(line)) - np.searchsorted(line, line)] = word
+        lead = (tag * len(first) + codes[:, 0]) * len(first) + codes[:, 1]
+        names = [raw[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist())]
         out = []
-        for depth, at, n in equal_runs(keys, block.column("n").to_numpy(), least, split):
-            rows = block.take(pa.array(at))
-            phrase = rows.column("lead")
-            for k in range(2, depth + 2):
-                phrase = pc.binary_join_element_wise(phrase, rows.column(f"w{k}"), " ")
-            out.append(pa.table([rows.column("lang"), phrase, pa.array(n)], ["lang", "phrase", "n"]))
+        for depth, at, n in equal_runs([lead, *codes[:, 2:].T], weight, least, (tag & 1).astype(bool)):
+            phrases = [" ".join([names[i] for i in c]) for c in codes[at, :depth + 2].tolist()]
+            out.append(pa.table([langs.dictionary.take(pa.array(tag[at] >> 1)), pa.array(phrases, pa.string()), pa.array(n)], ["lang", "phrase", "n"]))
         empty = pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], ["lang", "phrase", "n"])
         return pa.concat_tables(out) if out else empty
     return run
@@ -188,7 +221,7 @@ def bit_table(words_: DataFrame, bits: int) -> np.ndarray:
     return table[:(1 << bits) // 8]
 
 
-def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 3, least: int = 10, block: int = 1 << 20,
+def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 3, least: int = 10, block: int = 1 << 18,
                   bits: int = 25) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): rows (lang, word, n), and (lang, phrase, n) of 2 to ``most`` words with n >= ``least``.
 
@@ -204,10 +237,7 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", most:
     sent = [spark.sparkContext.broadcast(bit_table(x, bits)) for x in (common, common.filter(F.col("n") > block))]
     occurrences = common.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(occurrences / block))
-    later = [f"w{k}" for k in range(2, most)]
-    schema = ", ".join(["lang string", "lead string", *(f"{w} string" for w in later), "split boolean", "n bigint"])
-    third = [F.when(F.col("split"), F.col("w2"))] if later else []
-    routed = slim.mapInArrow(_suffixes(*sent, most), schema).withColumn("block", F.pmod(F.xxhash64("lang", "lead", *third), F.lit(blocks)).cast("int"))
+    routed = slim.mapInArrow(_suffixes(*sent, most, blocks), "block int, lang string, split boolean, lines binary, counts binary")
     counted = routed.groupBy("block").applyInArrow(_block_counts(most, least), "lang string, phrase string, n bigint")
     phrases = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return vocabulary, cut_lineage(phrases)
