@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -100,13 +101,14 @@ def document_shards(docs: DataFrame, shards: int = 16, bits: int = 3, key: str =
                     labels: Sequence[str] = ("source", "lang")) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve): every row, law ``rows``.
 
-    Dimensions: text size, key, and the label columns.  A null text has size 1, as an empty
+    Dimensions: text size, key (a hash of a key that is no number), and the label columns.  A null text has size 1, as an empty
     one; null labels and keys share cell 0.  An empty table gives an empty result.  Other
     columns are not read, so their names cannot clash.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(F.col(key).alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole).alias("text_crc32"),
                        *[F.col(c).alias(f"_label{i}") for i, c in enumerate(labels)])
-    cells = quantised(slim, [F.col("size"), F.col("doc_id")], [F.col(f"_label{i}") for i in range(len(labels))], bits)
+    place = F.col("doc_id") if isinstance(docs.schema[key].dataType, T.NumericType) else F.xxhash64("doc_id")
+    cells = quantised(slim, [F.col("size"), F.when(F.col("doc_id").isNotNull(), place)], [F.col(f"_label{i}") for i in range(len(labels))], bits)
     out = curve_shards(slim, shards, cells, bits)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")

@@ -356,16 +356,16 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     anywhere else, in the same text (overlapping or not) or another; matches stay within a
     text and are judged on the input.  Bytes are UTF-8; a null text is empty.  ``row`` is the
     struct of the ``carry`` columns (by default the key), so extra columns cannot clash;
-    repeated rows count as different documents.  A null key is like any other.  ``kept`` has
+    repeated rows count as different documents.  A null key is like any other, and so is one that is no number.  ``kept`` has
     the remaining text if ``with_text``, without the code points that a cut has split.  An
     empty table gives an empty result.  Strings are told apart by 96 bits of hash.
     """
     if length - gram < BLOCK:
         raise ValueError(f"length must exceed gram by {BLOCK} at least")
     spark = docs.sparkSession
-    # The route only brings a document's entries back to it; equal keys share theirs, which does no harm.
-    route = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(key)))
-    slim = docs.select(F.struct(*(carry or [key])).alias("row"), route.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Entries come back to a row by a number of its own, so that rows of one key, or of none, share no list.
+    slim = cut_lineage(docs.select(F.struct(*(carry or [key])).alias("row"), F.monotonically_increasing_id().alias("doc"),
+                                   F.coalesce(F.col(text), F.lit("")).alias("text")))
     family = SuffixArrayFamily(spark, length, gram)
     for i in range(batches):
         family.add(slim.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == i))
@@ -387,7 +387,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     A code point that a cut has split is dropped; a null text that loses nothing stays null.
     """
     others = [c for c in docs.columns if c != text]
-    marked = docs.select(F.struct(*others, F.col(text).isNull().alias("_null")).alias("row"), F.col(key).alias(key), F.col(text).alias(text))
-    done = repeated_removed(marked, key, text, with_text=True, carry=["row"], **settings)
-    kept = F.when(~F.col("row.row._null"), F.col("kept"))
-    return done.select(*[kept.alias(c) if c == text else F.col(f"row.row.{c}").alias(c) for c in docs.columns])
+    marked = docs.select(F.struct(F.struct(*others).alias("own"), F.col(text).isNull().alias("absent")).alias("row"), F.col(text).alias("text"))
+    done = repeated_removed(marked, "row", "text", with_text=True, **settings)
+    kept = F.when(~F.col("row.row.absent"), F.col("kept"))
+    return done.select(*[kept.alias(c) if c == text else F.col("row.row.own").getField(c).alias(c) for c in docs.columns])
