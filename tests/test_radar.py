@@ -80,7 +80,8 @@ def flood(mask):
     return seen
 
 
-def test_components_against_flood_fill(spark):
+@pytest.mark.parametrize("block", [256, 7, 1])
+def test_components_against_flood_fill(spark, block):
     masks = {0: RNG.random((40, 40)) < 0.42, 1: np.eye(30, dtype=bool), 2: np.zeros((5, 5), bool)}
     spiral = np.zeros((21, 21), bool)
     for k in range(0, 10, 2):
@@ -88,7 +89,7 @@ def test_components_against_flood_fill(spark):
         spiral[k + 1, k] = False
     masks[3] = spiral
     df = frame(spark, masks).withColumn("mask", F.col("value").cast("int"))
-    got = components.components(df).collect()
+    got = components.components(df, block=block).collect()
     for s, m in masks.items():
         want = flood(m)
         mine = {(r.row, r.col): r.component for r in got if r.scene_id == s}
@@ -226,3 +227,19 @@ def test_opening(spark):
     dims = raster.scene_stats(df)
     got = {(r.row, r.col) for r in components.opened(df, dims).collect()}
     assert got == set(zip(*map(lambda a: a.tolist(), np.nonzero(want)))) and 0 < len(got) < m.sum()
+
+
+def test_block_labels_of_a_spiral():
+    """One long winding run of pixels is one component; its corners touch diagonally."""
+    size, cells, r, c, d = 41, {(0, 0)}, 0, 0, 0
+    steps = ((0, 1), (1, 0), (0, -1), (-1, 0))
+    for length in (40, *(k for n in range(40, 1, -2) for k in (n, n))):
+        for _ in range(length):
+            r, c = r + steps[d][0], c + steps[d][1]
+            cells.add((r, c))
+        d = (d + 1) % 4
+    rows = np.array(sorted(cells))
+    assert rows.max() < size
+    nodes = components.block_nodes(rows[:, 0], rows[:, 1])
+    assert set(nodes.tolist()) == {0}
+    assert components.block_nodes(rows[:0, 0], rows[:0, 1]).tolist() == []

@@ -1,9 +1,12 @@
-"""Connected components of masks, as joins over horizontal runs of pixels."""
+"""Connected components of masks: labels inside blocks, then joins over what touches across borders."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.scratch import cut_lineage
 
@@ -36,33 +39,6 @@ def opened(mask: DataFrame, dims: DataFrame) -> DataFrame:
     return on.join(grown, ["scene_id", "row", "col"], "left_semi")
 
 
-def mask_runs(mask: DataFrame) -> DataFrame:
-    """Mask pixels with ``node``, the first pixel of their unbroken run within the row."""
-    w = Window.partitionBy("scene_id", "row").orderBy("col")
-    island = F.col("col") - F.row_number().over(w)
-    start = F.min("col").over(Window.partitionBy("scene_id", "row", "_island"))
-    return (mask.filter("mask = 1").withColumn("_island", island).withColumn("_start", start)
-            .withColumn("node", F.shiftleft(F.col("row").cast("bigint"), 32) + F.col("_start").cast("bigint"))
-            .drop("_island", "_start"))
-
-
-def run_edges(runs: DataFrame, block: int = 64) -> DataFrame:
-    """Pairs of runs in neighbouring rows that touch, diagonals included.
-
-    Runs meet in the blocks of columns that they reach; a pair counts in the block where
-    its overlap begins, so each comes once.
-    """
-    spans = runs.groupBy("scene_id", "row", "node").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
-
-    def reached(rows: DataFrame, lo: Column, hi: Column) -> DataFrame:
-        return rows.withColumn("_block", F.explode(F.sequence(F.floor(lo / block), F.floor(hi / block))))
-    above = spans.select("scene_id", (F.col("row") + 1).alias("row"), (F.col("lo") - 1).alias("from"), (F.col("hi") + 1).alias("to"), F.col("node").alias("a"))
-    above = reached(above, F.col("from"), F.col("to"))
-    here = reached(spans.withColumnRenamed("node", "b"), F.col("lo"), F.col("hi"))
-    touching = (F.col("from") <= F.col("hi")) & (F.col("to") >= F.col("lo")) & (F.col("_block") == F.floor(F.greatest("from", "lo") / block))
-    return above.join(here, ["scene_id", "row", "_block"]).filter(touching).select("scene_id", "a", "b")
-
-
 def label_runs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(scene_id, node, label): label = smallest node of the component.
 
@@ -107,8 +83,60 @@ def _follow(move: DataFrame, then: DataFrame) -> DataFrame:
     return move.join(step, ["scene_id", "to"], "left").select("scene_id", "node", F.coalesce("_next", "to").alias("to"))
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """Mask pixels with ``component``, numbered by its smallest run; 8-connected."""
-    runs = cut_lineage(mask_runs(mask))
-    labels = label_runs(runs.select("scene_id", "node").distinct(), run_edges(runs))
-    return runs.join(labels, ["scene_id", "node"]).drop("node").withColumnRenamed("label", "component")
+def block_nodes(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For pixels in order of row and column: the first pixel (row << 32 | column) of each one's 8-connected component."""
+    n = len(row)
+    if not n:
+        return np.zeros(0, np.int64)
+    head = np.append(True, (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1))
+    first = np.flatnonzero(head)
+    line, low, high = row[first], col[first], col[np.append(first[1:], n) - 1]
+    # Runs of the next line that overlap, one step to each side included.
+    wide = int(col.max()) + 3
+    begin = np.searchsorted(line * wide + high, (line + 1) * wide + np.maximum(low - 1, 0))
+    end = np.searchsorted(line * wide + low, (line + 1) * wide + high + 1, "right")
+    many = np.maximum(end - begin, 0)
+    a = np.repeat(np.arange(len(first)), many)
+    b = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+    root = np.arange(len(first))
+    while True:
+        new = root.copy()
+        # Trees hook onto the least root they touch, then all paths are cut short.
+        np.minimum.at(new, root[a], root[b])
+        np.minimum.at(new, root[b], root[a])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new[root]
+    node = (line.astype(np.int64) << 32) | low.astype(np.int64)
+    return node[root][np.cumsum(head) - 1]
+
+
+def _label_block(block: pa.Table) -> pa.Table:
+    ordered = block.sort_by([("row", "ascending"), ("col", "ascending")])
+    row, col = (ordered.column(c).to_numpy().astype(np.int64) for c in ("row", "col"))
+    return ordered.append_column("_node", pa.array(block_nodes(row, col)))
+
+
+def components(mask: DataFrame, block: int = 256) -> DataFrame:
+    """Mask pixels with ``component``, its first pixel (row << 32 | column); 8-connected.
+
+    Scenes are cut into blocks that are labelled in one pass each; only components that
+    touch across a border enter the graph.
+    """
+    on = mask.filter("mask = 1").withColumns({"_br": F.floor(F.col("row") / block), "_bc": F.floor(F.col("col") / block)})
+    schema = T.StructType([*on.schema.fields, T.StructField("_node", T.LongType())])
+    labelled = cut_lineage(on.groupBy("scene_id", "_br", "_bc").applyInArrow(_label_block, schema))
+    r, c = F.pmod(F.col("row"), F.lit(block)), F.pmod(F.col("col"), F.lit(block))
+    border = labelled.filter(r.isin(0, block - 1) | c.isin(0, block - 1)).select("scene_id", "row", "col", "_br", "_bc", "_node")
+    ahead = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    steps = border.withColumn("_s", ahead).select("scene_id", (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"),
+                                                  F.col("_br").alias("_r"), F.col("_bc").alias("_c"), F.col("_node").alias("a"))
+    outside = (F.floor(F.col("row") / block) != F.col("_r")) | (F.floor(F.col("col") / block) != F.col("_c"))
+    met = steps.filter(outside).join(border.select("scene_id", "row", "col", F.col("_node").alias("b")), ["scene_id", "row", "col"])
+    edges = cut_lineage(met.select("scene_id", "a", "b").distinct())
+    nodes = edges.select("scene_id", F.col("a").alias("node")).unionAll(edges.select("scene_id", F.col("b").alias("node"))).distinct()
+    labels = label_runs(nodes, edges).select("scene_id", F.col("node").alias("_node"), "label")
+    return (labelled.join(labels, ["scene_id", "_node"], "left").withColumn("component", F.coalesce("label", "_node"))
+            .drop("_node", "_br", "_bc", "label"))
