@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytescan import mixed, signed
@@ -61,30 +61,44 @@ class Quantiser:
         return sketch, keys
 
 
-def learned(sample: np.ndarray, tables: int, bits: int, rounds: int = 30, seed: int = 17) -> Quantiser:
-    """Rotations for ``tables`` x ``bits`` balanced bits (at least ``SKETCH``) from unit vectors.
+def rotation(flat: np.ndarray, number: int, rounds: int = 30, seed: int = 17) -> np.ndarray:
+    """The ``number``-th rotation of centred vectors: a random start, then by turns the nearest codes and the best rotation onto them."""
+    d = flat.shape[1]
+    turn = np.linalg.qr(np.random.default_rng([seed, number]).standard_normal((d, d)))[0]
+    for _ in range(rounds if len(flat) else 0):
+        code = np.where(flat @ turn > 0, 1.0, -1.0)
+        left, _, right = np.linalg.svd(flat.T @ code)
+        turn = left @ right
+    return turn
 
-    Each rotation starts at random and alternates between the nearest codes and the best
-    rotation onto them.  Bits of all rotations are dealt to the tables at random, so that a
-    table's bits do not hang together.
+
+def principal(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and principal directions."""
+    centre = sample.mean(0) if len(sample) else np.zeros(sample.shape[1])
+    return centre, np.linalg.eigh((sample - centre).T @ (sample - centre))[1]
+
+
+def learned(sample: np.ndarray, tables: int, bits: int, rounds: int = 30, seed: int = 17, spark: SparkSession | None = None) -> Quantiser:
+    """Rotations for ``tables`` x ``bits`` balanced bits (at least ``SKETCH``) from unit vectors, one task each if there is a session.
+
+    Bits of all rotations are dealt to the tables at random, so that a table's bits do not hang together.
     """
-    draw = np.random.default_rng(seed)
-    d = sample.shape[1]
-    centre = sample.mean(0) if len(sample) else np.zeros(d)
-    spread = (sample - centre).T @ (sample - centre)
-    _, axes = np.linalg.eigh(spread)
-    flat = (sample - centre) @ axes
-    turns = []
-    total = max(SKETCH, tables * bits)
-    for _ in range(-(-total // d)):
-        turn = np.linalg.qr(draw.standard_normal((d, d)))[0]
-        for _ in range(rounds if len(sample) else 0):
-            code = np.where(flat @ turn > 0, 1.0, -1.0)
-            left, _, right = np.linalg.svd(flat.T @ code)
-            turn = left @ right
-        turns.append(axes @ turn)
-    projection = np.concatenate(turns, 1)[:, :total]
-    return Quantiser(centre, projection, draw.permutation(total)[:tables * bits].reshape(tables, bits))
+    d, total = sample.shape[1], max(SKETCH, tables * bits)
+    centre, axes = principal(sample)
+    count = -(-total // d)
+    if spark is None:
+        turns = [rotation((sample - centre) @ axes, i, rounds, seed) for i in range(count)]
+    else:
+        sent = spark.sparkContext.broadcast((sample - centre) @ axes)
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([rotation(sent.value, i, rounds, seed).tobytes()], pa.binary())], ["id", "turn"])
+        rows = spark.range(0, count, 1, count).mapInArrow(fit, "id bigint, turn binary").collect()
+        turns = [np.frombuffer(r["turn"]).reshape(d, d) for r in sorted(rows, key=lambda r: r["id"])]
+    projection = np.concatenate([axes @ t for t in turns], 1)[:, :total]
+    return Quantiser(centre, projection, np.random.default_rng(seed).permutation(total)[:tables * bits].reshape(tables, bits))
 
 
 def _raw(column: pa.Array, kind: str) -> Iterator[bytes | None]:
@@ -230,7 +244,7 @@ def similar_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     models = {}
     for row in nodes.groupBy(F.octet_length("raw").alias("size")).agg(F.count("*").alias("n")).collect():
         held = nodes.filter(F.octet_length("raw") == row["size"]).orderBy("name").limit(sample).select("raw").toArrow()
-        models[row["size"]] = learned(units(held.column(0).to_pylist(), kind), *tables_for(row["n"], similarity, recall))
+        models[row["size"]] = learned(units(held.column(0).to_pylist(), kind), *tables_for(row["n"], similarity, recall), spark=spark)
     entered = nodes.select("node", "raw").mapInArrow(_entered(models, kind), "node bigint, sketch bigint, keys array<bigint>")
     spread = entered.select("node", "sketch", F.explode("keys").alias("key"))
     # Most buckets have one node; they go before anything is joined.
