@@ -44,13 +44,13 @@ def made(seed):
     return [(rng.choice(["en", "en", "en", "de", None, ""]), t) for t in texts]
 
 
-# Small blocks: common leading words share their suffixes among blocks; few bits: they collide.
-@pytest.mark.parametrize("most,least,block,bits", [(3, 10, 1 << 20, 25), (3, 4, 60, 16), (4, 3, 25, 6), (2, 3, 40, 10)])
-def test_equals_brute_force(spark, most, least, block, bits):
+# Small blocks: common leading words share their suffixes among blocks; few bits: they collide; few ways: bundles are cut again.
+@pytest.mark.parametrize("most,least,block,bits,fan", [(3, 10, 1 << 18, 25, (256, 64)), (3, 4, 60, 16, (5, 4)), (4, 3, 25, 6, (2, 7)), (2, 3, 40, 10, (1, 64))])
+def test_equals_brute_force(spark, most, least, block, bits, fan):
     rows = made(most * least)
     docs = spark.createDataFrame([(i, *r, "x", 1) for i, r in enumerate(rows)], "doc_id long, lang string, text string, phrase string, n int").repartition(4)
     for first in (7, 2000):
-        got = collocations.collocations(docs, most=most, least=least, first=first, block=block, bits=bits).collect()
+        got = collocations.collocations(docs, most=most, least=least, first=first, block=block, bits=bits, fan=fan).collect()
         assert sorted(map(tuple, got)) == brute(rows, most, least, first)
 
 

@@ -11,7 +11,6 @@ size: it may keep too much, never too little.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -107,36 +106,89 @@ def lines_of(names: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return flat, offsets
 
 
-def _suffixes(frequent, busy, most: int, blocks: int):
-    """Suffixes by block, those of a segment as one compressed text of lines, with their counts."""
+def packed_rows(names: list[bytes], own: np.ndarray, hot: np.ndarray, codes: np.ndarray, n: np.ndarray, tag: np.ndarray, tongues: pa.Array,
+                step: int, fan: int) -> pa.RecordBatch:
+    """Suffixes (numbers of ``names``, in order, with their counts) as compressed texts of lines, one for each bundle, language and kind.
+
+    ``own`` and ``hot`` tell each name's checksum and whether it is common in its language; ``tag`` is bundle x number of
+    languages + language.  A bundle is cut into ``fan`` by the hash of the two leading words; two common ones count
+    with the third.  ``step`` is how many ways earlier cuts have parted the hashes.
+    """
+    spread = mixed(own.astype(np.uint64))
+    split = hot[codes[:, 0]] & hot[codes[:, 1]]
+    lead = mixed(spread[codes[:, 0]] + spread[codes[:, 1]] * np.uint64(3))
+    third = np.where(codes[:, 2] >= 0, spread[codes[:, 2]], np.uint64(0)) if codes.shape[1] > 2 else lead
+    route = np.where(split, mixed(lead + third), lead) // np.uint64(step) % np.uint64(fan)
+    langs = max(1, len(tongues))
+    tag = ((tag // langs * fan + route.astype(np.int64)) * langs + tag % langs) * 2 + split
+    order = np.lexsort([*codes.T[::-1], tag])
+    codes, tag, n = codes[order], tag[order], n[order]
+    head = np.append(True, (codes[1:] != codes[:-1]).any(1) | (tag[1:] != tag[:-1]))[:len(codes)]
+    at = np.flatnonzero(head)
+    n = np.add.reduceat(n, at).astype("<u4") if len(at) else n.astype("<u4")
+    codes, tag = codes[at], tag[at]
+    flat, offsets = lines_of(names, codes)
+    begin = np.flatnonzero(np.append(True, tag[1:] != tag[:-1]))[:len(tag)]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    rows = [(pack(flat[offsets[a]:offsets[b]].tobytes()), pack(n[a:b].tobytes())) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(tag)])]
+    tags = tag[begin]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(tags // (2 * langs)), tongues.take(pa.array(tags // 2 % langs)), pa.array((tags & 1).astype(bool)),
+         pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["block", "lang", "split", "lines", "counts"])
+
+
+def _suffixes(frequent, busy, most: int, fan: int):
+    """Suffixes of each segment, in ``fan`` bundles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for p in _places(batches):
             if not p.names:
                 continue
             own = p.codes()
             codes = suffix_codes(p, marked(own, frequent.value), most)
-            if not len(codes):
-                continue
-            hot, spread = marked(own, busy.value), mixed(own.astype(np.uint64))
-            split = hot[codes[:, 0]] & hot[codes[:, 1]]
-            lead = mixed(spread[codes[:, 0]] + spread[codes[:, 1]] * np.uint64(3))
-            third = np.where(codes[:, 2] >= 0, spread[codes[:, 2]], np.uint64(0)) if most > 2 else lead
-            block = (np.where(split, mixed(lead + third), lead) % np.uint64(blocks)).astype(np.int64)
-            tag = (block * len(p.tongues) + p.tongue[codes[:, 0]]) * 2 + split
-            order = np.lexsort([*codes.T[::-1], tag])
-            codes, tag = codes[order], tag[order]
-            head = np.append(True, (codes[1:] != codes[:-1]).any(1))
-            at = np.flatnonzero(head)
-            n = np.diff(np.append(at, len(codes))).astype("<u4")
-            codes, tag = codes[at], tag[at]
-            flat, offsets = lines_of(p.names, codes)
-            begin = np.flatnonzero(np.append(True, tag[1:] != tag[:-1]))
-            rows = [(pack(flat[offsets[a]:offsets[b]].tobytes()), pack(n[a:b].tobytes())) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(tag)])]
-            tags = tag[begin]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((tags // (2 * len(p.tongues))).astype(np.int32)), p.tongues.take(pa.array(tags // 2 % len(p.tongues))), pa.array((tags & 1).astype(bool)),
-                 pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["block", "lang", "split", "lines", "counts"])
+            yield packed_rows(p.names, own, marked(own, busy.value), codes, np.ones(len(codes), np.int64), p.tongue[codes[:, 0]], p.tongues, 1, fan)
+    return run
+
+
+class Lines:
+    """The suffixes of some packed rows: ``codes`` numbers their words, ``names`` has these, ``of`` is each suffix's row."""
+
+    def __init__(self, lines: list[bytes], counts: list[bytes], most: int):
+        unpack = zstandard.ZstdDecompressor().decompress
+        weight = [np.frombuffer(unpack(x), "<u4").astype(np.int64) for x in counts]
+        self.of = np.repeat(np.arange(len(weight)), [len(w) for w in weight])
+        self.weight = np.concatenate([np.zeros(0, np.int64), *weight])
+        raw = b"".join(map(unpack, lines))
+        data = np.frombuffer(raw, np.uint8)
+        _, start, end = words(data, np.array([0, len(data)]))
+        line = np.cumsum(data == 10)[start]
+        first, word = distinct_slices(data, start, end)
+        self.codes = np.full((len(self.weight), most), -1, np.int64)
+        self.codes[line, np.arange(len(line)) - np.searchsorted(line, line)] = word
+        self.names = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
+
+
+def _cut_again(busy, most: int, step: int, fan: int):
+    """Bundles cut further; a task goes on with rows until they are about a segment."""
+    def cut(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # Words are numbered by language again, as their checksums are.
+        for lang in {r[1] for r in rows}:
+            mine = [r for r in rows if r[1] == lang]
+            x = Lines([r[3] for r in mine], [r[4] for r in mine], most)
+            begin = crc32(lang.encode())
+            own = np.fromiter((crc32(w, begin) for w in x.names), np.int64, len(x.names))
+            block = np.array([r[0] for r in mine], np.int64)[x.of]
+            yield packed_rows(x.names, own, marked(own, busy.value), x.codes, x.weight, block, pa.array([lang]), step, fan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                size += len(row[3])
+                if size >= SEGMENT:
+                    yield from cut(held)
+                    held, size = [], 0
+        yield from cut(held)
     return run
 
 
@@ -186,24 +238,14 @@ def equal_runs(keys: list[np.ndarray], weight: np.ndarray, least: int, spared: n
 
 def _block_counts(most: int, least: int):
     def run(block: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        texts = [unpack(x) for x in block.column("lines").to_pylist()]
-        weight = [np.frombuffer(unpack(x), "<u4").astype(np.int64) for x in block.column("counts").to_pylist()]
+        x = Lines(block.column("lines").to_pylist(), block.column("counts").to_pylist(), most)
         langs = block.column("lang").combine_chunks().dictionary_encode()
-        tags = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + block.column("split").to_numpy()
-        tag, weight = np.repeat(tags, [len(w) for w in weight]), np.concatenate(weight)
-        raw = b"".join(texts)
-        data = np.frombuffer(raw, np.uint8)
-        _, start, end = words(data, np.array([0, len(data)]))
-        line = np.cumsum(data == 10)[start]
-        first, word = distinct_slices(data, start, end)
-        codes = np.full((len(weight), most), -1, np.int64)
-        codes[line, np.arange(len(line)) - np.searchsorted(line, line)] = word
-        lead = (tag * len(first) + codes[:, 0]) * len(first) + codes[:, 1]
-        names = [raw[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist())]
+        tag = (langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + block.column("split").to_numpy())[x.of]
+        lead = (tag * len(x.names) + x.codes[:, 0]) * len(x.names) + x.codes[:, 1]
+        names = [w.decode() for w in x.names]
         out = []
-        for depth, at, n in equal_runs([lead, *codes[:, 2:].T], weight, least, (tag & 1).astype(bool)):
-            phrases = [" ".join([names[i] for i in c]) for c in codes[at, :depth + 2].tolist()]
+        for depth, at, n in equal_runs([lead, *x.codes[:, 2:].T], x.weight, least, (tag & 1).astype(bool)):
+            phrases = [" ".join([names[i] for i in c]) for c in x.codes[at, :depth + 2].tolist()]
             out.append(pa.table([langs.dictionary.take(pa.array(tag[at] >> 1)), pa.array(phrases, pa.string()), pa.array(n)], ["lang", "phrase", "n"]))
         empty = pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], ["lang", "phrase", "n"])
         return pa.concat_tables(out) if out else empty
@@ -222,11 +264,13 @@ def bit_table(words_: DataFrame, bits: int) -> np.ndarray:
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 3, least: int = 10, block: int = 1 << 18,
-                  bits: int = 25) -> tuple[DataFrame, DataFrame]:
+                  bits: int = 25, fan: tuple[int, int] = (256, 64)) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): rows (lang, word, n), and (lang, phrase, n) of 2 to ``most`` words with n >= ``least``.
 
-    A block has the suffixes of about ``block`` occurrences.  Two leading words that both occur more
-    often than that share their suffixes among blocks by the third word; what these blocks
+    A block has the suffixes of about ``block`` occurrences at most.  Segments send a fixed number of bundles,
+    ``fan[0]``; where the texts are too many for so few blocks, bundles are cut into ``fan[1]`` again, as often as it
+    takes, so that what travels grows with the texts and no faster.  Two leading words that both occur more
+    often than ``block`` share their suffixes among blocks by the third word; what these blocks
     count of the two is added up.  Any other beginning has at most ``block``
     occurrences, so no block holds much more, whatever is common in the texts.
     """
@@ -234,10 +278,13 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", most:
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     vocabulary = cut_lineage(slim.mapInArrow(_words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     common = vocabulary.filter(F.col("n") >= least)
-    sent = [spark.sparkContext.broadcast(bit_table(x, bits)) for x in (common, common.filter(F.col("n") > block))]
+    frequent, busy = (spark.sparkContext.broadcast(bit_table(x, bits)) for x in (common, common.filter(F.col("n") > block)))
     occurrences = common.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, math.ceil(occurrences / block))
-    routed = slim.mapInArrow(_suffixes(*sent, most, blocks), "block int, lang string, split boolean, lines binary, counts binary")
+    schema = "block bigint, lang string, split boolean, lines binary, counts binary"
+    routed, ways = slim.mapInArrow(_suffixes(frequent, busy, most, fan[0]), schema), fan[0]
+    while ways * block < occurrences:
+        routed = routed.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(fan[1]))).mapInArrow(_cut_again(busy, most, ways, fan[1]), schema)
+        ways *= fan[1]
     counted = routed.groupBy("block").applyInArrow(_block_counts(most, least), "lang string, phrase string, n bigint")
     phrases = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return vocabulary, cut_lineage(phrases)
