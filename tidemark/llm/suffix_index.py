@@ -185,7 +185,7 @@ class SuffixArrayFamily:
         told = alike.join(kinds, "key").filter("times > 1 OR forms > 1")
         kind = F.when(F.col("times") == 1, 2).when((F.col("forms") > 1) & (F.col("doc") == F.col("speaker")), 3).otherwise(1)
         rows = hit.select("key", "fp", "doc").join(told, ["key", "fp"]).select("doc", F.struct("key", "fp", kind.cast("byte").alias("kind")).alias("x"))
-        return rows.groupBy("doc").agg(F.collect_list("x").alias("found"))
+        return rows.groupBy("doc").agg(F.collect_set("x").alias("found"))
 
     def close(self) -> None:
         for name in list(self.paths):
@@ -363,9 +363,10 @@ def repeated_removed(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     if length - gram < BLOCK:
         raise ValueError(f"length must exceed gram by {BLOCK} at least")
     spark = docs.sparkSession
-    # Entries come back to a row by a number of its own, so that rows of one key, or of none, share no list.
-    slim = cut_lineage(docs.select(F.struct(*(carry or [key])).alias("row"), F.monotonically_increasing_id().alias("doc"),
-                                   F.coalesce(F.col(text), F.lit("")).alias("text")))
+    # Entries come back to a row by its key and text, so that texts of one key, or of none, share no list;
+    # rows equal in both share theirs, which has each entry once.
+    whole = F.coalesce(F.col(text), F.lit(""))
+    slim = docs.select(F.struct(*(carry or [key])).alias("row"), F.xxhash64(F.col(key), whole).alias("doc"), whole.alias("text"))
     family = SuffixArrayFamily(spark, length, gram)
     for i in range(batches):
         family.add(slim.filter(F.pmod(F.xxhash64("doc"), F.lit(batches)) == i))
@@ -387,7 +388,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     A code point that a cut has split is dropped; a null text that loses nothing stays null.
     """
     others = [c for c in docs.columns if c != text]
-    marked = docs.select(F.struct(F.struct(*others).alias("own"), F.col(text).isNull().alias("absent")).alias("row"), F.col(text).alias("text"))
-    done = repeated_removed(marked, "row", "text", with_text=True, **settings)
+    marked = docs.select(F.struct(F.struct(*others).alias("own"), F.col(text).isNull().alias("absent")).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    done = repeated_removed(marked, "key", "text", with_text=True, carry=["row"], **settings)
     kept = F.when(~F.col("row.row.absent"), F.col("kept"))
     return done.select(*[kept.alias(c) if c == text else F.col("row.row.own").getField(c).alias(c) for c in docs.columns])
