@@ -264,7 +264,7 @@ def bit_table(words_: DataFrame, bits: int) -> np.ndarray:
 
 
 def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", most: int = 3, least: int = 10, block: int = 1 << 18,
-                  bits: int = 25, fan: tuple[int, int] = (256, 64)) -> tuple[DataFrame, DataFrame]:
+                  bits: int = 25, fan: tuple[int, int] = (1024, 64)) -> tuple[DataFrame, DataFrame]:
     """(words, phrases): rows (lang, word, n), and (lang, phrase, n) of 2 to ``most`` words with n >= ``least``.
 
     A block has the suffixes of about ``block`` occurrences at most.  Segments send a fixed number of bundles,
