@@ -141,6 +141,20 @@ def drift_forward_path(v: Views) -> DataFrame:
     return _path(v, AHEAD)
 
 
+@query(drift_sql(BACK) + f""", fin AS (SELECT * FROM path WHERE step = {BACK.steps}), m AS (SELECT spill_id, avg(p_lat) AS ma, avg(p_lon) AS mo FROM fin GROUP BY 1),
+d AS (SELECT fin.*, {HAV('ma', 'mo', 'p_lat', 'p_lon')} AS d FROM fin JOIN m USING (spill_id))
+SELECT spill_id, count(*) AS particle_count, {R('avg(p_lat)', 5)} AS origin_lat, {R('avg(p_lon)', 5)} AS origin_lon, greatest(2e0, least(50e0, {R('quantile_cont(d, 0.9)', 2)})) AS uncertainty_km, 0.82e0 AS confidence FROM d GROUP BY 1""")
+def drift_origin(v: Views) -> DataFrame:
+    """Origin of each spill: the drift of all its particles over all steps, then mean and spread of their ends."""
+    return drift.origin_summary(drift.final_positions(drift.simulate(v.spills, v.forcing, BACK), BACK))
+
+
+@query(drift_sql(BACK) + f"SELECT spill_id, particle_id, epoch_us(ts) AS ts_us, {R('p_lon', 5)} AS lon, {R('p_lat', 5)} AS lat FROM path WHERE particle_id < 35 AND step % {max(1, (BACK.steps + 1) // 6)} = 0")
+def drift_waypoints(v: Views) -> DataFrame:
+    w = drift.sampled_waypoints(drift.simulate(v.spills, v.forcing, BACK), BACK.steps)
+    return w.select("spill_id", F.col("particle_id").cast("bigint").alias("particle_id"), us("ts", "ts_us"), "lon", "lat")
+
+
 ENDS = sql_views("simulations", "particles") + """, runs AS (SELECT simulation_id, spill_id FROM simulations WHERE simulation_type = 'BACKWARD'),
 ends AS (SELECT spill_id, particle_id, ts, simulation_id, lon + 3.14159e-7 AS lon, lat + 3.14159e-7 AS lat FROM particles JOIN runs USING (simulation_id))"""
 
@@ -154,14 +168,14 @@ def _stored(v: Views) -> DataFrame:
 @query(ENDS + f""", m AS (SELECT spill_id, avg(lat) AS ma, avg(lon) AS mo FROM ends GROUP BY 1),
 d AS (SELECT ends.*, {HAV('ma', 'mo', 'lat', 'lon')} AS d FROM ends JOIN m USING (spill_id))
 SELECT spill_id, count(*) AS particle_count, {R('avg(lat)', 5)} AS origin_lat, {R('avg(lon)', 5)} AS origin_lon, greatest(2e0, least(50e0, {R('quantile_cont(d, 0.9)', 2)})) AS uncertainty_km, 0.82e0 AS confidence FROM d GROUP BY 1""")
-def drift_origin(v: Views) -> DataFrame:
+def stored_origin(v: Views) -> DataFrame:
     """Origin of each spill from the stored particles of its backward runs."""
     return drift.origin_summary(_stored(v))
 
 
 @query(ENDS + f""", n AS (SELECT *, row_number() OVER (PARTITION BY spill_id, particle_id ORDER BY ts, simulation_id) - 1 AS step FROM ends)
 SELECT spill_id, particle_id, epoch_us(ts) AS ts_us, {R('lon', 5)} AS lon, {R('lat', 5)} AS lat FROM n WHERE particle_id < 5 AND step % 2 = 0""")
-def drift_waypoints(v: Views) -> DataFrame:
+def stored_waypoints(v: Views) -> DataFrame:
     w = drift.sampled_waypoints(_stored(v), 11, first_particles=5)
     return w.select("spill_id", "particle_id", us("ts", "ts_us"), "lon", "lat")
 

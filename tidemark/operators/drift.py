@@ -14,6 +14,7 @@ from tidemark.functions.scalar import clamp, hash_uniform, lit_f, rnd
 from tidemark.operators.forcing import conditions_at
 from tidemark.operators.hull import group_hulls
 from tidemark.operators.ordering import group_quantile, number_rows
+from tidemark.sources.scratch import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,8 @@ def final_positions(paths: DataFrame, cfg: DriftConfig) -> DataFrame:
 
 
 def origin_summary(finals: DataFrame, backward: bool = True, key: str = "spill_id") -> DataFrame:
-    """Mean end position and 90th percentile spread of each group of end positions (2..50 km)."""
+    """Mean end position and 90th percentile spread of each group of end positions (2..50 km).  Runs actions."""
+    finals = cut_lineage(finals.select(key, "lat", "lon"))  # read three times, and costly where paths lead to them
     means = finals.groupBy(key).agg(F.count("*").alias("particle_count"), F.avg("lat").alias("m_lat"), F.avg("lon").alias("m_lon"))
     spread = finals.join(means, key).withColumn("d", haversine_km(F.col("m_lat"), F.col("m_lon"), F.col("lat"), F.col("lon")))
     return (means.join(group_quantile(spread, [key], "d", 0.9), key)
