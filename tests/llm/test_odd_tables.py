@@ -49,7 +49,8 @@ def test_pieces_and_phrases(spark, kind):
     pieces = packed(docs).collect()
     assert sum(r.start == 0 for r in pieces) == docs.count()
     phrases = {r.phrase: r.a for r in collocations.collocations(docs, least=8).collect()}
-    assert phrases == {} if kind == "empty" else phrases["again and"] >= 8 or kind == "null"
+    # "again and" lies inside longer phrases that are as frequent, so only these stay.
+    assert phrases == {} if kind == "empty" else "again and" not in phrases and phrases["again and again"] >= 8
 
 
 @pytest.mark.parametrize("kind", ["string", "null", "rows", "empty"])
