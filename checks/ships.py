@@ -14,6 +14,7 @@ from tidemark.functions import geo
 from tidemark.functions.scalar import fixed, rnd
 from tidemark.operators import ais, spatial, tracks
 from tidemark.plans.ingest import clean_csv, import_positions
+from tidemark.sources.json_lists import write_list
 from tidemark.sources.positions import append_positions, read_csv, read_json, read_positions
 from tidemark.sources.scratch import new_path
 
@@ -76,10 +77,7 @@ def json_split_list(v: Views) -> DataFrame:
     path, mark = new_path(v.spark, "json"), '"}{[\\'
     marked = v.raw_ais.withColumn("name", F.when(F.trim("name") != "", F.concat("name", F.lit(mark))).otherwise(F.col("name")))
     record = F.to_json(F.struct(*v.raw_ais.columns, F.struct(F.array(F.lit("}"), F.lit("]")).alias("list")).alias("extra")))
-    first = F.col("ingest_seq") == marked.agg(F.min("ingest_seq")).first()[0]
-    lines = marked.select("ingest_seq", F.concat(F.when(first, "[").otherwise(","), record).alias("value"))
-    end = v.spark.range(1).select(F.lit(2**62).alias("ingest_seq"), F.lit("]").alias("value"))
-    lines.unionAll(end).coalesce(1).sortWithinPartitions("ingest_seq").select("value").write.text(path)
+    write_list(marked.select(record.alias("value")), path)
     clean = ais.clean_positions(read_json(v.spark, path, range_bytes=1 << 18)).drop("extra")
     plain = F.when(F.endswith("name", F.lit(mark)), F.col("name").substr(F.lit(1), F.length("name") - len(mark))).otherwise(F.col("name"))
     return _flat(clean).withColumns({"ingest_seq": F.col("ingest_seq").cast("bigint"), "name": plain})

@@ -58,3 +58,16 @@ def test_effect_of_texts():
     assert json_lists.effect('\\" y", "b": [1', True) == (False, 0)
     assert json_lists.effect('y', True) == (True, 0)
     assert json_lists.effect('], "c": {', False) == (False, -1)
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_a_list_is_one_file_copied_by_one_task(spark, tmp_path, n):
+    """Records made by many tasks, some of them without rows, end as one valid list; repeated ones are kept."""
+    records = [{"id": i // 2, "text": '"}{[\\' * (i % 4)} for i in range(n)]
+    rows = spark.createDataFrame([(json.dumps(r),) for r in records], "value string").repartition(40).filter("length(value) > 0")
+    json_lists.write_list(rows, str(tmp_path / "out"))
+    files = list((tmp_path / "out").glob("part-*"))
+    got = json.loads(files[0].read_text())
+    assert len(files) == 1 and sorted(map(json.dumps, got)) == sorted(map(json.dumps, records))
+    read, others = json_lists.list_records(spark, str(tmp_path / "out"))
+    assert others == [] and sorted(r.value for r in read.collect()) == sorted(map(json.dumps, records))

@@ -157,3 +157,17 @@ def read_json_lists(spark: SparkSession, path: str, range_bytes: int | None = No
     records.select(F.translate("value", "\r\n", "  ").alias("value")).write.text(lines)
     written = spark.read.text(lines)
     return (None if written.isEmpty() else spark.read.json(lines)), others
+
+
+def write_list(records: DataFrame, path: str) -> None:
+    """Write the texts (value) of records as one file that is one JSON list, a record a line, in no set order.
+
+    Many tasks make the texts; one task only copies them into the file, line by line, and sorts or holds nothing.  Runs actions.
+    """
+    lines = cut_lineage(records.select(F.monotonically_increasing_id().alias("line"), "value"))
+    first = lines.agg(F.min("line")).first()[0]
+    begin = lines.filter(F.col("line") == F.lit(first)).select(F.concat(F.lit("["), "value").alias("value"))
+    others = lines.filter(F.col("line") != F.lit(first)).select(F.concat(F.lit(","), "value").alias("value"))
+    end = records.sparkSession.range(1).select(F.lit("[]" if first is None else "]").alias("value"))
+    # A union keeps the order of its sides, and one task reads them one after the other.
+    begin.unionAll(others).unionAll(end).coalesce(1).write.text(path)
