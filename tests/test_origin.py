@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidemark.functions import geo
+from tidemark.functions import geo, scalar
 from tidemark.operators import attribution, drift, forcing, hull, ordering, top_ships
 from tidemark.plans.hindcast import hindcast, rank_ships
 
@@ -151,6 +152,45 @@ def test_noise_spread_and_repeatability(spark):
     assert pdf.sort_values("particle_id").reset_index(drop=True).equals(again.sort_values("particle_id").reset_index(drop=True))
 
 
+def test_noisy_path_equals_step_loop(spark):
+    """Two blocks of particles and a spill without a number, against plain Python."""
+    cfg = drift.DriftConfig(hours=2.0, particles=5, block=3)
+    two = spills(spark, 2).select(F.when(F.col("spill_id") > 0, F.col("spill_id")).alias("spill_id"), "lon", "lat", "detected_at")
+    vel = {(r.spill_id, r.step): r for r in drift.step_velocities(two, None, cfg).collect()}
+    got = {(r.spill_id, r.particle_id, r.step): r for r in drift.simulate(two, None, cfg).collect()}
+    assert len(got) == 2 * 5 * 9
+    sigma = np.sqrt(2 * 2.5 * 900)
+    for spill_id in (None, 1):
+        for particle in range(5):
+            lon, lat = 72.5, 19.0
+            for step in range(9):
+                text = ":".join(str(x) for x in (42, spill_id, particle, step) if x is not None)
+                h = hashlib.md5(text.encode()).hexdigest()
+                u0, u1, u2 = ((int(h[8 * i:8 * i + 8], 16) + 0.5) / 2 ** 32 for i in range(3))
+                n1, n2 = (np.sqrt(-2 * np.log(u0)) * f(2 * np.pi * u1) for f in (np.cos, np.sin))
+                v = vel[spill_id, step]
+                dx, dy = (300 * n1 * np.cos(2 * np.pi * u2), 300 * n1 * np.sin(2 * np.pi * u2)) if step == 0 else (v.u * 900 + sigma * n1, v.v * 900 + sigma * n2)
+                lon, lat = lon + dx / (111320 * max(abs(np.cos(np.radians(lat))), .1)), lat + dy / 110574
+                g = got[spill_id, particle, step]
+                assert (g.lon, g.lat) == pytest.approx((lon, lat), abs=1e-9) and g.ts == v.ts
+
+
+def test_paths_take_two_windows_and_one_conversion_a_step(spark):
+    cfg = drift.DriftConfig()
+    plan = drift.particle_paths(drift.step_velocities(spills(spark), None, cfg), cfg)._jdf.queryExecution().executedPlan().toString()
+    lines = [x.split("(")[0] for x in plan.split("Initial Plan")[-1].splitlines()]
+    assert sum(x.strip(" +-:*").startswith("Window") for x in lines) == 2
+    assert plan.count("conv(") == 3  # of both words at each step, and of the angle at the start, in x and in y
+
+
+def test_word_pairs_give_the_same_numbers(spark):
+    digests = ["0" * 32, "f" * 32, "7fffffff80000000" * 2, "80000000ffffffff" * 2, hashlib.md5(b"42:1:2:3").hexdigest()]
+    rows = spark.createDataFrame([(d,) for d in digests], "d string")
+    pair = scalar.hash_word_pair(F.col("d"))
+    for r in rows.select(*[scalar.hash_uniform(F.col("d"), i).alias(f"a{i}") for i in range(2)], *[scalar.pair_uniform(pair, i).alias(f"b{i}") for i in range(2)]).collect():
+        assert (r.a0, r.a1) == (r.b0, r.b1) and 0 < r.b0 < 1
+
+
 def test_hour_fallback(spark):
     pts = spark.createDataFrame([(1, 19.0, 72.5, T0), (2, 19.0, 72.5, T0 + timedelta(hours=9)), (3, 10.0, 70.0, T0)], "id int, lat double, lon double, ts timestamp")
     series = spark.createDataFrame([(19.0, 72.5, T0 - timedelta(hours=1), 36.0, 90.0, None, None), (19.0, 72.5, T0, 18.0, 0.0, 3.6, 180.0)],

@@ -57,3 +57,14 @@ def hash_uniform(digest: Column, part: int = 0) -> Column:
     """
     word = F.conv(F.substring(digest, 1 + 8 * part, 8), 16, 10).cast("double")
     return (word + lit_f(0.5)) / lit_f(4294967296.0)
+
+
+def hash_word_pair(digest: Column) -> Column:
+    """The first two words of an md5 text as the bits of one BIGINT, from a single conversion."""
+    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
+
+
+def pair_uniform(pair: Column, part: int) -> Column:
+    """``hash_uniform`` of part 0 or 1 from ``hash_word_pair``."""
+    word = F.shiftrightunsigned(pair, 32) if part == 0 else pair.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    return (word.cast("double") + lit_f(0.5)) / lit_f(4294967296.0)

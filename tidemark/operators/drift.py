@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.geo import haversine_km, metres_to_dlat, metres_to_dlon
 from tidemark.functions.physics import drift_velocity
-from tidemark.functions.scalar import clamp, hash_uniform, lit_f, rnd
+from tidemark.functions.scalar import clamp, hash_uniform, hash_word_pair, lit_f, pair_uniform, rnd
 from tidemark.operators.forcing import conditions_at
 from tidemark.operators.hull import group_hulls
 from tidemark.operators.ordering import group_quantile, number_rows
@@ -68,7 +68,8 @@ def particle_paths(velocities: DataFrame, cfg: DriftConfig) -> DataFrame:
     *before* it is multiplied by the particles; the windows below then need no shuffle
     of the large table, and a spill with many particles spreads over several tasks.  The
     number of partitions is stated, because adaptive coalescing would size them by the
-    rows before the multiplication.
+    rows before the multiplication.  A spill's steps travel as one list, so that its rows come
+    out in the order of the windows and sorting them moves none.
     """
     partitions = cfg.partitions or int(velocities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dt = cfg.step_minutes * 60.0
@@ -76,14 +77,18 @@ def particle_paths(velocities: DataFrame, cfg: DriftConfig) -> DataFrame:
     last = F.least((F.col("_block") + 1) * cfg.block, F.lit(cfg.particles)) - 1
     rows = (velocities.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((cfg.particles - 1) // cfg.block))))
             .repartition(partitions, "spill_id", "_block")
-            .withColumn("particle_id", F.explode(F.sequence(F.col("_block") * cfg.block, last))))
-    key = F.concat_ws(":", F.lit(str(cfg.seed)), *[F.col(c).cast("string") for c in ("spill_id", "particle_id", "step")])
+            .groupBy("spill_id", "_block").agg(F.sort_array(F.collect_list(
+                F.struct("step", "ts", "lon", "lat", "u", "v", F.concat(F.lit(":"), F.col("step").cast("string")).alias("_tail")))).alias("_steps"))
+            .withColumn("particle_id", F.explode(F.sequence(F.col("_block") * cfg.block, last)))
+            .withColumn("_lead", F.concat_ws(":", F.lit(str(cfg.seed)), F.col("spill_id").cast("string"), F.col("particle_id").cast("string")))
+            .select("spill_id", "_block", "particle_id", "_lead", F.inline("_steps")))
     # One digest gives three uniforms: two for a pair of normals (Box-Muller), one for the start angle.
-    rows = rows.withColumn("_h", F.md5(key)).withColumns({f"_u{i}": hash_uniform(F.col("_h"), i) for i in range(3)})
+    rows = rows.withColumn("_h", F.md5(F.concat("_lead", "_tail"))).withColumn("_x", hash_word_pair(F.col("_h")))
+    rows = rows.withColumns({f"_u{i}": pair_uniform(F.col("_x"), i) for i in range(2)})
     turn = lit_f(2 * math.pi)
     rows = rows.withColumn("_r", F.sqrt(lit_f(-2) * F.log("_u0"))).withColumns({
         "_n1": F.col("_r") * F.cos(turn * F.col("_u1")), "_n2": F.col("_r") * F.sin(turn * F.col("_u1"))})
-    n1, n2, theta = F.col("_n1"), F.col("_n2"), turn * F.col("_u2")
+    n1, n2, theta = F.col("_n1"), F.col("_n2"), turn * hash_uniform(F.col("_h"), 2)
     # Start offset: a normal radius at a uniform angle; afterwards independent noise per axis.
     spread, start = lit_f(cfg.start_spread_m * cfg.noise), F.col("step") == 0
     rows = rows.select(
@@ -92,9 +97,11 @@ def particle_paths(velocities: DataFrame, cfg: DriftConfig) -> DataFrame:
         F.when(start, spread * n1 * F.sin(theta)).otherwise(F.col("v") * dt + lit_f(sigma) * n2).alias("dy"))
     w = Window.partitionBy("spill_id", "_block", "particle_id").orderBy("step")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    moved = rows.withColumn("p_lat", F.col("lat") + F.sum(metres_to_dlat(F.col("dy"))).over(run))
-    scale_lat = F.coalesce(F.lag("p_lat").over(w), F.col("lat"))
-    moved = moved.withColumn("_dlon", metres_to_dlon(F.col("dx"), scale_lat))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    dlat = metres_to_dlat(F.col("dy"))
+    # The latitude one step earlier is a sum up to there, so that one pass over the window gives both.
+    moved = rows.withColumns({"p_lat": F.col("lat") + F.sum(dlat).over(run), "_was": F.lag("lat").over(w) + F.sum(dlat).over(before)})
+    moved = moved.withColumn("_dlon", metres_to_dlon(F.col("dx"), F.coalesce("_was", "lat")))
     return moved.withColumn("p_lon", F.col("lon") + F.sum("_dlon").over(run)).select(
         "spill_id", "particle_id", "step", "ts", F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"))
 
