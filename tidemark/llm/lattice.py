@@ -1,11 +1,12 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
 Texts are cut into units, a run of word marks and what follows it, which no piece crosses.
-Each different unit is treated once: its substrings of bounded length meet the piece table
-in an equality join, and a fold over the unit's edges merges the adjacent pair of best rank
-until no pair is a piece, which is the order of a BPE model.  Texts lie in blocks of bounded
-size; only a block's different units travel, and their ids come back to the block as its
-word list.  Inside tasks a space stands for the word mark.
+Texts that follow each other lie in blocks of bounded size.  The different substrings, of
+bounded length, of a block's units meet the piece table in an equality join; what the join
+finds gives the edges of each different unit, and a fold over them merges the adjacent pair
+of best rank until no pair is a piece, which is the order of a BPE model.  A block's texts
+and substrings stay in one task, and the piece table is sent, so nothing is exchanged or
+written.  Inside tasks a space stands for the word mark.
 """
 
 from __future__ import annotations
@@ -14,23 +15,25 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.bytescan import text_bytes
-from tidemark.sources.scratch import cut_lineage
+from tidemark.llm.bytescan import segments, text_bytes
 
 MARK = "▁"
 UNKNOWN = -1
 PENALTY = 10.0  # below the least score, for a character that no piece has
 LONG = 256  # characters; longer units take the plain pass
-BLOCK = 8 << 20  # characters of text that share a word list
-EDGES = 1 << 18  # rows of edges that are folded together
+BLOCK = 4 << 20  # bytes of text whose different units are encoded once
+CHUNK = 1 << 16  # bytes of units that are folded together
+PART = 1 << 18  # bytes of text, or ids, whose rows are built together
+MARKS = 20  # bits of a slot in the marks of what can be a piece
+SLOTS = 18  # bits of a slot in the tables of hashes
+FACTORS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)))  # spread a hash over slots, each in its own way
+STEP = np.uint64(0xD6E8FEB86659FD93)
 NEVER = np.iinfo(np.int32).max  # rank of what is no piece
 
 
@@ -59,80 +62,160 @@ def units_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return units, np.diff(np.searchsorted(starts, offsets))
 
 
-def best_paths(units: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(unit, blocks, ids): the ids of each different unit by merge order.
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte of each character and the end, a number for each character, number of the first character of each string and the end)."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    at = np.append(first, len(data))
+    wide = np.diff(at)
+    codes = data[first].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(wide > k)
+        codes[more] |= data[first[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return at, codes, np.searchsorted(first, offsets)
+
+
+def spans(codes: np.ndarray, base: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, first characters, hashes) of the substrings of all strings, by length."""
+    left = np.repeat(base[1:], np.diff(base)) - np.arange(len(codes))
+    big = (codes.astype(np.uint64) + np.uint64(1)) * FACTORS[0]
+    at, hashes = np.arange(len(codes)), big
+    for long in range(1, longest + 1):
+        yield long, at, hashes
+        stay = left[at] > long
+        at = at[stay]
+        hashes = (hashes[stay] ^ (hashes[stay] >> np.uint64(29))) * STEP + big[at + long]
+
+
+def slots(hashes: np.ndarray, bits: int, way: int = 0) -> np.ndarray:
+    return ((hashes * FACTORS[way]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Words:
+    """Pieces by the hashes of their characters; equal hashes are compared by character."""
+
+    def __init__(self, pieces: pa.Array, longest: int):
+        self.longest = longest
+        _, codes, base = characters(*text_bytes(pieces))
+        self.size = np.diff(base)
+        self.codes = np.zeros((len(pieces), longest), np.uint32)
+        self.hash = np.zeros(len(pieces), np.uint64)
+        for long, at, hashes in spans(codes, base, longest):
+            whole = np.flatnonzero(self.size >= long)
+            self.codes[whole, long - 1] = codes[base[whole] + long - 1]
+            mine = np.flatnonzero(self.size == long)
+            self.hash[mine] = hashes[np.searchsorted(at, base[mine])]
+        self.may = [np.zeros(1 << MARKS, bool) for _ in FACTORS]
+        for way, may in enumerate(self.may):
+            may[slots(self.hash, MARKS, way)] = True
+        # Pieces that share a slot lie in further tables; those of one hash are too many for any.
+        self.tables, rest = [], np.arange(len(pieces))
+        while len(rest):
+            table = np.full(1 << SLOTS, -1, np.int32)
+            table[slots(self.hash[rest], SLOTS)] = rest
+            self.tables.append(table)
+            rest = rest[table[slots(self.hash[rest], SLOTS)] != rest]
+
+    def found(self, codes: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, first characters, pieces) of the substrings that are pieces."""
+        for long, at, hashes in spans(codes, base, self.longest):
+            some = np.flatnonzero(self.may[0][slots(hashes, MARKS)])
+            at, hashes = at[some], hashes[some]
+            place = slots(hashes, SLOTS)
+            for table in self.tables:
+                piece = table[place]
+                same = (piece >= 0) & (self.hash[piece] == hashes) & (self.size[piece] == long)
+                for k in range(long):
+                    one = np.flatnonzero(same)
+                    same[one] = codes[at[one] + k] == self.codes[piece[one], k]
+                yield long, at[same], piece[same]
+
+
+def in_parts(batches: list[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about PART bytes of the text, or values of the list, in column ``at``."""
+    for batch in batches:
+        column = batch.column(at)
+        size = pc.binary_length(column) if pa.types.is_string(column.type) else pc.fill_null(pc.list_value_length(column), 0)
+        for lo, hi in segments(np.append(0, np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))), PART):
+            yield batch.slice(lo, hi - lo)
 
-    From single characters on, the adjacent pair whose joined piece has the best score is
-    merged, of equal ones the leftmost, until no pair is a piece.  A character without a
-    piece of its own is replaced by its bytes.  Units of more than LONG characters, such as
-    long texts without spaces, take a pass with a heap instead of the fold, by the same rule.
-    """
-    plain = pieces.filter("NOT is_byte").select(F.translate("piece", MARK, " ").alias("piece"), "id", "score")
-    longest = plain.agg(F.max(F.length("piece")).alias("n")).first()["n"]
-    bytes_from = pieces.filter("is_byte").agg(F.min("id").alias("first")).first()["first"]
-    known = plain.collect()
-    # Equal scores have equal ranks; the table is bounded by the model.
-    place = {v: i for i, v in enumerate(sorted({r["score"] for r in known}, reverse=True))}
-    ranked = units.sparkSession.createDataFrame([(r["piece"], r["id"], place[r["score"]]) for r in known], "piece string, id int, rank int")
-    short = units.filter(F.length("unit") <= LONG).select(F.monotonically_increasing_id().alias("u"), "unit", "blocks", F.length("unit").alias("size"))
-    starts = short.select("u", "unit", "blocks", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
-    spans = starts.select("u", "unit", "blocks", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("start")))).alias("long"))
-    cut = spans.select("u", "unit", "blocks", "start", "long", F.expr("substring(unit, start + 1, long)").alias("piece"))
-    head = (F.col("start") == 0) & (F.col("long") == 1)
-    # A unit's first character stays even when no piece has it, and alone carries the unit.
-    edges = cut.join(F.broadcast(ranked), "piece", "left").filter(F.col("id").isNotNull() | head).select(
-        "u", F.when(head, F.col("unit")).alias("unit"), F.when(head, F.col("blocks")).alias("blocks"), "start", "long", "id", "rank")
-    # Neither the spans nor the join with a sent table moves a row, so a unit's edges follow each other; the fold makes sure.
-    kind = "unit string, blocks array<bigint>, ids array<int>"
-    done = edges.mapInArrow(_folded(longest, bytes_from), kind)
-    table = units.sparkSession.sparkContext.broadcast({r["piece"]: (r["score"], r["id"]) for r in known})
-    return done.unionAll(units.filter(F.length("unit") > LONG).mapInPandas(_plain_pass(table, bytes_from), kind))
-
-
-def _folded(longest: int, bytes_from: int):
+
+def _with_substrings(longest: int, may, size: int):
+    """Texts in blocks that follow each other, each block's different substrings behind it; ``may`` tells which can be pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, held = [], 0
+        names = ["block", "row", "text", "piece"]
+        block, filled, held = 0, 0, []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for part in in_parts(held, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), *part.columns, pa.nulls(len(part), pa.string())], names)
+            texts = pa.chunked_array([part.column(1) for part in held]).combine_chunks()
+            found = substrings(units_of(texts)[0].unique(), longest, may.value)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.nulls(len(found), held[0].column(0).type), pa.nulls(len(found), held[0].column(1).type), found], names)
+
         for batch in batches:
-            waiting.append(batch)
-            held += batch.num_rows
-            if held < EDGES:
-                continue
-            rows = pa.Table.from_batches(waiting).combine_chunks()
-            # The last unit may go on in the next batch.
-            last = int(np.flatnonzero(rows["unit"].is_valid().to_numpy())[-1])
-            yield merged_edges(rows.slice(0, last), longest, bytes_from)
-            waiting, held = rows.slice(last).to_batches(), rows.num_rows - last
+            sums = np.append(0, np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)))
+            lo = 0
+            while lo < len(batch):
+                hi = int(np.searchsorted(sums, sums[lo] + size - filled, "right")) - 1
+                hi = max(hi, lo if held else lo + 1)
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+                    filled += int(sums[hi] - sums[lo])
+                    lo = hi
+                if lo < len(batch):
+                    yield from rows()
+                    block, filled, held = block + 1, 0, []
+                    pa.default_memory_pool().release_unused()
         if held:
-            yield merged_edges(pa.Table.from_batches(waiting), longest, bytes_from)
+            yield from rows()
     return run
 
 
-def merged_edges(rows: pa.Table, longest: int, bytes_from: int) -> pa.RecordBatch:
-    """(unit, blocks, ids) from the edges of whole units: all units merge one pair in each round."""
-    rows = rows.combine_chunks()
-    begins = rows["unit"].is_valid().to_numpy()
-    heads, owner = np.flatnonzero(begins), np.cumsum(begins) - 1
-    number = rows["u"].to_numpy()
-    if len(number) and (not begins[0] or (number != number[heads][owner]).any()):
-        raise RuntimeError("the edges of a unit do not follow each other")
-    units = rows["unit"].combine_chunks().take(pa.array(heads)).cast(pa.large_string())
-    blocks = rows["blocks"].combine_chunks().take(pa.array(heads))
+def substrings(units: pa.Array, longest: int, may: list[np.ndarray]) -> pa.Array:
+    """The different substrings of ``units`` whose slots are marked."""
+    data, offsets = text_bytes(units)
+    seen = np.zeros(1 << SLOTS, np.uint64)
+    out = []
+    for lo, hi in segments(offsets, CHUNK):
+        part = data[offsets[lo]:offsets[hi]]
+        first, codes, base = characters(part, offsets[lo:hi + 1] - offsets[lo])
+        raw, mine = part.tobytes(), []
+        for long, at, hashes in spans(codes, base, longest):
+            some = np.flatnonzero(may[0][slots(hashes, MARKS)])
+            some = some[may[1][slots(hashes[some], MARKS, 1)]]
+            place = slots(hashes[some], SLOTS)
+            new = seen[place] != hashes[some]  # a slot may forget, and then says a substring again
+            some, place = some[new], place[new]
+            seen[place] = hashes[some]
+            _, once = np.unique(hashes[some], return_index=True)
+            starts = at[some[once]]
+            mine += [raw[i:j] for i, j in zip(first[starts].tolist(), first[starts + long].tolist())]
+        out.append(pa.array(mine, pa.binary()).cast(pa.string()))
+    return pa.chunked_array(out, pa.string()).unique()
+
+
+def merged_units(units: pa.Array, words: Words, ids: np.ndarray, rank: np.ndarray, bytes_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units in order, where each unit's begin, and the end) by merge order.
+
+    From single characters on, the adjacent pair whose joined piece has the best rank is
+    merged, of equal ones the leftmost, until no pair is a piece.  A character without a
+    piece of its own is replaced by its bytes.  All units merge one pair in each round.
+    """
+    longest = words.longest
     data, offsets = text_bytes(units)
-    char = np.flatnonzero((data & 0xC0) != 0x80)  # first byte of each character
-    base = np.searchsorted(char, offsets)
-    n = len(char)
-    rank, name = np.full(n * longest, NEVER, np.int32), np.full(n * longest, UNKNOWN, np.int32)
-    real = rows["id"].is_valid().to_numpy()
-    cell = ((base[owner] + rows["start"].to_numpy()) * longest + rows["long"].to_numpy() - 1)[real]
-    rank[cell] = rows["rank"].drop_null().to_numpy()
-    name[cell] = rows["id"].drop_null().to_numpy()
+    char, codes, base = characters(data, offsets)
+    n = len(codes)
+    ranks, name = np.full(n * longest, NEVER, np.int32), np.full(n * longest, UNKNOWN, np.int32)
+    for width, start, piece in words.found(codes, base):
+        cell = start * longest + width - 1
+        ranks[cell], name[cell] = rank[piece], ids[piece]
     long = np.zeros(n, np.int64)  # characters of the symbol that starts here; 0: merged into an earlier one
-    at, own, wide = np.arange(n), np.repeat(np.arange(len(heads)), np.diff(base)), np.ones(n, np.int64)
+    at, own, wide = np.arange(n), np.repeat(np.arange(len(units)), np.diff(base)), np.ones(n, np.int64)
     while len(at):
         both = wide[:-1] + wide[1:]
         fits = (own[:-1] == own[1:]) & (both <= longest)
         key = np.full(len(at), NEVER, np.int64)
-        key[:-1][fits] = rank[at[:-1][fits] * longest + both[fits] - 1]
+        key[:-1][fits] = ranks[at[:-1][fits] * longest + both[fits] - 1]
         key = key * len(at) + np.arange(len(at))
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         best = np.minimum.reduceat(key, first)
@@ -145,24 +228,49 @@ def merged_edges(rows: pa.Table, longest: int, bytes_from: int) -> pa.RecordBatc
         stay[chosen + 1] = False
         at, own, wide = at[stay], own[stay], wide[stay]
     symbol = np.flatnonzero(long)
-    ids = name[symbol * longest + long[symbol] - 1]
-    plain = ids != UNKNOWN
-    size = np.diff(np.append(char, len(data)))[symbol]
+    code = name[symbol * longest + long[symbol] - 1]
+    plain = code != UNKNOWN
+    size = np.diff(char)[symbol]
     many = np.where(plain, 1, size)
     ends = np.cumsum(many)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int32)
-    out[(ends - many)[plain]] = ids[plain]
+    out[(ends - many)[plain]] = code[plain]
     inside = np.arange(int(size[~plain].sum())) - np.repeat(np.cumsum(size[~plain]) - size[~plain], size[~plain])
     out[np.repeat((ends - many)[~plain], size[~plain]) + inside] = data[np.repeat(char[symbol[~plain]], size[~plain]) + inside] + bytes_from
-    limits = np.append(0, ends)[np.searchsorted(symbol, base)]
-    return pa.RecordBatch.from_arrays([units.cast(pa.string()), blocks, pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(out))], ["unit", "blocks", "ids"])
+    return out, np.append(0, ends)[np.searchsorted(symbol, base)]
 
 
-def _plain_pass(table, bytes_from: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"unit": pdf["unit"], "blocks": pdf["blocks"], "ids": [merged(u, table.value, bytes_from) for u in pdf["unit"]]})
-    return run
+def unit_ids(units: pa.Array, pieces: pa.Table, longest: int, bytes_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units in order, where each unit's begin, and the end), from the (piece, id, rank) that the join found.
+
+    Units of more than LONG characters, such as long texts without spaces, take a pass with
+    a heap instead of the fold, by the same rule.
+    """
+    words = Words(pieces["piece"].combine_chunks(), longest)
+    ids, rank = pieces["id"].to_numpy(), pieces["rank"].to_numpy()
+    plain = None
+    offsets = text_bytes(units)[1]
+    out, sizes = [], []
+    for lo, hi in segments(offsets, CHUNK):
+        part = units.slice(lo, hi - lo)
+        short = pc.less_equal(pc.utf8_length(part), LONG)
+        done, limits = merged_units(part.filter(short), words, ids, rank, bytes_from)
+        if hi - lo == len(limits) - 1:
+            out.append(done)
+            sizes.append(np.diff(limits))
+            continue
+        if plain is None:
+            plain = {p: (-r, i) for p, r, i in zip(pieces["piece"].to_pylist(), rank.tolist(), ids.tolist())}
+        next_short = 0
+        for unit, is_short in zip(part, short.to_pylist()):
+            if is_short:
+                one = done[limits[next_short]:limits[next_short + 1]]
+                next_short += 1
+            else:
+                one = np.array(merged(unit.as_py(), plain, bytes_from), np.int32)
+            out.append(one)
+            sizes.append(np.array([len(one)]))
+    return np.concatenate([np.zeros(0, np.int32), *out]), np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes])))
 
 
 def merged(unit: str, pieces: dict[str, tuple[float, int]], bytes_from: int) -> list[int]:
@@ -203,62 +311,72 @@ def viterbi(unit: str, pieces: dict[str, tuple[float, int]], longest: int, low:
     return merged(unit, pieces, bytes_from)
 
 
-def _in_blocks(size: int):
-    """Numbers the rows' blocks: rows that follow each other, about ``size`` characters together."""
+def _encoded_blocks(longest: int, bytes_from: int):
+    """The texts of whole blocks with their ids."""
+    def block_ids(texts: list[pa.RecordBatch], found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, counts = units_of(pa.chunked_array([t.column("text") for t in texts]).combine_chunks())
+        coded = units.dictionary_encode()
+        known, limits = unit_ids(coded.dictionary, pa.Table.from_batches(found, PIECES), longest, bytes_from)
+        use = coded.indices.to_numpy()
+        ends, row = np.append(0, np.cumsum(counts)), 0
+        for part in in_parts(texts, 2):
+            mine = use[ends[row]:ends[row + len(part)]]
+            size = (limits[1:] - limits[:-1])[mine]
+            stop = np.append(0, np.cumsum(size))
+            ids = known[np.repeat(limits[:-1][mine] - stop[:-1], size) + np.arange(stop[-1])]
+            lists = pa.ListArray.from_arrays(pa.array(stop[ends[row:row + len(part) + 1] - ends[row]].astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), lists], ["row", "text", "ids"])
+            row += len(part)
+        pa.default_memory_pool().release_unused()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, filled = TaskContext.get().partitionId() << 33, 0
+        last, texts, found = 0, [], []
         for batch in batches:
-            numbers = []
-            for t in batch.column(1):
-                n = len(t.as_py())
-                if filled and filled + n > size:
-                    block, filled = block + 1, 0
-                filled += n
-                numbers.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["block", "row", "text"])
+            block, piece = batch.column("block").to_numpy(), batch.column("piece").is_valid().to_numpy(zero_copy_only=False)
+            kind = block * 2 + piece
+            edge = np.flatnonzero(np.append(True, kind[1:] != kind[:-1])) if len(kind) else np.zeros(0, np.int64)
+            for lo, hi in zip(edge, np.append(edge[1:], len(kind))):
+                if block[lo] != last or found and not piece[lo]:
+                    if block[lo] <= last or not texts:
+                        raise RuntimeError("the rows of a block do not follow each other")
+                    yield from block_ids(texts, found)
+                    last, texts, found = block[lo], [], []
+                part = batch.slice(lo, hi - lo)
+                if piece[lo]:
+                    found.append(part.select(PIECES.names))
+                else:
+                    texts.append(part)
+        if texts:
+            yield from block_ids(texts, found)
     return run
 
 
-def _block_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, unit): the different units of each block's texts."""
-    for batch in batches:
-        block = batch.column(0).to_numpy()
-        edge = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
-        for lo, hi in zip(edge, np.append(edge[1:], len(block))):
-            units = units_of(batch.column(1).slice(lo, hi - lo))[0].unique().cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), block[lo])), units], ["block", "unit"])
-
-
-def _looked_up(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """The texts of one block with their ids."""
-    out = []
-    known, ids = words["unit"].combine_chunks().cast(pa.large_string()), words["ids"].combine_chunks()
-    for batch in texts.to_batches(max_chunksize=4096):
-        units, counts = units_of(batch.column("text"))
-        found = ids.take(pc.index_in(units, value_set=known, skip_nulls=True))
-        if found.null_count:
-            raise RuntimeError("a unit has no ids")
-        limits = found.offsets.to_numpy()[np.append(0, np.cumsum(counts))]
-        out.append(pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.ListArray.from_arrays(pa.array(limits), found.values)], ["row", "text", "ids"]))
-    return pa.Table.from_batches(out, schema=None if out else pa.schema([texts.schema.field("row"), texts.schema.field("text"), ("ids", pa.list_(pa.int32()))]))
+PIECES = pa.schema([("piece", pa.string()), ("id", pa.int32()), ("rank", pa.int32())])
 
 
 def encoded(docs: DataFrame, pieces: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
     """Struct ``row`` of ``docs`` (without ``text``) with the text and its ids.
 
-    Different units are encoded once.  A block's texts meet the ids of its units in one
-    task; its size is bounded but for a text that is longer itself.  A null or empty text has
-    no ids.  Repeated rows are rows of their own; other columns are only carried, so their
-    names cannot clash; empty tables give an empty result.
+    A block's different units are encoded once; its size is bounded but for a text that is
+    longer itself.  A null or empty text has no ids.  Repeated rows are rows of their own;
+    other columns are only carried, so their names cannot clash; empty tables give an empty
+    result.
     """
+    plain = pieces.filter("NOT is_byte").select(F.translate("piece", MARK, " ").alias("piece"), "id", "score")
+    bytes_from = pieces.filter("is_byte").agg(F.min("id").alias("first")).first()["first"]
+    known = plain.collect()
+    longest = max(len(r["piece"]) for r in known)
+    # Equal scores have equal ranks; the table is bounded by the model.
+    place = {v: i for i, v in enumerate(sorted({r["score"] for r in known}, reverse=True))}
+    spark = docs.sparkSession
+    ranked = spark.createDataFrame([(r["piece"], r["id"], place[r["score"]]) for r in known], "piece string, id int, rank int")
+    may = spark.sparkContext.broadcast(Words(pa.array([r["piece"] for r in known]), longest).may)
     slim = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row = slim.schema["row"].dataType.simpleString()
-    rows = cut_lineage(slim.mapInArrow(_in_blocks(block), f"block bigint, row {row}, text string"))
-    words = rows.select("block", "text").mapInArrow(_block_units, "block bigint, unit string")
-    # A unit's list has a number for each block at most.
-    paths = best_paths(words.groupBy("unit").agg(F.collect_set("block").alias("blocks")), pieces)
-    told = paths.select(F.explode("blocks").alias("block"), "unit", "ids")
-    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_looked_up, f"row {row}, text string, ids array<int>")
+    parts = slim.mapInArrow(_with_substrings(longest, may, block), f"block bigint, row {row}, text string, piece string")
+    # The join with a sent table moves no row, so a block's rows follow each other; the fold makes sure.
+    met = parts.join(F.broadcast(ranked), "piece", "left").filter("piece IS NULL OR id IS NOT NULL").select("block", "row", "text", "piece", "id", "rank")
+    return met.mapInArrow(_encoded_blocks(longest, bytes_from), f"row {row}, text string, ids array<int>")
 
 
 def decoded(rows: DataFrame, pieces: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -272,7 +390,7 @@ def decoded(rows: DataFrame, pieces: DataFrame, ids: str = "ids", out: str = "de
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(table.value, pa.large_binary())
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts([whole], at)):
             lists = pc.fill_null(batch.column(at), [])
             parts = known.take(lists.flatten())
             if parts.null_count:
